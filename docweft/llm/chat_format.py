@@ -8,7 +8,7 @@ Grammar of the rendered text::
 A role ends at the first ": ", a text at the first " </turn>\n"; the parser
 undoes backslash escapes in both. A turn is first rendered as it is and parsed
 again. Where the parser doesn't give the turn back, its controls are escaped
-(backslash, "###", "</turn>", and ":" in roles), and it is parsed once more. A
+(backslash, "###", "</turn>", and the blank of ": " in roles), and it is parsed once more. A
 conversation whose parse still differs is escaped in every turn.
 
 Nulls: a null role or text counts as empty. Ties: rows of equal turn are ordered
@@ -33,7 +33,7 @@ FORMATTED = "formatted string, spans array<struct<start:int,stop:int>>, escaped_
 
 def escape(s: str, role: bool = False) -> str:
     s = s.replace("\\", "\\\\").replace("###", "\\###").replace("</turn>", "\\</turn>")
-    return s.replace(":", "\\:") if role else s
+    return s.replace(": ", ":\\ ") if role else s
 
 
 def unescape(s: str) -> str:

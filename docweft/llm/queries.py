@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import chat_format, exact_dedup, language_id, minhash_dedup, packing, topk, toxicity, warc
+from . import chat_format, exact_dedup, language_id, line_templates, minhash_dedup, packing, sentencepiece_lattice, topk, toxicity, warc
 
 #: Where the vocabulary files are; a parameter of the operators, not part of the repository.
 def tokenizer_path(name: str) -> str:
@@ -46,6 +46,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def held_out(doc_id: str, parts: int, rest: int):
     """Null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts == rest
@@ -77,7 +81,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_exact_dedup, op5_toxicity, op6_near_dedup, op7_packing, op8_warc, op9_language_id)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return out.select("doc_id", "n_lines", "n_dropped", F.char_length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_exact_dedup, op4_sentencepiece, op5_toxicity, op6_near_dedup, op7_packing, op8_warc, op9_language_id, op10_line_dedup)}
 
 _WS = r"[\x20\x09-\x0D]"
 
@@ -90,7 +100,7 @@ ORACLES: dict[str, str] = {
             SELECT -7, i, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, role)
         ), t AS (
             SELECT *, CASE WHEN contains(text, '\') OR contains(text, ' </turn>' || chr(10)) OR contains(role, '\') OR contains(role, ': ')
-                THEN 15 + length(replace(replace(replace(role, '\', '\\'), '###', '\###'), ':', '\:')) + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))
+                THEN 15 + length(replace(replace(replace(role, '\', '\\'), '###', '\###'), ': ', ':\ ')) + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))
                 ELSE 15 + length(role) + length(text) END AS chars
             FROM r
         )

@@ -108,3 +108,57 @@ def warc(rows):
         again = len(d) >= 1000 and most[d] != p
         out.append((p, len(d), hashlib.sha1(d).hexdigest(), "revisit" if again else "response", most[d] if again else None))
     return out
+
+
+def line_templates(rows, min_docs, depth=2, alike=0.8):
+    """{text: (lines, dropped, kept text)} by the definition, without its tree or tables."""
+
+    def tokens(line):
+        return ["<*>" if any("0" <= c <= "9" for c in t) else t for t in line.split()]
+
+    leaves, holders = {}, {}
+    for n, r in enumerate(rows):
+        for line in (r["text"] or "").split("\n"):
+            t = tokens(line)
+            if t:
+                leaves.setdefault((len(t), *t[:depth]), {}).setdefault(tuple(t), set()).add(n)
+    template = {}
+    for leaf, own in leaves.items():
+        known = []
+        for line in sorted(own, key=lambda x: (-len(own[x]), " ".join(x))):
+            best, share = None, 0
+            for k, t in enumerate(known):
+                s = sum(a == b and a != "<*>" for a, b in zip(t, line)) / len(line)
+                if s > share:
+                    best, share = k, s
+            if best is not None and share >= alike:
+                known[best] = [a if a == b else "<*>" for a, b in zip(known[best], line)]
+            else:
+                known.append(list(line))
+                best = len(known) - 1
+            template[line] = (leaf, best)
+            holders.setdefault((leaf, best), set()).update(own[line])
+    out = []
+    for r in rows:
+        every = (r["text"] or "").split("\n")
+        gone = [bool(tokens(x)) and len(holders[template[tuple(tokens(x))]]) >= min_docs for x in every]
+        out.append((r["doc_id"], sum(bool(x.split()) for x in every), sum(gone), "\n".join(x for x, g in zip(every, gone) if not g)))
+    return out
+
+
+def viterbi(word, pieces, unknown):
+    """The best segmentation of a word by exhaustive recursion."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def best(i):
+        if i == 0:
+            return 0.0, ()
+        ways = [(best(j)[0] + pieces[word[j:i]], -(i - j), best(j)[1] + (word[j:i],)) for j in range(i) if word[j:i] in pieces]
+        if word[i - 1 : i] not in pieces:
+            ways.append((best(i - 1)[0] + unknown, -1, best(i - 1)[1] + (word[i - 1 : i],)))
+        top = max(w[0] for w in ways)
+        s, _, path = min((w for w in ways if w[0] == top), key=lambda w: w[1])
+        return s, path
+
+    return best(len(word))

@@ -63,6 +63,25 @@ def test_warc(spark, sf):
     assert Counter(found) == Counter(brute.warc(rows(spark, sf, "pages")))
 
 
+def test_sentencepiece(spark, sf):
+    import hashlib
+
+    import numpy as np
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=Q.tokenizer_path("piece_bpe_32k.model"))
+    want = [(r["doc_id"], len(ids := sp.encode(r["text"])), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest(), True) for r in rows(spark, sf, "documents")]
+    assert Counter(got(Q.op4_sentencepiece(spark, sf), "doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip")) == Counter(want)
+
+
+def test_line_templates(spark, sf):
+    import hashlib
+
+    found = got(Q.op10_line_dedup(spark, sf), "doc_id", "n_lines", "n_dropped", "kept_chars", "kept_sha256")
+    want = [(d, n, g, len(t), hashlib.sha256(t.encode()).hexdigest()) for d, n, g, t in brute.line_templates(rows(spark, sf, "documents"), 10)]
+    assert Counter(found) == Counter(want) and sum(x[2] for x in found) > 0
+
+
 def test_language(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in rows(spark, sf, "documents")}

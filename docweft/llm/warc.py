@@ -44,7 +44,7 @@ def record(record_id: str, url: str | None, payload: bytes, refers_to: str | Non
     if refers_to is None:
         block += payload
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date)]
-    head += [("WARC-Target-URI", quote(url, safe="!#$%&'()*+,/:;=?@[]~"))] * (url is not None)
+    head += [("WARC-Target-URI", quote(url or "", safe="!#$%&'()*+,/:;=?@[]~"))] * (url is not None)
     head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{refers_to}>")] * (refers_to is not None)
     head += [("WARC-Payload-Digest", digest), ("WARC-Block-Digest", _sha1(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     lines = b"".join(f"{k}: {v}\r\n".encode() for k, v in head)

@@ -63,7 +63,7 @@ def encode(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     for i, text in enumerate(texts):
         for at in range(0, len(text or ""), PIECE):
             # a piece begins with the two characters before it, so that no n-gram is lost or counted twice
-            held.append((i, text[max(0, at - 2) : at + PIECE], at > 0))
+            held.append((i, " " * (at == 0) + text[max(0, at - 2) : at + PIECE] + " " * (at + PIECE >= len(text))))
             size += len(held[-1][1])
             if size >= 2 * PIECE or len(held) >= 512:
                 _add(out, held, dim)
@@ -73,9 +73,9 @@ def encode(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     return out
 
 
-def _add(out: np.ndarray, held: list[tuple[int, str, bool]], dim: int) -> None:
+def _add(out: np.ndarray, held: list[tuple[int, str]], dim: int) -> None:
     """Add the n-grams of some pieces: count each n-gram by piece, then multiply counts by n-gram vectors."""
-    seqs = [_codes((text if inner else " " + text) + ("" if inner else " ")) for _, text, inner in held]
+    seqs = [_codes(text) for _, text in held]
     lengths = np.array([len(s) for s in seqs])
     letters, index = np.unique(np.concatenate(seqs), return_inverse=True)
     owner = np.repeat(np.arange(len(held)), lengths)
@@ -96,7 +96,7 @@ def _add(out: np.ndarray, held: list[tuple[int, str, bool]], dim: int) -> None:
         grams, column = np.unique(code, return_inverse=True)
     vectors = np.stack([letter_vector(int(c), dim) for c in letters])
     one, two = np.roll(vectors, 2, 1), np.roll(vectors, 1, 1)
-    to, of = np.array([i for i, _, _ in held]), owner[fits]
+    to, of = np.array([i for i, _ in held]), owner[fits]
     for first in range(0, len(grams), GRAMS):  # so many n-gram vectors are held at a time
         own = grams[first : first + GRAMS]
         bound = one[own // (k * k)]

@@ -7,12 +7,14 @@ r"""Near-duplicate detection by a signature-coordinate inverted join.
    of ``k`` coordinates but for a chance below ``MISS``; so of each node only the
    k - t + 1 shortest lists are merged (prefix), and the longer ones are skipped: they
    are counted by comparing the signatures of the candidates that were found.
-3. In each list all nodes are first paired with one leader. Pairs with at least ``t``
-   collisions are confirmed on the full sets; confirmed pairs give components.
-   Then every pair in a list whose nodes are in different components is tried too.
-   So no link between two components is missed, while the pairs inside a component,
+3. Shingles that one candidate alone has can't be in an intersection, which bounds a
+   node's similarity to all others; nodes and pairs below the bound go.
+4. In each list all nodes are first paired with one leader, in ``ROUNDS`` rounds. Pairs
+   with at least ``t`` collisions are confirmed on the full sets; confirmed pairs give
+   components. Then every pair in a list whose nodes are in different components is tried
+   too. So no link between two components is missed, while the pairs inside a component,
    which grow with the square of a group of copies, are never made.
-4. Components come from min-label propagation with pointer jumping over the links.
+5. Components come from min-label propagation with pointer jumping over the links.
 
 Words: ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. A text with fewer words than a
 shingle has one shingle, the whole sequence; a null text or one without words has an
@@ -30,18 +32,18 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-MISS = 1e-8
+MISS, ROUNDS = 1e-8, 2
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -110,29 +112,32 @@ def _sets(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node binary, sig array<int>")
 
 
-def _verified(work: Workspace, name: str, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, t: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of nids, those that have t collisions and, on full sets, 100 * intersection >= percent * union."""
-    side = lambda x: nodes.select(F.col("nid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    hits = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    close = work.keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(sized & (hits >= t)).select("a", "b", "na", "nb"), f"{name}_close")
-    if not close.limit(1).count():
-        return close.select("a", "b")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "node", "doc_id"), "nid")
+def _full_sets(work: Workspace, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(nid, shingles) of the wanted nids, made from their whole texts again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [shingles(text, width) for text in b["text"]]
             same = [xxhash.xxh128_digest(s.tobytes()) == bytes(x) for s, x in zip(made, b["node"], strict=True)]
-            yield pd.DataFrame({"nid": b["nid"], "shingles": [s.view(np.int64) for s in made]})[same]
+            out = pd.DataFrame({"nid": b["nid"], "shingles": [s.view(np.int64) for s in made]})[same]
+            for at in range(0, len(out), 100):
+                yield out.iloc[at : at + 100]
 
     # the locator of a set is the smallest doc_id that has it; where rows share a doc_id, the set's name decides
+    wanted = wanted.join(nodes.select("nid", "node", "doc_id"), "nid")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("nid", "node", "text")
-    sets = work.keep(texts.mapInPandas(run, "nid bigint, shingles array<bigint>").dropDuplicates(["nid"]), f"{name}_sets")
+    return work.keep(texts.mapInPandas(run, "nid bigint, shingles array<bigint>").dropDuplicates(["nid"]), "sets")
+
+
+def _verified(work: Workspace, name: str, nodes: DataFrame, sets: DataFrame, pairs: DataFrame, t: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of nids, those that have t collisions and, on full sets, 100 * intersection >= percent * union."""
+    side = lambda x: nodes.select(F.col("nid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    hits = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    close = work.keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(hits >= t).select("a", "b", "na", "nb"), f"{name}_close")
     full = close.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     out = work.keep(full.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), f"{name}_links")
-    work.drop(f"{name}_close", f"{name}_sets")
+    work.drop(f"{name}_close")
     return out
 
 
@@ -154,6 +159,12 @@ def components(work: Workspace, name: str, links: DataFrame) -> DataFrame:
             return label
 
 
+def _labels(work: Workspace, name: str, links: DataFrame, able: DataFrame) -> DataFrame:
+    """(nid, comp) of all nodes that can have links; those without keep their own."""
+    comp = components(work, name, links)
+    return able.select("nid").join(comp, "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 48) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (the row has that doc_id)."""
     spark, work, t = docs.sparkSession, Workspace(docs.sparkSession, "minhash"), least_matches(k, percent / 100)
@@ -172,23 +183,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     merged = by_node.select("nid", F.explode(F.expr(f"slice(own, 1, greatest(0, size(own) - {k - prefix}))")).alias("p")).select("nid", F.col("p.key").alias("key"))
     merged = work.keep(merged, "merged")
 
-    lead = merged.groupBy("key").agg(F.min("nid").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "a")
-    star = work.keep(merged.join(lead, "key").filter("nid <> a").select("a", F.col("nid").alias("b")).distinct(), "star")
-    links = _verified(work, "star", docs, nodes, star, width, t, percent)
-    comp = components(work, "first", links)
-
-    # what the leaders left: nodes of one list in different components
-    placed = merged.join(comp, "nid", "left").join(nodes.select("nid", "n"), "nid").select("key", "nid", "n", F.coalesce("comp", "nid").alias("comp"))
+    # what no other candidate has can't be common to two sets: it bounds the similarity of a node to any other
+    sets = _full_sets(work, docs, nodes, merged.select("nid").distinct(), width)
+    alone = sets.select("nid", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("nid").alias("nid")).filter("c = 1")
+    alone = alone.groupBy("nid").agg(F.count(F.lit(1)).alias("alone"))
+    able = sets.select("nid").join(nodes.select("nid", "n"), "nid").join(alone, "nid", "left").select("nid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    able = work.keep(able.filter(100 * F.col("shared") >= percent * F.col("n")), "able")
+    merged = work.keep(merged.join(able, "nid"), "postings")
+    work.drop("merged")
+
+    def apart(ca: str, cb: str) -> Column:
+        """Different components, and sizes and shared parts that don't rule the similarity out."""
+        most = F.least("ha", "hb")
+        return (F.col(ca) != F.col(cb)) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
+
+    # the leader of a list is the node with the largest shared part; later rounds take others
+    comp, tried, links = able.select("nid", F.col("nid").alias("comp")), None, None
+    for step in range(ROUNDS):
+        placed = merged.join(comp, "nid")
+        order = F.struct((-F.col("shared") / F.col("n")).alias("o"), "nid") if step == 0 else F.struct(F.xxhash64("nid", F.lit(step)).alias("o"), "nid")
+        lead = placed.groupBy("key").agg(F.min_by(F.struct(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("shared").alias("ha"), F.col("comp").alias("ca")), order).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "l.*")
+        star = placed.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("hb"), F.col("comp").alias("cb")).join(lead, "key").filter(apart("ca", "cb"))
+        star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        star = work.keep(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), f"star{step}")
+        tried = star if tried is None else tried.union(star)
+        found = _verified(work, f"star{step}", nodes, sets, star, t, percent)
+        links = found if links is None else links.union(found)
+        comp = _labels(work, f"comp{step}", links, able)
+
+    # what the leaders left: every pair of one list in different components
+    placed = merged.join(comp, "nid")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
     placed = work.keep(placed.join(open_keys, "key"), "placed")
-    left, right = placed.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), placed.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = left.join(right, "key").filter(apart).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    rest = work.keep(rest, "rest")
-    more = _verified(work, "rest", docs, nodes, rest, width, t, percent)
+    left = placed.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("shared").alias("ha"), F.col("comp").alias("ca"))
+    right = placed.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("hb"), F.col("comp").alias("cb"))
+    rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & apart("ca", "cb")).select("a", "b").distinct()
+    rest = work.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    more = _verified(work, "rest", nodes, sets, rest, t, percent)
     if more.limit(1).count():
-        comp = components(work, "second", links.union(more))
-    work.drop("merged", "placed", "star", "rest")
+        comp = _labels(work, "last", links.union(more), able)
+    work.drop("postings", "placed", "sets", "rest")
 
     # names of components are doc_ids again
     named = nodes.join(comp, "nid", "left").select("node", "doc_id", F.coalesce("comp", "nid").alias("comp"))
@@ -197,3 +231,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.encode(F.concat(F.lit("empty "), F.monotonically_increasing_id().cast("string")), "UTF-8")).alias("node")).join(ids, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 48) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component those with its smallest doc_id.
+
+    Rows of one doc_id and one text are treated alike.
+    """
+    named = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("doc_id"), F.col(text).alias("text"))
+    gone = near_duplicates(named, "doc_id", "text", width, percent, k).filter("not kept").select(F.col("doc_id.doc_id").alias("__gone"), F.col("doc_id.text").alias("__gone_text")).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("__gone_text")), "left_anti")

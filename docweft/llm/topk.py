@@ -43,7 +43,7 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
 
 def _pack(rows: list) -> tuple[str, int, bytes]:
     """(type, width, bytes) of rows of whole numbers, in the smallest type that holds them."""
-    out = np.zeros((len(rows), max(map(len, rows))), np.int64)
+    out = np.zeros((len(rows), max(1, *map(len, rows))), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     big = max(int(out.max(initial=0)), -int(out.min(initial=0)) if out.size else 0)
@@ -52,7 +52,7 @@ def _pack(rows: list) -> tuple[str, int, bytes]:
 
 
 def _unpack(kind: str, width: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, kind).reshape(-1, width) if width else np.zeros((0, 0), "i2")
+    return np.frombuffer(data, kind).reshape(-1, width)
 
 
 def _padded(a: np.ndarray, width: int) -> np.ndarray:

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _live: list["Workspace"] = []
 
 
@@ -35,9 +36,17 @@ class Workspace:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; the schema is passed on, so that empty tables work."""
-        df.write.mode("overwrite").parquet(self.at(name))
+    def keep(self, df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
+        """Write df and read it back; the schema is passed on, so that empty tables work.
+
+        Python operators in df get ``batch`` rows at a time, as whole texts can be long.
+        """
+        before = self.spark.conf.get(BATCH, None)
+        self.spark.conf.set(BATCH, batch)
+        try:
+            df.write.mode("overwrite").parquet(self.at(name))
+        finally:
+            self.spark.conf.unset(BATCH) if before is None else self.spark.conf.set(BATCH, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:

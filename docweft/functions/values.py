@@ -77,7 +77,7 @@ def json_payload(c: Column) -> Column:
     x = F.trim(some(c))
     fenced = F.regexp_extract(x, r"(?is)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
-    return F.when(fenced != "", F.trim(fenced)).when(braces != "", braces).otherwise(x)
+    return F.when(fenced != "", F.regexp_replace(fenced, r"^\s+|\s+$", "")).when(braces != "", braces).otherwise(x)
 
 
 def number_or(c: Column, fallback: float) -> Column:

@@ -236,3 +236,12 @@ def q_projection_view_model(spark, sf_dir):
         X.extension(F.col("path")).alias("extension"),
         X.workspace_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("workspace_id"),
     )
+
+
+@query(None)
+def q_section_blocks(spark, sf_dir):
+    """The section fold over all documents as CVs, lines as paragraphs; order matters inside a document, so tests hold it against small cases."""
+    from ..operators import sections
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("cv").alias("kind"), F.replace(T.some(F.col("text")), F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return sections.blocks(docs).select("doc_id", "order", "section_key", "reason", "confidence", "language_hint", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.sha2("text", 256).alias("text_sha256"))

@@ -9,11 +9,12 @@ r"""Near-duplicate detection by a signature-coordinate inverted join.
    are counted by comparing the signatures of the candidates that were found.
 3. Shingles that one candidate alone has can't be in an intersection, which bounds a
    node's similarity to all others; nodes and pairs below the bound go.
-4. In each list all nodes are first paired with one leader, in ``ROUNDS`` rounds. Pairs
-   with at least ``t`` collisions are confirmed on the full sets; confirmed pairs give
-   components. Then every pair in a list whose nodes are in different components is tried
-   too. So no link between two components is missed, while the pairs inside a component,
-   which grow with the square of a group of copies, are never made.
+4. Each list has leaders; a node is compared with them on the full sets, and similar
+   pairs give components. Pairs of nodes in different components are found by their
+   differences from a common leader (see _beyond_leaders); those with at least ``t``
+   collisions are confirmed on the full sets too. So no link between two components is
+   missed, while the pairs inside a component, which grow with the square of a group of
+   copies, are never made.
 5. Components come from min-label propagation with pointer jumping over the links.
 
 Words: ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. A text with fewer words than a
@@ -26,18 +27,19 @@ another is to be had. Whole texts are read; other columns are not.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import give_back
 from .workspace import Workspace
 
-MISS, ROUNDS = 1e-8, 2
+MISS, ROUNDS = 1e-8, 3
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -108,6 +110,7 @@ def _sets(docs: DataFrame, width: int, k: int) -> DataFrame:
                 node.append(xxhash.xxh128_digest(s.tobytes()))
                 sig.append(signature(s, k) if len(s) else None)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "node": node, "sig": sig})
+            give_back()
 
     return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node binary, sig array<int>")
 
@@ -165,6 +168,71 @@ def _labels(work: Workspace, name: str, links: DataFrame, able: DataFrame) -> Da
     return able.select("nid").join(comp, "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp"))
 
 
+def _around_leaders(work: Workspace, merged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(r, nid, n, nr, d, diff, near): nodes of a list by their differences from leaders of that list.
+
+    A list's first leader is its most central node. Nodes near it (a
+    similarity of a half) are done; the others choose a next leader among them, in ROUNDS
+    rounds. What is left then gets no leader: r is -1, nr 0, and diff the whole set.
+    """
+    share, q = percent / 100, (100 - percent) / (100 + percent)
+    # common coordinates, and few shingles that no other node has: such a node is in the middle of its copies
+    central = F.col("weight") * F.pow(F.col("shared") / F.col("n"), F.lit(8.0))
+    todo, groups = merged.select("key", "nid", "n", central.alias("central")), []
+    for step in range(ROUNDS):
+        lead = todo.groupBy("key").agg(F.min_by("nid", F.struct(-F.col("central"), "nid")).alias("r"))
+        member = work.keep(todo.join(lead, "key").select("key", "r", "nid"), f"member{step}")
+        of_r = sets.select(F.col("nid").alias("r"), F.col("n").alias("nr"), F.col("shingles").alias("xr"))
+        pair = member.select("r", "nid").distinct().join(sets, "nid").join(of_r, "r")
+        pair = pair.select("r", "nid", "n", "nr", F.concat(F.array_except("shingles", "xr"), F.array_except("xr", "shingles")).alias("diff")).withColumn("d", F.size("diff"))
+        pair = pair.withColumn("near", 3 * F.col("d") <= F.col("n") + F.col("nr"))
+        # a partner of a node near r can't be farther from r than this
+        reach = (F.col("n") / share + F.col("nr")) / 3 + q * F.col("n") * (1 + 1 / share) + 1e-6
+        group = work.keep(pair.withColumn("diff", F.when(F.col("d") <= reach, F.col("diff"))), f"around{step}")
+        groups.append(group.filter("diff is not null"))
+        done = member.join(group.filter("near").select("r", "nid"), ["r", "nid"], "left_semi").select("key", "nid")
+        todo = work.keep(todo.join(done, ["key", "nid"], "left_anti"), f"todo{step}")
+    alone = todo.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    rest = todo.join(alone, "key").select("nid").distinct().join(sets, "nid")
+    groups.append(rest.select(F.lit(-1).cast("bigint").alias("r"), "nid", "n", F.lit(0).cast("bigint").alias("nr"), F.col("shingles").alias("diff"), F.size("shingles").alias("d"), F.lit(True).alias("near")))
+    return reduce(DataFrame.unionByName, groups)
+
+
+def _beyond_leaders(work: Workspace, around: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can still be similar, found by what sets them apart from a leader r.
+
+    Let D(x) be the symmetric difference of x and r, d its size, q = (1 - s) / (1 + s). Two sets
+    are similar if |D(a) ^ D(b)| <= q (|a| + |b|), so they need an overlap of D(a) and D(b) of
+    o >= (d(a) + d(b) - q (|a| + |b|)) / 2. At least one of them, b, is not in the leader's
+    component, so d(b) > q (|r| + |b|), and for every partner
+        on a's side   o > (d(a) + q (|r| - |a|)) / 2,
+        on b's side   o >= (d(b) - q (|r| + |b|)) / (1 + q)   (from o <= d(a) and |a| <= |r| + d(a)).
+    Without a leader D(x) is x, and o >= s |x| on either side. Under one order of the
+    elements (rarest in the group first) the first d - o + 1 elements of both sides have
+    to meet. Near copies of one text have almost no rare differences in common, so their
+    pairs aren't made, however many there are.
+    """
+    plus, minus = 100 + percent, 100 - percent
+    around = around.join(comp, "nid").join(comp.select(F.col("nid").alias("r"), F.col("comp").alias("comp_r")), "r", "left").withColumn("comp_r", F.coalesce("comp_r", F.lit(-1)))
+    each = around.select("r", "nid", F.explode("diff").alias("h"))
+    several = each.groupBy("r", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("r", "nid")
+    ranked = each.join(several, ["r", "h"]).withColumn("rank", F.row_number().over(own.orderBy("df", "h"))).withColumn("k", F.count(F.lit(1)).over(own))
+    ranked = ranked.join(around.drop("diff"), ["r", "nid"])
+    # elements that no other member has come first in the order and can't meet
+    place = F.col("d") - F.col("k") + F.col("rank")
+    whole = F.col("d") + 1 - F.ceil(F.col("d") * percent / 100 - 1e-9)
+    with_a = F.when(F.col("nr") == 0, whole).otherwise(F.col("d") - F.floor((F.col("d") * plus + (F.col("nr") - F.col("n")) * minus) / (2 * plus)))
+    with_b = F.when(F.col("nr") == 0, whole).otherwise(F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("d") * plus - (F.col("nr") + F.col("n")) * minus) / 200)))
+    ranked = ranked.select("r", "h", "nid", "n", "d", "near", "comp", "comp_r", (place <= with_a).alias("is_a"), (place <= with_b).alias("is_b"))
+    ranked = work.keep(ranked.filter("is_a or (is_b and comp <> comp_r)"), "ranked")
+    side = lambda df, x: df.select("r", "h", F.col("nid").alias(x), F.col("comp").alias(f"c{x}"), F.col("d").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("near").alias(f"near{x}"))
+    a, b = side(ranked.filter("is_a"), "x"), side(ranked.filter("is_b and comp <> comp_r"), "y")
+    fits = (F.abs(F.col("dx") - F.col("dy")) * plus <= (F.col("nx") + F.col("ny")) * minus) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    pairs = a.join(b, ["r", "h"]).filter((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("nearx") | F.col("neary")) & fits)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 48) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (the row has that doc_id)."""
     spark, work, t = docs.sparkSession, Workspace(docs.sparkSession, "minhash"), least_matches(k, percent / 100)
@@ -180,7 +248,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # per node: its lists that can collide, shortest first; the others count as used-up places of the prefix
     prefix = k - t + 1
     by_node = shared.groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("length", "key"))).alias("own")).filter(F.size("own") >= t)
-    merged = by_node.select("nid", F.explode(F.expr(f"slice(own, 1, greatest(0, size(own) - {k - prefix}))")).alias("p")).select("nid", F.col("p.key").alias("key"))
+    by_node = by_node.withColumn("weight", F.aggregate("own", F.lit(0).cast("bigint"), lambda x, p: x + p["length"]))
+    merged = by_node.select("nid", "weight", F.explode(F.expr(f"slice(own, 1, greatest(0, size(own) - {k - prefix}))")).alias("p")).select("nid", "weight", F.col("p.key").alias("key"))
     merged = work.keep(merged, "merged")
 
     # what no other candidate has can't be common to two sets: it bounds the similarity of a node to any other
@@ -192,37 +261,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     merged = work.keep(merged.join(able, "nid"), "postings")
     work.drop("merged")
 
-    def apart(ca: str, cb: str) -> Column:
-        """Different components, and sizes and shared parts that don't rule the similarity out."""
-        most = F.least("ha", "hb")
-        return (F.col(ca) != F.col(cb)) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
-
-    # the leader of a list is the node with the largest shared part; later rounds take others
-    comp, tried, links = able.select("nid", F.col("nid").alias("comp")), None, None
-    for step in range(ROUNDS):
-        placed = merged.join(comp, "nid")
-        order = F.struct((-F.col("shared") / F.col("n")).alias("o"), "nid") if step == 0 else F.struct(F.xxhash64("nid", F.lit(step)).alias("o"), "nid")
-        lead = placed.groupBy("key").agg(F.min_by(F.struct(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("shared").alias("ha"), F.col("comp").alias("ca")), order).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "l.*")
-        star = placed.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("hb"), F.col("comp").alias("cb")).join(lead, "key").filter(apart("ca", "cb"))
-        star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        star = work.keep(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), f"star{step}")
-        tried = star if tried is None else tried.union(star)
-        found = _verified(work, f"star{step}", nodes, sets, star, t, percent)
-        links = found if links is None else links.union(found)
-        comp = _labels(work, f"comp{step}", links, able)
-
-    # what the leaders left: every pair of one list in different components
-    placed = merged.join(comp, "nid")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    placed = work.keep(placed.join(open_keys, "key"), "placed")
-    left = placed.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("shared").alias("ha"), F.col("comp").alias("ca"))
-    right = placed.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("hb"), F.col("comp").alias("cb"))
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & apart("ca", "cb")).select("a", "b").distinct()
-    rest = work.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    sets = sets.join(able.select("nid", "n"), "nid")
+    around = _around_leaders(work, merged, sets, percent)
+    # on full differences the similarity to a leader is exact
+    alike = F.col("d") * (100 + percent) <= (F.col("n") + F.col("nr")) * (100 - percent)
+    links = work.keep(around.filter((F.col("r") >= 0) & (F.col("r") != F.col("nid")) & alike).select(F.col("r").alias("a"), F.col("nid").alias("b")), "links")
+    comp = work.keep(_labels(work, "first", links, able), "comp")
+    rest = work.keep(_beyond_leaders(work, around, comp, percent), "rest")
     more = _verified(work, "rest", nodes, sets, rest, t, percent)
     if more.limit(1).count():
         comp = _labels(work, "last", links.union(more), able)
-    work.drop("postings", "placed", "sets", "rest")
+    work.drop("postings", "sets", "rest", "ranked", *[f"around{i}" for i in range(ROUNDS)])
 
     # names of components are doc_ids again
     named = nodes.join(comp, "nid", "left").select("node", "doc_id", F.coalesce("comp", "nid").alias("comp"))

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back
+
 DIM, SEED, PIECE, GRAMS, UND = 1024, 20_240_801, 1 << 19, 1 << 13, "und"
 
 _letters: dict[tuple[int, int], np.ndarray] = {}
@@ -140,6 +142,7 @@ def predict(text: Column, prototypes: dict[str, list[float]], dim: int = DIM) ->
     @F.pandas_udf("lang string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         v = encode(list(texts), dim)
+        give_back()
         norm = np.linalg.norm(v, axis=1)
         if not names:
             return pd.DataFrame({"lang": [UND] * len(texts), "score": 0.0})

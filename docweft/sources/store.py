@@ -20,9 +20,7 @@ def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(conf).exists(where):
         return spark.createDataFrame([], schema)
-    told = StructType([*schema.fields]).add("_corrupt", "string")
-    rows = spark.read.schema(told).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.filter("_corrupt is null").drop("_corrupt")
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).dropna("all")
 
 
 def named(df: DataFrame) -> DataFrame:

@@ -82,3 +82,9 @@ def test_run_log(spark, tmp_path):
     assert back.count() == 12 and {r.error_category for r in back.collect()} == {"none", "provider-error"}
     got = run_log.drain(run_log.metrics(run_log.read(spark, f"{tmp_path}/log")), f"{tmp_path}/out", f"{tmp_path}/ck").collect()
     assert all(r.runs == 2 for r in got) and len(got) >= 4  # windows beyond the watermark are out
+
+
+def test_presentation(spark):
+    df = spark.createDataFrame([("jd_requirements_missing", "requirements"), ("word_report_employment_entry_empty", "employment"), ("word_report_employment_history_missing", ""), ("odd", None)], "code string, section string")
+    got = {r.code: (r.title, r.section_label) for r in review.presented(df).collect()}
+    assert got == {"jd_requirements_missing": ("JD requirements are missing", "JD Requirements"), "word_report_employment_entry_empty": ("Word employment entry needs review", "Employment History"), "word_report_employment_history_missing": ("Word employment history is missing", "General"), "odd": ("Review required", "General")}

@@ -9,8 +9,11 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import nested
 from ..functions import text as T
+from ..functions import vocabulary as V
 from . import records as C
 from . import relational as R
 
@@ -267,3 +270,56 @@ def clipboard_text(subject: Column, body: Column) -> Column:
 def escape_html(c: Column) -> Column:
     pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
     return reduce(lambda a, p: F.replace(a, F.lit(p[0]), F.lit(p[1])), pairs, T.some(c))
+
+
+# What a report takes from the deterministic draft first, and what it unites.
+FACTS = frozenset({"education", "employment", "employment_history", "projects", "project_experiences"})
+UNITED = frozenset({"skills", "certifications", "languages"})
+
+
+def with_fallback(primary: Column, fallback: Column, kind: StructType) -> Column:
+    """A draft with its gaps filled from the deterministic one, field by field."""
+    return nested.merge(primary, fallback, kind, unite=UNITED)
+
+
+def report(primary: Column, fallback: Column, kind: StructType) -> Column:
+    """The same for a report: dated records always come from the deterministic draft, prose from the written one."""
+    return nested.merge(primary, fallback, kind, unite=UNITED, facts=FACTS)
+
+
+def anonymised(briefing: Column, kind: StructType, names: Column) -> Column:
+    """A whole draft without personal data, after all merging: the candidate's name is replaced, prose speaks of the candidate."""
+
+    def leaf(value: Column, path: str) -> Column:
+        return F.lit(V.ANONYMOUS) if path == "candidate.name" else F.when(value.isNotNull(), T.narrative(T.redact(value, names)))
+
+    return nested.map_strings(briefing, kind, leaf)
+
+
+def residual_warnings(briefing: Column, kind: StructType) -> Column:
+    """Kinds of personal data that any string of a draft still holds."""
+    text = F.array_join(nested.all_strings(briefing, kind), "\n")
+    return F.array_compact(F.array(*[F.when(found, name) for name, found in T.residual(text).items()]))
+
+
+def view_model(briefing: Column, language: Column) -> Column:
+    """The keys of a report, flat: first rows of the record lists, joined lists, and counts. briefing: struct<candidate: struct<name, location>, role: struct<title, company>, fit_summary, education, employment, skills>."""
+    first = lambda a, k: F.coalesce(F.get(briefing[a], F.lit(0))[k], F.lit(""))
+    lines = lambda a, of: F.array_join(F.transform(briefing[a], of), "\n")
+    between = F.when(language == "zh", " 至 ").otherwise(" - ")
+    dates = lambda x: F.when((T.some(x["start"]) == "") | (T.some(x["end"]) == ""), F.concat(T.some(x["start"]), T.some(x["end"]))).otherwise(F.concat(x["start"], between, x["end"]))
+    joined = lambda *c: F.concat_ws(", ", *[F.when(T.some(x) != "", x) for x in c])
+    return F.struct(
+        T.clean_line(briefing["candidate"]["name"]).alias("candidate_name"),
+        T.clean_line(briefing["candidate"]["location"]).alias("candidate_location"),
+        joined(briefing["role"]["title"], briefing["role"]["company"]).alias("role_line"),
+        T.some(briefing["fit_summary"]).alias("fit_summary"),
+        first("education", "degree").alias("degree_name"),
+        first("education", "school").alias("institution_name"),
+        lines("education", lambda x: F.concat_ws(" | ", joined(x["degree"], x["school"]), F.when(dates(x) != "", dates(x)))).alias("education_lines"),
+        first("employment", "title").alias("current_title"),
+        first("employment", "company").alias("current_company"),
+        lines("employment", lambda x: F.concat_ws(" | ", joined(x["title"], x["company"]), F.when(dates(x) != "", dates(x)))).alias("employment_lines"),
+        F.array_join(briefing["skills"], ", ").alias("skills_line"),
+        F.size(briefing["employment"]).alias("n_employment"),
+    )

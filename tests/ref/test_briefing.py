@@ -71,3 +71,15 @@ def test_report_issues(spark):
     got = df.select(B.report_issues(*[F.col(c) for c in ("name", "role", "edu", "emp", "pro")]).alias("x")).first().x
     assert got == ["word_report_candidate_name_generic", "word_report_education_entry_empty", "word_report_education_entry_polluted", "word_report_employment_role_skill_heading", "word_report_employment_role_looks_like_company", "word_report_project_experience_unreliable"]
     assert df.select(B.escape_html(F.lit("<a & 'b'>")).alias("x")).first().x == "&lt;a &amp; &#39;b&#39;&gt;"
+
+
+def test_whole_drafts(spark):
+    one = "named_struct('candidate', named_struct('name', '{n}', 'location', 'Paris'), 'role', named_struct('title', 'Engineer', 'company', ''), 'fit_summary', '{f}', 'education', array(named_struct('degree', 'BSc', 'school', 'U', 'start', '2010', 'end', '2012')), 'employment', array(named_struct('title', '{t}', 'company', 'Widget', 'start', '2012', 'end', '')), 'skills', array('{s}'))"
+    df = spark.sql(f"select {one.format(n='Jane Example', f='Jane Example wrote to a@b.co', t='Lead', s='Go')} p, {one.format(n='J', f='x', t='Engineer', s='SQL')} f")
+    kind = df.schema["p"].dataType
+    r = df.select(B.report(F.col("p"), F.col("f"), kind).alias("r")).withColumn("a", B.anonymised(F.col("r"), kind, F.array(F.lit("Jane Example"))))
+    r = r.select("r", "a", B.residual_warnings(F.col("r"), kind).alias("before"), B.residual_warnings(F.col("a"), kind).alias("after"), B.view_model(F.col("r"), F.lit("en")).alias("v")).first()
+    assert (r.r.employment[0].title, r.r.skills, r.r.candidate.name) == ("Engineer", ["Go", "SQL"], "Jane Example")
+    assert (r.a.candidate.name, r.a.fit_summary) == ("Anonymous Candidate", "The candidate wrote to [email redacted]")
+    assert (r.before, r.after) == (["has_email"], [])
+    assert (r.v.role_line, r.v.education_lines, r.v.employment_lines, r.v.skills_line) == ("Engineer", "BSc, U | 2010 - 2012", "Engineer, Widget | 2012", "Go, SQL")

@@ -178,19 +178,22 @@ def _around_leaders(work: Workspace, merged: DataFrame, sets: DataFrame, percent
     share, q = percent / 100, (100 - percent) / (100 + percent)
     # common coordinates, and few shingles that no other node has: such a node is in the middle of its copies
     central = F.col("weight") * F.pow(F.col("shared") / F.col("n"), F.lit(8.0))
-    todo, groups = merged.select("key", "nid", "n", central.alias("central")), []
+    todo, groups, known = merged.select("key", "nid", "n", central.alias("central")), [], None
     for step in range(ROUNDS):
         lead = todo.groupBy("key").agg(F.min_by("nid", F.struct(-F.col("central"), "nid")).alias("r"))
         member = work.keep(todo.join(lead, "key").select("key", "r", "nid"), f"member{step}")
         of_r = sets.select(F.col("nid").alias("r"), F.col("n").alias("nr"), F.col("shingles").alias("xr"))
-        pair = member.select("r", "nid").distinct().join(sets, "nid").join(of_r, "r")
+        pair = member.select("r", "nid").distinct()
+        pair = (pair if known is None else pair.join(known, ["r", "nid"], "left_anti")).join(sets, "nid").join(of_r, "r")
         pair = pair.select("r", "nid", "n", "nr", F.concat(F.array_except("shingles", "xr"), F.array_except("xr", "shingles")).alias("diff")).withColumn("d", F.size("diff"))
         pair = pair.withColumn("near", 3 * F.col("d") <= F.col("n") + F.col("nr"))
         # a partner of a node near r can't be farther from r than this
         reach = (F.col("n") / share + F.col("nr")) / 3 + q * F.col("n") * (1 + 1 / share) + 1e-6
         group = work.keep(pair.withColumn("diff", F.when(F.col("d") <= reach, F.col("diff"))), f"around{step}")
         groups.append(group.filter("diff is not null"))
-        done = member.join(group.filter("near").select("r", "nid"), ["r", "nid"], "left_semi").select("key", "nid")
+        fresh = group.select("r", "nid", "near")
+        known = fresh if known is None else known.unionByName(fresh)
+        done = member.join(known.filter("near"), ["r", "nid"], "left_semi").select("key", "nid")
         todo = work.keep(todo.join(done, ["key", "nid"], "left_anti"), f"todo{step}")
     alone = todo.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     rest = todo.join(alone, "key").select("nid").distinct().join(sets, "nid")
@@ -224,12 +227,14 @@ def _beyond_leaders(work: Workspace, around: DataFrame, comp: DataFrame, percent
     whole = F.col("d") + 1 - F.ceil(F.col("d") * percent / 100 - 1e-9)
     with_a = F.when(F.col("nr") == 0, whole).otherwise(F.col("d") - F.floor((F.col("d") * plus + (F.col("nr") - F.col("n")) * minus) / (2 * plus)))
     with_b = F.when(F.col("nr") == 0, whole).otherwise(F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("d") * plus - (F.col("nr") + F.col("n")) * minus) / 200)))
-    ranked = ranked.select("r", "h", "nid", "n", "d", "near", "comp", "comp_r", (place <= with_a).alias("is_a"), (place <= with_b).alias("is_b"))
+    ranked = ranked.select("r", "h", "nid", "n", "d", "near", "comp", "comp_r", place.alias("place"), (place <= with_a).alias("is_a"), (place <= with_b).alias("is_b"))
     ranked = work.keep(ranked.filter("is_a or (is_b and comp <> comp_r)"), "ranked")
-    side = lambda df, x: df.select("r", "h", F.col("nid").alias(x), F.col("comp").alias(f"c{x}"), F.col("d").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("near").alias(f"near{x}"))
+    side = lambda df, x: df.select("r", "h", F.col("nid").alias(x), F.col("comp").alias(f"c{x}"), F.col("d").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("near").alias(f"near{x}"), (F.col("d") - F.col("place")).alias(f"after{x}"))
     a, b = side(ranked.filter("is_a"), "x"), side(ranked.filter("is_b and comp <> comp_r"), "y")
     fits = (F.abs(F.col("dx") - F.col("dy")) * plus <= (F.col("nx") + F.col("ny")) * minus) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    pairs = a.join(b, ["r", "h"]).filter((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("nearx") | F.col("neary")) & fits)
+    # where the first common element is, what follows it on either side has to be enough for the overlap
+    enough = 2 * (1 + F.least("afterx", "aftery")) * plus >= (F.col("dx") + F.col("dy")) * plus - (F.col("nx") + F.col("ny")) * minus
+    pairs = a.join(b, ["r", "h"]).filter(enough & (F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("nearx") | F.col("neary")) & fits)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -287,6 +292,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 
     Rows of one doc_id and one text are treated alike.
     """
-    named = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("doc_id"), F.col(text).alias("text"))
+    named = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("doc_id"), F.col(text).alias("text"))
     gone = near_duplicates(named, "doc_id", "text", width, percent, k).filter("not kept").select(F.col("doc_id.doc_id").alias("__gone"), F.col("doc_id.text").alias("__gone_text")).distinct()
     return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("__gone_text")), "left_anti")

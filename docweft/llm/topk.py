@@ -137,9 +137,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
     # queries of one id and vector have one result
     asks = work.keep(_packed(rows.filter("asks").dropDuplicates(["vec_id", "v"]), chunks, "chunk"), "chunks")
     # the stated queries against all rows, block by block: each chunk is dealt to every part by the part's number
-    sent = asks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
+    last = docs.agg(F.max("part")).first()[0] or 0  # the ranges that were made, which needn't be as many as were asked for
+    sent = asks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("part"))
     # about one pair to a task, since a pair is the unit of work and of memory
-    pairs = sent.join(docs, "part").repartition(max(1, min(parts * chunks, 20_000)), "chunk", "part")
+    pairs = sent.join(docs, "part").repartition(max(1, min((last + 1) * chunks, 20_000)), "chunk", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -241,3 +241,16 @@ def test_pipeline_stages_on_edges(spark, tmp_path):
             rows = out.collect()
             cur = spark.createDataFrame(rows, out.schema)
     assert rows == []
+
+
+def test_topk_with_other_partition_counts(spark, sf, monkeypatch):
+    """A session may make more ranges than were asked for."""
+    from pyspark.sql import DataFrame
+
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    want = Counter(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect())
+    frame = type(df)
+    make = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *c: make(self, max(n, 23), *c))
+    assert Counter(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()) == want
+    assert isinstance(df, DataFrame)

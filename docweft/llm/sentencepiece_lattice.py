@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-SPACE, UNIGRAM, BPE = "▁", 1, 2
+SPACE, UNIGRAM, BPE, WORDS = "▁", 1, 2, 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -94,8 +94,23 @@ class Model:
         return [by[f"<0x{b:02X}>"] for b in range(256)]
 
 
+MASKED = 62  # so many characters have a bit each in a long, with one more for the end
+
+
+def _merge_mask(edges: Column, length: Column) -> Column:
+    """The boundaries of a BPE word as bits. An edge applies if both its ends are boundaries and one is left between them."""
+
+    def step(mask: Column, e: Column) -> Column:
+        inside = mask.bitwiseAND(e["inside"])
+        fits = (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(inside) == 1)
+        return F.when(fits, mask.bitwiseXOR(inside)).otherwise(mask)
+
+    every = F.call_function("shiftleft", F.lit(2).cast("bigint"), length) - 1
+    return F.aggregate(edges, every, step)
+
+
 def _merge_fold(edges: Column, length: Column) -> Column:
-    """The boundaries of a BPE word. An edge applies if exactly one boundary is left inside it and both its ends are boundaries."""
+    """The same for words of any length: the boundaries as an array."""
 
     def step(cuts: Column, e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -103,8 +118,7 @@ def _merge_fold(edges: Column, length: Column) -> Column:
         fits = (inside == 1) & F.array_contains(cuts, a) & F.array_contains(cuts, b)
         return F.when(fits, F.filter(cuts, lambda c: (c <= a) | (c >= b))).otherwise(cuts)
 
-    ordered = F.array_sort(F.filter(edges, lambda e: e["b"] - e["a"] > 1), lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise(x["a"] - y["a"]))
-    return F.aggregate(ordered, F.sequence(F.lit(0), length), step)
+    return F.aggregate(edges, F.sequence(F.lit(0), length), step)
 
 
 def _viterbi_fold(edges: Column, length: Column, unknown: float) -> Column:
@@ -122,40 +136,55 @@ def _viterbi_fold(edges: Column, length: Column, unknown: float) -> Column:
     return F.get(F.aggregate(F.filter(F.sequence(F.lit(0), length), lambda i: i > 0), first, step), length)["cuts"]
 
 
-def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids, decoded) for a table of distinct words, blanks written as the model's sign; all in DataFrame operations."""
-    spark = words.sparkSession
-    w = words.select("word", F.char_length("word").alias("n"))
-    starts = w.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a")).filter("n > 0")
+def lattice(words: DataFrame, model: Model) -> DataFrame:
+    """word, n, edges: the substrings that are pieces, and all single characters (id null where no piece is one), highest score first.
+
+    Where ``words`` comes partitioned by word, nothing here is shuffled.
+    """
+    w = words.select("word", F.char_length("word").alias("n")).filter("n > 0")
+    starts = w.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
     subs = starts.select("word", "n", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.col("n"), F.col("a") + model.longest))).alias("b"))
-    edges = subs.select("word", "n", "a", "b", F.expr("substring(word, a + 1, b - a)").alias("piece")).join(F.broadcast(model.table(spark)), "piece", "left")
-    # single characters are edges even if no piece has them; their ids are bytes then
-    edges = edges.filter((F.col("b") - F.col("a") == 1) | F.col("id").isNotNull())
-    grouped = edges.groupBy("word", "n").agg(F.collect_list(F.struct("a", "b", "score", "id")).alias("edges"))
-    known = F.filter("edges", lambda e: e["id"].isNotNull())
-    cuts = _merge_fold(known, F.col("n")) if model.kind == BPE else _viterbi_fold(known, F.col("n"), min(s for _, _, s, _ in model.pieces) - 10)
-    path = grouped.select("word", "edges", cuts.alias("cuts"))
-    spans = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.struct(F.get("cuts", i).alias("a"), F.get("cuts", i + 1).alias("b")))
-    of = F.map_from_entries(F.transform("edges", lambda e: F.struct((e["a"].cast("bigint") * 65536 + (e["b"] - e["a"])).alias("at"), e["id"].alias("id"))))
-    byte_ids = F.array(*[F.lit(i) for i in model.bytes()])
-
-    def ids_of(s: Column) -> Column:
-        id_ = F.element_at(F.col("of"), s["a"].cast("bigint") * 65536 + (s["b"] - s["a"]))
-        char = F.hex(F.encode(F.substring(F.col("word"), s["a"] + 1, s["b"] - s["a"]), "UTF-8"))
-        each = F.transform(F.sequence(F.lit(1), F.length(char), F.lit(2)), lambda k: F.get(F.col("byte_ids"), F.conv(F.substring(char, k, 2), 16, 10).cast("int")))
-        return F.when(id_.isNotNull(), F.array(id_)).otherwise(each)
-
-    return path.select("word", "cuts", F.col("edges"), of.alias("of"), byte_ids.alias("byte_ids"), spans.alias("spans")).select("word", F.flatten(F.transform("spans", ids_of)).alias("ids"))
-
-
-def decode_words(words: DataFrame, model: Model) -> DataFrame:
-    """Adds ``decoded``: the ids of a word joined back to the piece table, bytes put together; only distinct words pass here."""
-    spark = words.sparkSession
+    pieces = F.broadcast(model.table(words.sparkSession))  # a vocabulary: some 32,000 rows
+    found = subs.withColumn("piece", F.expr("substring(word, a + 1, b - a)")).join(pieces, "piece", "left")
+    found = found.filter((F.col("b") - F.col("a") == 1) | F.col("id").isNotNull())
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    edge = F.struct((-F.col("score")).alias("cost"), "a", "b", "id", (bit(F.col("a")).bitwiseOR(bit(F.col("b")))).alias("ends"), (bit(F.col("b")) - bit(F.col("a") + 1)).alias("inside"), F.when(F.col("id").isNull(), F.hex(F.encode("piece", "UTF-8"))).alias("bytes"))
+    return found.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def _ids(path: Column, byte_ids: list[int]) -> Column:
+    """The ids of the edges of a path, in order; characters without a piece give one id per byte."""
+    numbers = F.array(*[F.lit(i) for i in byte_ids])
+    of_bytes = lambda h: F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda k: F.get(numbers, F.conv(F.substring(h, k, 2), 16, 10).cast("int")))
+    ordered = F.array_sort(F.transform(path, lambda e: F.struct(e["a"], e["id"], e["bytes"])))
+    unknown = F.exists(ordered, lambda e: e["id"].isNull())
+    return F.when(unknown, F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNull(), of_bytes(e["bytes"])).otherwise(F.array(e["id"]))))).otherwise(F.transform(ordered, lambda e: e["id"]))
+
+
+def encode_words(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ids) for a table of distinct words, blanks written as the model's sign; all in DataFrame operations."""
+    numbers = model.bytes()
+    merges = F.filter("edges", lambda e: e["b"] - e["a"] > 1)
+    by_array = lambda df, cuts: df.select("word", "edges", cuts.alias("cuts")).select("word", F.filter("edges", lambda e: F.get("cuts", F.array_position("cuts", e["a"]).cast("int")) == e["b"]).alias("path"))
+    if model.kind != BPE:
+        known = F.transform(F.filter("edges", lambda e: e["id"].isNotNull()), lambda e: F.struct(e["a"], e["b"], (-e["cost"]).alias("score")))
+        path = by_array(lattice(words, model), _viterbi_fold(known, F.col("n"), min(s for _, _, s, _ in model.pieces) - 10))
+    else:
+        short = lattice(words.filter(F.char_length("word") <= MASKED), model).withColumn("mask", _merge_mask(merges, F.col("n")))
+        on_path = lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inside"]) == 0)
+        short = short.select("word", F.filter("edges", on_path).alias("path"))
+        path = short.union(by_array(lattice(words.filter(F.char_length("word") > MASKED), model), _merge_fold(merges, F.col("n"))))
+    return path.select("word", _ids(F.col("path"), numbers).alias("ids"))
+
+
+def decode_words(coded: DataFrame, model: Model) -> DataFrame:
+    """(word, ids, decoded): the ids of a word joined back to the piece table, bytes put together; only distinct words pass here."""
     rows = [(i, p.encode().hex() if t != 6 else p[3:5]) for p, i, _, t in model.pieces if t in (1, 4, 6)]
-    names = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "data"]), "id int, data string")
-    parts = words.select("word", F.posexplode("ids").alias("k", "id")).join(F.broadcast(names), "id")
-    back = parts.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "data"))), lambda p: p["data"]), "").alias("data"))
-    return words.join(back, "word", "left").select("word", "ids", F.decode(F.unhex(F.coalesce("data", F.lit(""))), "UTF-8").alias("decoded"))
+    names = coded.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["id", "data"]), "id int, data string")
+    # the outer form: from the other, the planner would infer a filter that computes the ids again
+    parts = coded.select("word", F.posexplode_outer("ids").alias("k", "id")).join(F.broadcast(names), "id")
+    back = parts.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "id", "data"))).alias("p"))
+    return back.select("word", F.col("p.id").alias("ids"), F.decode(F.unhex(F.array_join(F.col("p.data"), "")), "UTF-8").alias("decoded"))
 
 
 def _units(text: str, prefix: bool) -> list[str]:
@@ -178,7 +207,7 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     spark, work, model = docs.sparkSession, Workspace(docs.sparkSession, "sentencepiece"), Model(model_path)
     kind = docs.schema[doc_id].dataType.simpleString()
     # a block is what one task has read; its number is stored, so both passes mean the same rows
-    blocks = work.keep(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.spark_partition_id().alias("block")), "blocks")
+    blocks = work.keep(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.spark_partition_id().alias("block")), "blocks", codec="zstd")
     prefix = model.prefix
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,13 +222,19 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
                 part = own_list[i : i + 100_000]
                 yield pd.DataFrame({"block": np.full(len(part), block, np.int32), "word": part})
 
-    pairs = work.keep(blocks.mapInPandas(words_of, "block int, word string"), "pairs")
-    words = work.keep(pairs.select("word").distinct(), "words")
-    coded = work.keep(encode_words(words, model), "coded")
-    coded = work.keep(decode_words(coded, model), "decoded")
+    pairs = work.keep(blocks.mapInPandas(words_of, "block int, word string"), "pairs", codec="zstd")
+    # one exchange by word; the lattice, its groups and the way back all stay within that partitioning
+    # so many words to a task that the edges of their lattices are grouped in memory
+    tasks = max(1, -(-pairs.count() // WORDS))
+    distinct = pairs.select("word").repartition(tasks, "word").distinct()
+    coded = work.keep(decode_words(encode_words(distinct, model), model), "coded", codec="zstd")
+    work.release()
+    # what decodes to itself, nearly every word, needs no second copy
+    coded = coded.withColumn("decoded", F.when(F.col("decoded") != F.col("word"), F.col("decoded")))
     book = pairs.distinct().join(coded, "word").select("block", "word", "ids", "decoded")
-    book = work.keep(book.repartition("block").sortWithinPartitions("block"), "book")
-    work.drop("pairs", "words", "coded", "decoded")
+    work.keep(book.repartition("block").sortWithinPartitions("block"), "book", codec="zstd")
+    work.drop("pairs", "coded")
+    work.release()
     where = work.at("book")
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,4 +267,4 @@ def _book(where: str, block: int) -> dict[str, tuple[bytes, str]]:
         return {}
     ids = got["ids"].combine_chunks()
     offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-    return {w: (values[a:b].tobytes(), d) for w, d, a, b in zip(got["word"].to_pylist(), got["decoded"].to_pylist(), offsets[:-1], offsets[1:], strict=True)}
+    return {w: (values[a:b].tobytes(), w if d is None else d) for w, d, a, b in zip(got["word"].to_pylist(), got["decoded"].to_pylist(), offsets[:-1], offsets[1:], strict=True)}

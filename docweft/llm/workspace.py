@@ -36,7 +36,7 @@ class Workspace:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def keep(self, df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, batch: int = 1000, codec: str = "snappy") -> DataFrame:
         """Write df and read it back; the schema is passed on, so that empty tables work.
 
         Python operators in df get ``batch`` rows at a time, as whole texts can be long.
@@ -44,7 +44,7 @@ class Workspace:
         before = self.spark.conf.get(BATCH, None)
         self.spark.conf.set(BATCH, batch)
         try:
-            df.write.mode("overwrite").parquet(self.at(name))
+            df.write.mode("overwrite").parquet(self.at(name), compression=codec)
         finally:
             self.spark.conf.unset(BATCH) if before is None else self.spark.conf.set(BATCH, before)
         return self.read(name, df.schema)
@@ -59,6 +59,10 @@ class Workspace:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
 
+    def release(self) -> None:
+        """Shuffle files of steps that are over go now, not when the driver next collects its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
 
 @atexit.register
 def _clean() -> None:

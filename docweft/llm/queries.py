@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import chat_format, exact_dedup, language_id, line_templates, minhash_dedup, packing, sentencepiece_lattice, topk, toxicity, warc
 
@@ -47,6 +46,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: n_ids, ids_sha256 (the ids as little-endian 32-bit numbers), decoded_sha256 (of the decoded text), round_trip."""
     return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
@@ -82,6 +82,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: n_lines (not blank), n_dropped, and length and digest of what is kept."""
     out = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     return out.select("doc_id", "n_lines", "n_dropped", F.char_length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

@@ -132,6 +132,24 @@ ORACLES: dict[str, str] = {
             FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op6_near_dedup": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}+'), lambda x: x <> '') AS ws FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w
+        ), e AS (
+            SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
+        ), p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id
+            GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), l AS (
+            SELECT x, y FROM p UNION ALL SELECT y, x FROM p
+        ), r(x, m) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.m FROM r JOIN l ON r.x = l.x
+        )
+        SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.m AS component_id, s.doc_id = c.m AS kept
+        FROM s JOIN (SELECT x, min(m) AS m FROM r GROUP BY x) c ON s.doc_id = c.x""",
     "op8_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages

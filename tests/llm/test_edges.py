@@ -173,6 +173,26 @@ def test_line_templates_splits_large_leaves(spark, monkeypatch):
     assert all(r.n_dropped == 1 for r in out)
 
 
+def test_line_templates_do_not_depend_on_the_size_of_leaves(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    name = lambda i: f"Mac{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    rows = [(i, f"Dear Mr {name(i)} thank you for your letter of today") for i in range(60)]
+    words = [f"w{chr(97 + i)}" for i in range(6)]
+    for i in range(400):  # other lines of that start and length, some alike
+        tail = [rng.choice(words) for _ in range(8)] if i % 2 else ["go", "on", "as", rng.choice(words), "did", "so", "far", rng.choice(["9", *words])]
+        rows.append((1000 + i, " ".join(["Dear", "Mr", *tail])))
+    df = docs(spark, rows)
+    want = Counter(brute.line_templates(as_dicts(df), 10))
+    assert sum(r[2] for r in want.elements() if r[0] < 1000) == 60
+    for leaf, rounds in ((4000, 12), (5, 12), (5, 1)):
+        monkeypatch.setattr(line_templates, "LEAF", leaf)
+        monkeypatch.setattr(line_templates, "ROUNDS", rounds, raising=False)
+        out = line_templates.drop_recurring(df, min_docs=10)
+        assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in out.collect()) == want
+
+
 def test_language(spark):
     df = docs(spark)
     protos = language_id.fit(df)

@@ -1,12 +1,14 @@
 """Best-fit packing of token sequences, by a hierarchy of residuals.
 
-1. Every task tokenizes its documents, adds the separator, cuts what is longer than a
+1. Documents are dealt over the tasks by a hash of doc_id and text, so that every task
+   has all lengths, however the table is ordered; repeats of one id spread by their texts.
+2. Every task tokenizes its documents, adds the separator, cuts what is longer than a
    sequence (the remainder comes first) and packs its own pieces: longest first, each
    into the fullest bin that still takes it.
-2. Bins with at most ``slack`` free places are done. The others go up as items, with
+3. Bins with at most ``slack`` free places are done. The others go up as items, with
    their fill as length, ``FAN`` tasks at a time to one, and are packed again, until one
    task is left. So only bins move, never pieces or texts.
-3. A task that would pass on more than ``most`` bins passes on the emptiest; the rest
+4. A task that would pass on more than ``most`` bins passes on the emptiest; the rest
    are done as they are (they stay in the result), so what a task gets is bounded by
    FAN * most rows at any input size.
 
@@ -167,6 +169,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """
     work = Workspace(docs.sparkSession, "packing")
     docs = docs.select(F.col(doc_id).cast("string").alias("doc_id") if docs.schema[doc_id].nullable and docs.schema[doc_id].dataType.simpleString() == "bigint" else F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # without a number of partitions, so that AQE can join small ones
+    docs = docs.repartition(F.xxhash64("doc_id", "text"))
     pieces = work.keep(_leaves(docs, tokenizer, size, separator, with_ids, token_ids), "pieces")
     # a leaf bin: where it is (bin, shift) and how full that bin is
     bins = pieces.groupBy("leaf").agg(F.first("fill").alias("fill"), F.first("task").alias("task"))

@@ -119,6 +119,24 @@ def test_packing_tree(spark):
     check_places(few, 512)
 
 
+def test_packing_of_a_table_sorted_by_length(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    lengths = sorted([rng.randint(1100, 1499) for _ in range(1600)] + [rng.randint(548, 899) for _ in range(1600)])
+    df = spark.createDataFrame([(i % 50, "x" * (n - 1)) for i, n in enumerate(lengths)], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several tasks, though the table is small
+    try:
+        out = packing.pack(df, "", token_ids=lambda s: b"\1\0\0\0" * len(s)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == len(lengths)
+    least = len(packing.best_fit(np.array(lengths, np.int64), 2048)[2])
+    assert check_places(out, 2048) <= 1.03 * least
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 

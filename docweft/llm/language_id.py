@@ -134,6 +134,16 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return {k: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for k, v in sorted(out.items())}
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter, so that its language could be told."""
+
+    @F.pandas_udf("boolean")
+    def has(texts: pd.Series) -> pd.Series:
+        return pd.Series([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
+
+    return has(text)
+
+
 def predict(text: Column, prototypes: dict[str, list[float]], dim: int = DIM) -> Column:
     """struct<lang: string, score: double> for a column of texts."""
     names = sorted(prototypes)

@@ -33,6 +33,13 @@ def test_run(spark, sf):
     assert Counter(tuple(r) for r in out) == Counter(want)
 
 
+def test_documents_without_any_lang_stay(spark, sf):
+    rows = [(1, "one two"), (2, "12 ;"), (3, None), (4, "漢字"), (None, "a"), (5, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    told = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, sf)
+    assert told.columns == docs.columns and Counter(r.doc_id for r in told.collect()) == Counter([1, 4, None])
+
+
 def test_stages_keep_clean_documents_and_columns(spark, sf):
     """Filtering stages keep what is clean: few documents that are labelled as not toxic go, and only texts without letters have no language."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

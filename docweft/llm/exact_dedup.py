@@ -25,6 +25,8 @@ from pyspark.sql.types import IntegerType, MapType
 
 from .workspace import Workspace
 
+#: Bytes of records in a micro-batch; some 80 bytes a row, so 30 GB of documents give several batches.
+BATCH_BYTES = 1 << 28
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store's native memory goes with its task; the state stays on disk
@@ -42,12 +44,12 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256, files_per_batch: int | None = None, bytes_per_batch: int = 1 << 38) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256, files_per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, digest, keep_id, group_size, kept, ties.
 
     ``ties`` counts the rows of a group that equal the one that stays in length and
     doc_id. ``digest`` maps the normalised text to a string. A micro-batch takes
-    ``files_per_batch`` files of records if given, else ``bytes_per_batch``.
+    ``files_per_batch`` files of records if given, else ``bytes_per_batch`` (BATCH_BYTES).
     """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "exact_dedup")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("n"), normalised(F.col(text)).alias("norm"))
@@ -60,7 +62,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
         spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(records.schema)
-        stream = stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream.option("maxBytesPerTrigger", bytes_per_batch)
+        stream = stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream.option("maxBytesPerTrigger", bytes_per_batch or BATCH_BYTES)
         state = stream.parquet(work.at("records")).groupBy("digest").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
 
         def emit(changed: DataFrame, batch: int) -> None:

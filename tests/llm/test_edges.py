@@ -46,6 +46,20 @@ def test_exact_dedup_in_many_batches_and_with_colliding_digests(spark):
     assert Counter(tuple(r) for r in exact_dedup.deduplicate(df, files_per_batch=1).select(*cols).collect()) == want
 
 
+def test_exact_dedup_in_batches_of_bounded_bytes(spark, monkeypatch):
+    import os
+
+    from docweft.llm import workspace
+
+    assert exact_dedup.BATCH_BYTES <= 1 << 28
+    monkeypatch.setattr(exact_dedup, "BATCH_BYTES", 3000)
+    df = docs(spark).repartition(5)
+    got = [tuple(r) for r in exact_dedup.deduplicate(df).select("doc_id", "keep_id", "group_size", "kept", "digest").collect()]
+    assert Counter(got) == Counter(brute.dedup(as_dicts(df)))
+    state = workspace._live[-1].at("state").removeprefix("file://")
+    assert sum(name.startswith("epoch=") for name in os.listdir(state)) > 1
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_dedup(spark, width, percent):
     df = docs(spark)

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 1. Texts are cut into words: the units between blanks, as no piece of the model goes
-   on after a blank (checked when the model is read). Each distinct word is encoded
-   once, in tables.
+   on after a blank (checked when the model is read). Words are cut on where two neighbours
+   stand side by side in no piece, so that no edge could reach over the cut. Each
+   distinct word is encoded once, in tables.
 2. Every substring of a word, up to the longest piece, is exploded and equi-joined to
    the piece table (at most some 100,000 rows, so it is broadcast). What matches are the
    edges of the word's lattice.
@@ -10,18 +11,30 @@
    type unigram take the Viterbi fold: the best sum of scores up to each place. Models
    of type BPE take their own order: edges by falling score, then by place, each
    removes the boundary between the two symbols that it covers. (The largest sum of
-   scores isn't what a BPE model means: it gives other ids for most words.)
+   scores isn't what a BPE model means: it gives other ids for most words.) One pass over the edges
+   is right where a piece never has a half that is merged later than itself. Some
+   pieces have such a half; so where an edge still fits after the pass, or several pieces
+   share a score (runs of blanks), the word is folded again, taking the first edge that
+   fits at each step.
    Characters outside all pieces become byte pieces.
-4. Ids are joined back to pieces and decoded, word by word. Each block of texts gets
-   the dictionary of its own words, and puts its texts together from it.
+4. Ids are looked up in the table of pieces and decoded, word by word. Each block of
+   ``BLOCK`` texts gets the dictionary of its own words, and puts its texts together from it.
+
+Words of more than ``MASKED`` characters (long runs of letters without a blank) have their
+substrings exploded window by window, so that no row holds the whole word, and are folded
+by a heap in an Arrow function, as ``aggregate`` can't change an array in place. Texts and
+words of any length take part.
 
 A null text counts as empty and has no ids. Repeated rows are encoded each. An empty
-table gives an empty result.
+table gives an empty result. Whole-number doc_ids are carried exactly, beside nulls too.
+Other columns are not read. A text that holds the model's sign for a blank is decoded with a
+blank there, so round_trip is false for it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +42,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .keys import carried, restored
 from .workspace import Workspace
 
-SPACE, UNIGRAM, BPE, WORDS = "▁", 1, 2, 100_000
+SPACE, UNIGRAM, BPE, WORDS, BLOCK = "▁", 1, 2, 100_000, 4096
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -79,116 +93,213 @@ class Model:
                 if norm.get(1, b"identity") != b"identity" or norm.get(4, 1):
                     raise ValueError("only models that leave their text as it is are supported")
                 self.prefix = bool(norm.get(3, 1))
-        plain = [p for p, _, _, t in self.pieces if t in (1, 4)]
-        if any(SPACE in p.lstrip(SPACE) for p in plain):
+        if any(t == 4 for *_, t in self.pieces):
+            raise ValueError("user-defined pieces are not supported")
+        self.arrange()
+
+    def arrange(self) -> None:
+        """Number the pieces by falling score, then by length; ``first`` is the least number with a piece's score."""
+        self.plain = sorted((p for p in self.pieces if p[3] == 1), key=lambda p: (-p[2], len(p[0]), p[1]))
+        self.first = [0] * len(self.plain)
+        for i in range(1, len(self.plain)):
+            self.first[i] = self.first[i - 1] if self.plain[i][2] == self.plain[i - 1][2] else i
+        if any(SPACE in p.lstrip(SPACE) for p, *_ in self.plain):
             raise ValueError("a piece goes on after a blank")
-        self.longest = max(map(len, plain))
+        self.longest = max(len(p) for p, *_ in self.plain)
+        if self.longest > 255 or len(self.plain) >= UNKNOWN or any(i - f > 255 for i, f in enumerate(self.first)):
+            raise ValueError("the pieces don't fit into packed edges")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, i, s) for p, i, s, t in self.pieces if t in (1, 4)]
-        return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
+        """piece and edge: all of a packed edge but its place."""
+        rows = [(p, _pack(f, 0, i - f, len(p))) for i, ((p, *_), f) in enumerate(zip(self.plain, self.first, strict=True))]
+        return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "edge"]), "piece string, edge bigint")
 
     def bytes(self) -> list[int]:
         """The id of each byte's piece."""
         by = {p: i for p, i, _, t in self.pieces if t == 6}
         return [by[f"<0x{b:02X}>"] for b in range(256)]
 
+    def neighbours(self) -> list[str]:
+        """The pairs of characters that stand side by side in a piece."""
+        return sorted({p[i : i + 2] for p, *_ in self.plain for i in range(len(p) - 1)})
+
+
+#: So many characters of a word have a bit each in a long, with room for the end and for sums. A packed edge is
+#: first << 42 | place << 16 | (number - first) << 8 | length, so that edges sort by falling score, then by place.
+MASKED, UNKNOWN, PLACES = 60, (1 << 20) - 1, (1 << 26) - 1
+
+
+def _pack(first: int, place: int, more: int, length: int) -> int:
+    return first << 42 | place << 16 | more << 8 | length
+
+
+def _shift(c: Column, n: int) -> Column:
+    return F.shiftright(c, n)
+
+
+def _place(e: Column) -> Column:
+    return _shift(e, 16).bitwiseAND(F.lit(PLACES)).cast("int")
+
+
+def _length(e: Column) -> Column:
+    return e.bitwiseAND(F.lit(255)).cast("int")
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+
+
+def _ends(e: Column) -> Column:
+    return _bit(_place(e)).bitwiseOR(_bit(_place(e) + _length(e)))
 
-MASKED = 62  # so many characters have a bit each in a long, with one more for the end
 
+def _inside(e: Column) -> Column:
+    return _bit(_place(e) + _length(e)) - _bit(_place(e) + 1)
 
-def _merge_mask(edges: Column, length: Column) -> Column:
-    """The boundaries of a BPE word as bits. An edge applies if both its ends are boundaries and one is left between them."""
 
-    def step(mask: Column, e: Column) -> Column:
-        inside = mask.bitwiseAND(e["inside"])
-        fits = (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(inside) == 1)
-        return F.when(fits, mask.bitwiseXOR(inside)).otherwise(mask)
+def _fits(mask: Column, e: Column) -> Column:
+    """Whether both ends of an edge are boundaries, and one is left between them."""
+    return (mask.bitwiseAND(_ends(e)) == _ends(e)) & (F.bit_count(mask.bitwiseAND(_inside(e))) == 1)
 
-    every = F.call_function("shiftleft", F.lit(2).cast("bigint"), length) - 1
-    return F.aggregate(edges, every, step)
 
+def _every(length: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(2).cast("bigint"), length) - 1
 
-def _merge_fold(edges: Column, length: Column) -> Column:
-    """The same for words of any length: the boundaries as an array."""
 
-    def step(cuts: Column, e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        inside = F.size(F.filter(cuts, lambda c: (c > a) & (c < b)))
-        fits = (inside == 1) & F.array_contains(cuts, a) & F.array_contains(cuts, b)
-        return F.when(fits, F.filter(cuts, lambda c: (c <= a) | (c >= b))).otherwise(cuts)
+def _merge_fold(merges: Column, length: Column) -> Column:
+    """The boundaries of a BPE word as bits, by one pass over its edges."""
+    return F.aggregate(merges, _every(length), lambda mask, e: F.when(_fits(mask, e), mask.bitwiseXOR(mask.bitwiseAND(_inside(e)))).otherwise(mask))
 
-    return F.aggregate(edges, F.sequence(F.lit(0), length), step)
 
+def _merge_steps(merges: Column, length: Column) -> Column:
+    """The same, taking the first edge that fits at every step."""
 
-def _viterbi_fold(edges: Column, length: Column, unknown: float) -> Column:
-    """The boundaries of the path with the best sum of scores; characters without an edge cost ``unknown``. Ties go to the longer last piece."""
-    first = F.array(F.struct(F.lit(0.0).alias("sum"), F.array(F.lit(0)).alias("cuts")))
+    def step(mask: Column, _: Column) -> Column:
+        e = F.get(F.filter(merges, lambda x: _fits(mask, x)), F.lit(0))
+        return F.coalesce(mask.bitwiseXOR(mask.bitwiseAND(_inside(e))), mask)
+
+    return F.aggregate(F.sequence(F.lit(1), length), _every(length), step)
+
+
+def _viterbi_fold(edges: Column, length: Column, scores: Column, unknown: float) -> Column:
+    """The boundaries (bits) of the path with the best sum of scores; characters without a piece cost ``unknown``. Ties go to the longer last piece."""
+    first = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(1).cast("bigint").alias("mask")))
 
     def step(best: Column, end: Column) -> Column:
-        into = F.filter(edges, lambda e: e["b"] == end)
-        single = F.exists(into, lambda e: e["a"] == end - 1)
-        ways = F.transform(into, lambda e: F.struct((F.get(best, e["a"])["sum"] + e["score"]).alias("sum"), (-e["a"]).alias("back")))
-        other = F.array(F.struct((F.get(best, end - 1)["sum"] + F.lit(unknown)).alias("sum"), (1 - end).alias("back")))
-        top = F.array_max(F.when(single, ways).otherwise(F.concat(ways, other)))
-        return F.concat(best, F.array(F.struct(top["sum"].alias("sum"), F.concat(F.get(best, -top["back"])["cuts"], F.array(end)).alias("cuts"))))
+        into = F.filter(edges, lambda e: _place(e) + _length(e) == end)
+        ways = F.transform(into, lambda e: F.struct((F.get(best, _place(e))["sum"] + F.coalesce(F.get(scores, _number(e)), F.lit(unknown))).alias("sum"), _length(e).alias("back")))
+        top = F.array_max(ways)
+        return F.concat(best, F.array(F.struct(top["sum"].alias("sum"), F.get(best, end - top["back"])["mask"].bitwiseOR(_bit(end)).alias("mask"))))
+
+    return F.get(F.aggregate(F.sequence(F.lit(1), length), first, step), length)["mask"]
 
-    return F.get(F.aggregate(F.filter(F.sequence(F.lit(0), length), lambda i: i > 0), first, step), length)["cuts"]
+
+def _number(e: Column) -> Column:
+    return (_shift(e, 42) + _shift(e, 8).bitwiseAND(F.lit(255))).cast("int")
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """word, n, edges: the substrings that are pieces, and all single characters (id null where no piece is one), highest score first.
+    """key, edges: the substrings of ``word`` that are pieces and all single characters, packed and sorted, by ``key``.
 
-    Where ``words`` comes partitioned by word, nothing here is shuffled.
+    Columns of words: key, word, base (the place of word in what the key stands for) and reach (so many of its
+    characters begin substrings here). Where ``words`` comes partitioned by key, nothing is shuffled.
     """
-    w = words.select("word", F.char_length("word").alias("n")).filter("n > 0")
-    starts = w.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
-    subs = starts.select("word", "n", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.col("n"), F.col("a") + model.longest))).alias("b"))
-    pieces = F.broadcast(model.table(words.sparkSession))  # a vocabulary: some 32,000 rows
-    found = subs.withColumn("piece", F.expr("substring(word, a + 1, b - a)")).join(pieces, "piece", "left")
-    found = found.filter((F.col("b") - F.col("a") == 1) | F.col("id").isNotNull())
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
-    edge = F.struct((-F.col("score")).alias("cost"), "a", "b", "id", (bit(F.col("a")).bitwiseOR(bit(F.col("b")))).alias("ends"), (bit(F.col("b")) - bit(F.col("a") + 1)).alias("inside"), F.when(F.col("id").isNull(), F.hex(F.encode("piece", "UTF-8"))).alias("bytes"))
-    return found.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-
-def _ids(path: Column, byte_ids: list[int]) -> Column:
+    starts = words.select("key", "word", "base", F.char_length("word").alias("n"), F.explode(F.sequence(F.lit(0), F.col("reach") - 1)).alias("a"))
+    subs = starts.select("key", "word", "base", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("a")))).alias("len"))
+    # a vocabulary: some 32,000 rows; joined on a number, which is looked up much faster than a string, and compared in full
+    pieces = F.broadcast(model.table(words.sparkSession).select(F.xxhash64("piece").alias("hash"), F.col("piece").alias("known"), "edge"))
+    found = subs.withColumn("piece", F.expr("substring(word, a + 1, len)")).withColumn("hash", F.xxhash64("piece")).join(pieces, "hash", "left")
+    same = F.coalesce(F.col("piece").startswith(F.col("known")) & (_length(F.col("edge")) == F.col("len")), F.lit(False))
+    found = found.withColumn("same", same).filter((F.col("len") == 1) | F.col("same"))
+    edge = F.when(F.col("same"), F.col("edge")).otherwise(F.lit(_pack(UNKNOWN, 0, 0, 1))) + F.call_function("shiftleft", (F.col("base") + F.col("a")).cast("bigint"), F.lit(16))
+    return found.select("key", edge.alias("edge")).groupBy("key").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def _long_path(kind: int, edges: list[int], scores: list[float], unknown: float) -> list[int]:
+    """The edges of the path of a word of any length."""
+    place = lambda e: e >> 16 & PLACES
+    by = {(place(e), place(e) + (e & 255)): e for e in edges}
+    n = max(b for _, b in by)
+    if kind == BPE:
+        end, begin, heap = list(range(1, n + 1)), {i + 1: i for i in range(n)}, [by[i, i + 2] for i in range(n - 1) if (i, i + 2) in by]
+        heapq.heapify(heap)
+        while heap:
+            a = place(e := heapq.heappop(heap))
+            b, middle = a + (e & 255), end[a]
+            if not 0 < middle < b or end[middle] != b:
+                continue
+            end[a], end[middle], begin[b] = b, 0, a
+            for pair in ((begin.get(a, -1), b), (a, end[b] if b < n else -1)):
+                if pair in by and end[pair[0]] in (a, b):
+                    heapq.heappush(heap, by[pair])
+    else:
+        sums, back, into = [0.0] + [float("-inf")] * n, [0] * (n + 1), [[] for _ in range(n + 1)]
+        for (a, b), e in by.items():
+            number = (e >> 42) + (e >> 8 & 255)
+            into[b].append((a, scores[number] if number < len(scores) else unknown))
+        for b in range(1, n + 1):
+            sums[b], back[b] = max((sums[a] + s, b - a) for a, s in into[b])
+        end, b = [0] * n, n
+        while b:
+            end[b - back[b]], b = b, b - back[b]
+    out, a = [], 0
+    while a < n:
+        out.append(by[a, end[a]])
+        a = end[a]
+    return out
+
+
+def _ids(path: Column, word: Column, model: Model) -> Column:
     """The ids of the edges of a path, in order; characters without a piece give one id per byte."""
-    numbers = F.array(*[F.lit(i) for i in byte_ids])
-    of_bytes = lambda h: F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda k: F.get(numbers, F.conv(F.substring(h, k, 2), 16, 10).cast("int")))
-    ordered = F.array_sort(F.transform(path, lambda e: F.struct(e["a"], e["id"], e["bytes"])))
-    unknown = F.exists(ordered, lambda e: e["id"].isNull())
-    return F.when(unknown, F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNull(), of_bytes(e["bytes"])).otherwise(F.array(e["id"]))))).otherwise(F.transform(ordered, lambda e: e["id"]))
+    listed = lambda xs: F.split(F.lit(" ".join(map(str, xs))), " ").cast("array<int>")  # noqa: E731  folded to one literal
+    ids, of_byte = listed([i for _, i, *_ in model.plain]), listed(model.bytes())
+    ordered = F.sort_array(F.transform(path, lambda e: F.call_function("shiftleft", _place(e).cast("bigint"), F.lit(21)) + _number(e)))
+    id_of = lambda x: F.get(ids, x.bitwiseAND(F.lit((1 << 21) - 1)).cast("int"))
+    hexed = lambda x: F.hex(F.encode(F.substring(word, _shift(x, 21).cast("int") + 1, F.lit(1)), "UTF-8"))
+    of_bytes = lambda h: F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda k: F.get(of_byte, F.conv(F.substring(h, k, F.lit(2)), 16, 10).cast("int")))
+    each = F.flatten(F.transform(ordered, lambda x: F.coalesce(F.when(id_of(x).isNotNull(), F.array(id_of(x))), of_bytes(hexed(x)))))
+    return F.when(F.exists(path, lambda e: _number(e) >= UNKNOWN), each).otherwise(F.transform(ordered, id_of))
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids) for a table of distinct words, blanks written as the model's sign; all in DataFrame operations."""
-    numbers = model.bytes()
-    merges = F.filter("edges", lambda e: e["b"] - e["a"] > 1)
-    by_array = lambda df, cuts: df.select("word", "edges", cuts.alias("cuts")).select("word", F.filter("edges", lambda e: F.get("cuts", F.array_position("cuts", e["a"]).cast("int")) == e["b"]).alias("path"))
-    if model.kind != BPE:
-        known = F.transform(F.filter("edges", lambda e: e["id"].isNotNull()), lambda e: F.struct(e["a"], e["b"], (-e["cost"]).alias("score")))
-        path = by_array(lattice(words, model), _viterbi_fold(known, F.col("n"), min(s for _, _, s, _ in model.pieces) - 10))
+    """(word, ids) for a table of distinct words, blanks written as the model's sign."""
+    scores, unknown = [s for _, _, s, _ in model.plain], min(s for _, _, s, _ in model.pieces) - 10
+    n = F.char_length("word")
+    short = words.filter(n.between(1, MASKED)).select(F.col("word").alias("key"), "word", F.lit(0).alias("base"), n.alias("reach"))
+    short = lattice(short, model).select(F.col("key").alias("word"), "edges", F.char_length("key").alias("n"))
+    if model.kind == BPE:
+        short = short.withColumn("merges", F.filter("edges", lambda e: _length(e) > 1)).withColumn("mask", _merge_fold(F.col("merges"), F.col("n")))
+        again = F.exists("merges", lambda e: _fits(F.col("mask"), e) | (_shift(e, 8).bitwiseAND(F.lit(255)) > 0))
+        mask = F.when(again, _merge_steps(F.col("merges"), F.col("n"))).otherwise(F.col("mask"))
     else:
-        short = lattice(words.filter(F.char_length("word") <= MASKED), model).withColumn("mask", _merge_mask(merges, F.col("n")))
-        on_path = lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inside"]) == 0)
-        short = short.select("word", F.filter("edges", on_path).alias("path"))
-        path = short.union(by_array(lattice(words.filter(F.char_length("word") > MASKED), model), _merge_fold(merges, F.col("n"))))
-    return path.select("word", _ids(F.col("path"), numbers).alias("ids"))
+        listed = F.split(F.lit(" ".join(map(repr, scores))), " ").cast("array<double>")
+        mask = _viterbi_fold(F.col("edges"), F.col("n"), listed, unknown)
+    short = short.select("word", "edges", mask.alias("mask"))
+    on_path = lambda e: (F.col("mask").bitwiseAND(_ends(e)) == _ends(e)) & (F.col("mask").bitwiseAND(_inside(e)) == 0)
+    short = short.select("word", F.filter("edges", on_path).alias("path"))
+
+    kind = model.kind
+
+    @F.pandas_udf("array<bigint>")
+    def path_of(edges: pd.Series) -> pd.Series:
+        return pd.Series([_long_path(kind, [int(e) for e in x], scores if kind != BPE else [], unknown) for x in edges])
+
+    long = words.filter(n > MASKED).select(F.sha2("word", 256).alias("key"), "word")
+    cut = long.select("key", "word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1, F.lit(MASKED))).alias("base"))
+    cut = cut.select("key", F.expr(f"substring(word, base + 1, {MASKED + model.longest})").alias("word"), "base", F.least(F.lit(MASKED), F.char_length("word") - F.col("base")).alias("reach"))
+    long = lattice(cut, model).join(long, "key").select("word", path_of("edges").alias("path"))
+    return short.union(long).select("word", _ids(F.col("path"), F.col("word"), model).alias("ids"))
 
 
 def decode_words(coded: DataFrame, model: Model) -> DataFrame:
-    """(word, ids, decoded): the ids of a word joined back to the piece table, bytes put together; only distinct words pass here."""
-    rows = [(i, p.encode().hex() if t != 6 else p[3:5]) for p, i, _, t in model.pieces if t in (1, 4, 6)]
-    names = coded.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["id", "data"]), "id int, data string")
-    # the outer form: from the other, the planner would infer a filter that computes the ids again
-    parts = coded.select("word", F.posexplode_outer("ids").alias("k", "id")).join(F.broadcast(names), "id")
-    back = parts.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "id", "data"))).alias("p"))
-    return back.select("word", F.col("p.id").alias("ids"), F.decode(F.unhex(F.array_join(F.col("p.data"), "")), "UTF-8").alias("decoded"))
+    """(word, ids, decoded): the pieces of a word's ids, their bytes put together; only distinct words pass here."""
+    data = {i: p.encode().hex() if t == 1 else p[3:5] for p, i, _, t in model.pieces if t in (1, 6)}
+    names = F.split(F.lit(" ".join(data.get(i, "") for i in range(len(model.pieces)))), " ")
+    return coded.select("word", "ids", F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get(names, i)), "")), "UTF-8").alias("decoded"))
 
 
 def _units(text: str, prefix: bool) -> list[str]:
-    """Words of a text with blanks as the model's sign: each begins where a blank follows other than a blank."""
+    """The parts of a text between blanks, with blanks as the model's sign: each begins where a blank follows other than a blank."""
     text = (" " if prefix else "") + text
     out, at = [], 0
     parts = text.split(" ")
@@ -202,69 +313,120 @@ def _units(text: str, prefix: bool) -> list[str]:
     return [*out, text[at:]]
 
 
+class Cutter:
+    """Cuts units where two neighbours stand side by side in no piece."""
+
+    def __init__(self, pairs: list[str]):
+        letters = sorted({c for p in pairs for c in p})
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for a, b in pairs:
+            self.joined[self.number[ord(a)], self.number[ord(b)]] = True
+
+    def __call__(self, units: list[str]) -> tuple[list[str], list[int]]:
+        """The words of all units, and the number of the first word of each unit, with the number of words at the end."""
+        text = "".join(units)
+        if not text:
+            return [], [0]
+        own = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cuts = np.concatenate([[True], ~self.joined[own[:-1], own[1:]]])
+        begins = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+        cuts[begins[:-1]] = True
+        places = np.flatnonzero(cuts)
+        ends = [*places[1:].tolist(), len(text)]
+        return [text[a:b] for a, b in zip(places.tolist(), ends, strict=True)], np.searchsorted(places, begins).tolist()
+
+
 def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_ids, ids_sha256 (ids as little-endian 32-bit numbers), decoded_sha256, round_trip (decoded equals the text), and ids if asked for."""
     spark, work, model = docs.sparkSession, Workspace(docs.sparkSession, "sentencepiece"), Model(model_path)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    # a block is what one task has read; its number is stored, so both passes mean the same rows
-    blocks = work.keep(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.spark_partition_id().alias("block")), "blocks", codec="zstd")
-    prefix = model.prefix
+    kind = docs.schema[doc_id].dataType
+    # the number of a block is stored, so that both passes mean the same rows
+    block = F.floor(F.monotonically_increasing_id() / BLOCK).cast("bigint")
+    blocks = work.keep(docs.select(carried(F.col(doc_id), kind).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), block.alias("block")), "blocks", codec="zstd")
+    prefix, neighbours = model.prefix, model.neighbours()
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, set[str]] = {}
+        cutter, units, words, now = Cutter(neighbours), set(), set(), None
+
+        def frames() -> Iterator[pd.DataFrame]:
+            words.update(cutter(list(units))[0])
+            every = list(words)
+            for i in range(0, len(every), 50_000):
+                yield pd.DataFrame({"block": now, "word": every[i : i + 50_000]})
+            units.clear()
+            words.clear()
+
         for b in batches:
-            for block, value in zip(b["block"], b["text"], strict=True):
+            for own, value in zip(b["block"], b["text"], strict=True):
+                if own != now:
+                    if now is not None:
+                        yield from frames()
+                    now = own
                 if value:
-                    seen.setdefault(block, set()).update(_units(value, prefix))
-        for block, own in seen.items():
-            own_list = list(own)
-            for i in range(0, len(own_list), 100_000):
-                part = own_list[i : i + 100_000]
-                yield pd.DataFrame({"block": np.full(len(part), block, np.int32), "word": part})
-
-    pairs = work.keep(blocks.mapInPandas(words_of, "block int, word string"), "pairs", codec="zstd")
-    # one exchange by word; the lattice, its groups and the way back all stay within that partitioning
-    # so many words to a task that the edges of their lattices are grouped in memory
+                    units.update(_units(value, prefix))
+                if len(units) > 200_000:
+                    words.update(cutter(list(units))[0])
+                    units.clear()
+        if now is not None:
+            yield from frames()
+
+    pairs = work.keep(blocks.mapInPandas(words_of, "block bigint, word string"), "pairs", codec="zstd")
+    # one exchange by word; the lattice and its groups stay within that partitioning, and
+    # a task has so many words that it groups their edges in memory
     tasks = max(1, -(-pairs.count() // WORDS))
     distinct = pairs.select("word").repartition(tasks, "word").distinct()
-    coded = work.keep(decode_words(encode_words(distinct, model), model), "coded", codec="zstd")
+    with work.setting("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 2 * WORDS):
+        coded = work.keep(decode_words(encode_words(distinct, model), model), "coded", codec="zstd")
     work.release()
     # what decodes to itself, nearly every word, needs no second copy
     coded = coded.withColumn("decoded", F.when(F.col("decoded") != F.col("word"), F.col("decoded")))
-    book = pairs.distinct().join(coded, "word").select("block", "word", "ids", "decoded")
-    work.keep(book.repartition("block").sortWithinPartitions("block"), "book", codec="zstd")
+    book = pairs.join(coded, "word").select("block", "word", "ids", "decoded")
+    # a block's dictionary is a folder of its own, which its texts open by name
+    work.keep(book.repartition("block").sortWithinPartitions("block"), "book", codec="zstd", by="block")
     work.drop("pairs", "coded")
     work.release()
     where = work.at("book")
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready, known = None, {}
+        cutter, ready, book, odd, known, said = Cutter(neighbours), None, {}, {}, {}, {}
         for b in batches:
             out = []
             for doc, value, block in zip(b["doc_id"], b["text"], b["block"], strict=True):
                 if block != ready:
-                    known, ready = _book(where, int(block)), block
-                parts = [known[u] for u in _units(value, prefix)] if value else []
-                data = b"".join(p[0] for p in parts)
-                back = "".join(p[1] for p in parts).replace(SPACE, " ")
-                back = back[1:] if prefix and parts else back
-                row = (doc, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == value.replace(SPACE, " "))
+                    book, odd = _book(where, int(block))
+                    known, said, ready = {}, {}, block
+                units = _units(value, prefix) if value else []
+                if fresh := [u for u in set(units) if u not in known]:
+                    words, at = cutter(fresh)
+                    for u, i, j in zip(fresh, at[:-1], at[1:], strict=True):
+                        known[u] = b"".join([book[w] for w in words[i:j]])
+                        if odd and not odd.keys().isdisjoint(words[i:j]):
+                            said[u] = "".join([odd.get(w, w) for w in words[i:j]])
+                data = b"".join([known[u] for u in units])
+                back = "".join([said.get(u, u) for u in units] if said else units).replace(SPACE, " ")
+                back = back[1:] if prefix and units else back
+                row = (doc, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == value)
                 out.append((*row, np.frombuffer(data, "<u4").astype(np.int32)) if with_ids else row)
             yield pd.DataFrame(out, columns=["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip", "ids"][: 6 if with_ids else 5])
 
-    schema = f"doc_id {kind}, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
-    return blocks.mapInPandas(put_together, schema)
+    schema = f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
+    out = blocks.mapInPandas(put_together, schema)
+    return out.withColumn("doc_id", restored(F.col("doc_id"), kind))
 
 
-def _book(where: str, block: int) -> dict[str, tuple[bytes, str]]:
-    """The dictionary of one block, read from the shared folder."""
+def _book(where: str, block: int) -> tuple[dict[str, bytes], dict[str, str]]:
+    """The dictionary of one block, read from the shared folder: ids by word, and what doesn't decode to itself."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(where)
-    got = ds.dataset(at, filesystem=system, format="parquet").to_table(filter=ds.field("block") == block, columns=["word", "ids", "decoded"])
-    if not got.num_rows:
-        return {}
+    system, at = fs.FileSystem.from_uri(f"{where}/block={block}")
+    if system.get_file_info(at).type == fs.FileType.NotFound:
+        return {}, {}
+    got = ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["word", "ids", "decoded"])
     ids = got["ids"].combine_chunks()
     offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-    return {w: (values[a:b].tobytes(), w if d is None else d) for w, d, a, b in zip(got["word"].to_pylist(), got["decoded"].to_pylist(), offsets[:-1], offsets[1:], strict=True)}
+    words = got["word"].to_pylist()
+    odd = {w: d for w, d in zip(words, got["decoded"].to_pylist(), strict=True) if d is not None}
+    return {w: values[a:b].tobytes() for w, a, b in zip(words, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)}, odd

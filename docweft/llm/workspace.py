@@ -10,20 +10,21 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _live: list["Workspace"] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one of our own only where none is set."""
+    """The shared folder of the session. A local one of our own only where none is set and all tasks run in the driver's own process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"docweft-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (root or "file://" + os.path.join(tempfile.gettempdir(), f"docweft-{os.getpid()}")).rstrip("/")
 
 
 class Workspace:
@@ -36,17 +37,23 @@ class Workspace:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def keep(self, df: DataFrame, name: str, batch: int = 1000, codec: str = "snappy") -> DataFrame:
+    @contextmanager
+    def setting(self, key: str, value: object) -> Iterator[None]:
+        """A setting of the session while something is written."""
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
+
+    def keep(self, df: DataFrame, name: str, batch: int = 1000, codec: str = "snappy", by: str | None = None) -> DataFrame:
         """Write df and read it back; the schema is passed on, so that empty tables work.
 
-        Python operators in df get ``batch`` rows at a time, as whole texts can be long.
+        Python operators in df get at most ``batch`` rows and some 8 MB at a time, as whole texts can be long.
         """
-        before = self.spark.conf.get(BATCH, None)
-        self.spark.conf.set(BATCH, batch)
-        try:
-            df.write.mode("overwrite").parquet(self.at(name), compression=codec)
-        finally:
-            self.spark.conf.unset(BATCH) if before is None else self.spark.conf.set(BATCH, before)
+        with self.setting(BATCH, batch), self.setting(BATCH_BYTES, 8 << 20):
+            df.write.mode("overwrite").parquet(self.at(name), compression=codec, partitionBy=by)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:

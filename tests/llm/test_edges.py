@@ -1,5 +1,6 @@
 """Nulls, empty tables, repeated rows, ties, long texts and clashing column names, for every operator."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -72,8 +73,6 @@ def test_near_dedup(spark, width, percent):
 
 
 def test_near_dedup_finds_chains_and_groups(spark):
-    import random
-
     rng = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     rows, n = [], 0
@@ -121,8 +120,6 @@ def check_places(out, size):
 
 
 def test_packing_tree(spark):
-    import random
-
     rng = random.Random(1)
     df = spark.createDataFrame([(i, "x" * rng.randint(1, 900)) for i in range(4000)], "doc_id bigint, text string").repartition(12)
     ids = lambda s: b"\1\0\0\0" * len(s)
@@ -134,8 +131,6 @@ def test_packing_tree(spark):
 
 
 def test_packing_of_a_table_sorted_by_length(spark):
-    import random
-
     import numpy as np
 
     rng = random.Random(2)
@@ -156,31 +151,34 @@ def test_sentencepiece(spark):
 
     path = tokenizer_path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = [t for t in TEXTS if t != LONG + " tail"] + ["  two  blanks ", "a   b", " ", "tab\tand\nline ", "ünï çødé 漢 😀"]
-    df = docs(spark, list(enumerate(texts)))
+    rng = random.Random(3)
+    texts = [*TEXTS, "  two  blanks ", "a   b", " ", "tab\tand\nline ", "ünï çødé 漢 😀", "a▁b", " " * 7 + "x" + " " * 40, "".join(" " * n + "x" for n in range(1, 40))]
+    texts += ["international" * 5, "https://example.org/a/very/long/path/with-many-parts/and_more?query=1234567&x=abcdefghijklmnop", *["a" * n for n in range(58, 66)], "ab" * 5000, "漢字かな" * 25_000, "e" * 100_000]
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABC+/=", k=20_000)), " ".join("".join(rng.choices(["the", "re", "in", "ation", "s", "e", "t"], k=rng.randint(5, 30))) for _ in range(3000))]
+    base = 2**60 + 1
+    df = docs(spark, [*[(base + i, t) for i, t in enumerate(texts)], (None, "null id")])
     out = {r.doc_id: r for r in sentencepiece_lattice.encode(df, path, with_ids=True).collect()}
     for i, t in enumerate(texts):
-        assert list(out[i].ids) == sp.encode(t or ""), t
-        assert out[i].round_trip
+        assert list(out[base + i].ids) == sp.encode(t or ""), t
+        assert out[base + i].round_trip == ("▁" not in (t or ""))
+    assert list(out[None].ids) == sp.encode("null id")
     assert sentencepiece_lattice.encode(docs(spark, []), path).collect() == []
 
 
 def test_viterbi_fold(spark):
     pieces = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -4.5, "c": -3.0, "bc": -2.2, "▁": -0.5, "▁a": -1.2}
 
-    class Unigram:
-        kind, prefix, longest = sentencepiece_lattice.UNIGRAM, True, 3
+    class Unigram(sentencepiece_lattice.Model):
+        kind, prefix = sentencepiece_lattice.UNIGRAM, True
 
         def __init__(self):
             self.pieces = [(p, i, s, 1) for i, (p, s) in enumerate(pieces.items())]
-
-        def table(self, spark):
-            return spark.createDataFrame([(p, i, s) for p, i, s, _ in self.pieces], "piece string, id int, score double")
+            self.arrange()
 
         def bytes(self):
             return list(range(1000, 1256))
 
-    words = ["▁abc", "▁aabbcc", "▁", "▁axb", "abcabc", "é", "cba"]
+    words = ["▁abc", "▁aabbcc", "▁", "▁axb", "abcabc", "é", "cba", "▁" + "abcbxc" * 15]
     out = {r.word: list(r.ids) for r in sentencepiece_lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), Unigram()).collect()}
     number = {p: i for i, p in enumerate(pieces)}
     for w in words:
@@ -206,8 +204,6 @@ def test_line_templates_splits_large_leaves(spark, monkeypatch):
 
 
 def test_line_templates_do_not_depend_on_the_size_of_leaves(spark, monkeypatch):
-    import random
-
     rng = random.Random(4)
     name = lambda i: f"Mac{chr(97 + i % 26)}{chr(97 + i // 26)}"
     rows = [(i, f"Dear Mr {name(i)} thank you for your letter of today") for i in range(60)]

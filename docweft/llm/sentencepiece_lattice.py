@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -342,9 +343,14 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     """One row per row of docs: doc_id, n_ids, ids_sha256 (ids as little-endian 32-bit numbers), decoded_sha256, round_trip (decoded equals the text), and ids if asked for."""
     spark, work, model = docs.sparkSession, Workspace(docs.sparkSession, "sentencepiece"), Model(model_path)
     kind = docs.schema[doc_id].dataType
-    # the number of a block is stored, so that both passes mean the same rows
-    block = F.floor(F.monotonically_increasing_id() / BLOCK).cast("bigint")
-    blocks = work.keep(docs.select(carried(F.col(doc_id), kind).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), block.alias("block")), "blocks", codec="zstd")
+    columns = [carried(F.col(doc_id), kind).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
+    # both passes have to mean the same rows by a block: of files it is a range of row numbers, else rows and blocks are stored
+    try:
+        file = docs.metadataColumn("_metadata")
+        blocks = docs.select(*columns, F.xxhash64(file["file_path"], F.floor(file["row_index"] / BLOCK)).alias("block"))
+    except AnalysisException:
+        block = F.floor(F.monotonically_increasing_id() / BLOCK).cast("bigint")
+        blocks = work.keep(docs.select(*columns, block.alias("block")), "blocks", codec="zstd")
     prefix, neighbours = model.prefix, model.neighbours()
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -352,7 +358,7 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
 
         def frames() -> Iterator[pd.DataFrame]:
             words.update(cutter(list(units))[0])
-            every = list(words)
+            every = sorted(words)  # sorted words take half the bytes
             for i in range(0, len(every), 50_000):
                 yield pd.DataFrame({"block": now, "word": every[i : i + 50_000]})
             units.clear()
@@ -384,7 +390,7 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     coded = coded.withColumn("decoded", F.when(F.col("decoded") != F.col("word"), F.col("decoded")))
     book = pairs.join(coded, "word").select("block", "word", "ids", "decoded")
     # a block's dictionary is a folder of its own, which its texts open by name
-    work.keep(book.repartition("block").sortWithinPartitions("block"), "book", codec="zstd", by="block")
+    work.keep(book.repartition("block").sortWithinPartitions("block", "word"), "book", codec="zstd", by="block")
     work.drop("pairs", "coded")
     work.release()
     where = work.at("book")

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .keys import carried, restored
 from .workspace import Workspace
 
-SPACE, UNIGRAM, BPE, WORDS, BLOCK = "▁", 1, 2, 100_000, 4096
+SPACE, UNIGRAM, BPE, WORDS, BLOCK = "▁", 1, 2, 100_000, 6144
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -158,26 +158,31 @@ def _inside(e: Column) -> Column:
     return _bit(_place(e) + _length(e)) - _bit(_place(e) + 1)
 
 
+def _spread(edges: Column) -> Column:
+    """Packed edges with the bits of their ends and of the places between them; single characters have none between."""
+    return F.transform(edges, lambda e: F.struct(e.alias("e"), _ends(e).alias("ends"), _inside(e).alias("inside")))
+
+
 def _fits(mask: Column, e: Column) -> Column:
     """Whether both ends of an edge are boundaries, and one is left between them."""
-    return (mask.bitwiseAND(_ends(e)) == _ends(e)) & (F.bit_count(mask.bitwiseAND(_inside(e))) == 1)
+    return (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inside"])) == 1)
 
 
 def _every(length: Column) -> Column:
     return F.call_function("shiftleft", F.lit(2).cast("bigint"), length) - 1
 
 
-def _merge_fold(merges: Column, length: Column) -> Column:
+def _merge_fold(spread: Column, length: Column) -> Column:
     """The boundaries of a BPE word as bits, by one pass over its edges."""
-    return F.aggregate(merges, _every(length), lambda mask, e: F.when(_fits(mask, e), mask.bitwiseXOR(mask.bitwiseAND(_inside(e)))).otherwise(mask))
+    return F.aggregate(spread, _every(length), lambda mask, e: F.when(_fits(mask, e), mask.bitwiseXOR(mask.bitwiseAND(e["inside"]))).otherwise(mask))
 
 
-def _merge_steps(merges: Column, length: Column) -> Column:
+def _merge_steps(spread: Column, length: Column) -> Column:
     """The same, taking the first edge that fits at every step."""
 
     def step(mask: Column, _: Column) -> Column:
-        e = F.get(F.filter(merges, lambda x: _fits(mask, x)), F.lit(0))
-        return F.coalesce(mask.bitwiseXOR(mask.bitwiseAND(_inside(e))), mask)
+        e = F.get(F.filter(spread, lambda x: _fits(mask, x)), F.lit(0))
+        return F.coalesce(mask.bitwiseXOR(mask.bitwiseAND(e["inside"])), mask)
 
     return F.aggregate(F.sequence(F.lit(1), length), _every(length), step)
 
@@ -269,15 +274,17 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     short = words.filter(n.between(1, MASKED)).select(F.col("word").alias("key"), "word", F.lit(0).alias("base"), n.alias("reach"))
     short = lattice(short, model).select(F.col("key").alias("word"), "edges", F.char_length("key").alias("n"))
     if model.kind == BPE:
-        short = short.withColumn("merges", F.filter("edges", lambda e: _length(e) > 1)).withColumn("mask", _merge_fold(F.col("merges"), F.col("n")))
-        again = F.exists("merges", lambda e: _fits(F.col("mask"), e) | (_shift(e, 8).bitwiseAND(F.lit(255)) > 0))
-        mask = F.when(again, _merge_steps(F.col("merges"), F.col("n"))).otherwise(F.col("mask"))
+        short = short.select("word", "n", _spread(F.col("edges")).alias("edges"))
+        short = short.withColumn("mask", _merge_fold(F.col("edges"), F.col("n")))
+        again = F.exists("edges", lambda e: _fits(F.col("mask"), e) | (e["e"].bitwiseAND(F.lit(255 << 8)) > 0))
+        mask = F.when(again, _merge_steps(F.col("edges"), F.col("n"))).otherwise(F.col("mask"))
     else:
         listed = F.split(F.lit(" ".join(map(repr, scores))), " ").cast("array<double>")
-        mask = _viterbi_fold(F.col("edges"), F.col("n"), listed, unknown)
+        short = short.withColumn("mask", _viterbi_fold(F.col("edges"), F.col("n"), listed, unknown)).withColumn("edges", _spread(F.col("edges")))
+        mask = F.col("mask")
     short = short.select("word", "edges", mask.alias("mask"))
-    on_path = lambda e: (F.col("mask").bitwiseAND(_ends(e)) == _ends(e)) & (F.col("mask").bitwiseAND(_inside(e)) == 0)
-    short = short.select("word", F.filter("edges", on_path).alias("path"))
+    on_path = lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inside"]) == 0)
+    short = short.select("word", F.transform(F.filter("edges", on_path), lambda e: e["e"]).alias("path"))
 
     kind = model.kind
 
@@ -303,9 +310,6 @@ def _units(text: str, prefix: bool) -> list[str]:
     """The parts of a text between blanks, with blanks as the model's sign: each begins where a blank follows other than a blank."""
     text = (" " if prefix else "") + text
     out, at = [], 0
-    parts = text.split(" ")
-    if "" not in parts[1:] and SPACE not in text:  # the usual case: single blanks
-        return ([parts[0]] if parts[0] else []) + [SPACE + p for p in parts[1:]]
     text = text.replace(" ", SPACE)
     for i in range(1, len(text)):
         if text[i] == SPACE and text[i - 1] != SPACE:
@@ -314,6 +318,12 @@ def _units(text: str, prefix: bool) -> list[str]:
     return [*out, text[at:]]
 
 
+def _simple(text: str, prefix: bool) -> list[str] | None:
+    """The parts between single blanks, where each is a unit after its blank; None for other texts."""
+    parts = text.split(" ") if text and prefix and SPACE not in text else []
+    return parts if parts and "" not in parts else None
+
+
 class Cutter:
     """Cuts units where two neighbours stand side by side in no piece."""
 
@@ -353,15 +363,22 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
         blocks = work.keep(docs.select(*columns, block.alias("block")), "blocks", codec="zstd")
     prefix, neighbours = model.prefix, model.neighbours()
 
+    width = 2 if len(model.pieces) <= 1 << 16 else 4
+
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter, units, words, now = Cutter(neighbours), set(), set(), None
+        cutter, parts, units, words, now = Cutter(neighbours), set(), set(), set(), None
 
-        def frames() -> Iterator[pd.DataFrame]:
+        def take() -> None:
+            words.update(cutter([SPACE + p for p in parts])[0])
             words.update(cutter(list(units))[0])
+            parts.clear()
+            units.clear()
+
+        def frames() -> Iterator[pd.DataFrame]:
+            take()
             every = sorted(words)  # sorted words take half the bytes
             for i in range(0, len(every), 50_000):
                 yield pd.DataFrame({"block": now, "word": every[i : i + 50_000]})
-            units.clear()
             words.clear()
 
         for b in batches:
@@ -370,11 +387,12 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
                     if now is not None:
                         yield from frames()
                     now = own
-                if value:
+                if simple := _simple(value, prefix):
+                    parts.update(simple)
+                elif value:
                     units.update(_units(value, prefix))
-                if len(units) > 200_000:
-                    words.update(cutter(list(units))[0])
-                    units.clear()
+                if len(parts) + len(units) > 200_000:
+                    take()
         if now is not None:
             yield from frames()
 
@@ -383,11 +401,13 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     # a task has so many words that it groups their edges in memory
     tasks = max(1, -(-pairs.count() // WORDS))
     distinct = pairs.select("word").repartition(tasks, "word").distinct()
+    # what decodes to itself, nearly every word, needs no second copy; ids travel as little-endian numbers of two bytes if that will do
+    hexed = F.split(F.lit(" ".join(i.to_bytes(width, "little").hex() for i in range(len(model.pieces)))), " ")
+    coded = decode_words(encode_words(distinct, model), model)
+    data = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(hexed, i)), ""))
     with work.setting("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 2 * WORDS):
-        coded = work.keep(decode_words(encode_words(distinct, model), model), "coded", codec="zstd")
+        coded = work.keep(coded.select("word", data.alias("ids"), F.when(F.col("decoded") != F.col("word"), F.col("decoded")).alias("decoded")), "coded", codec="zstd")
     work.release()
-    # what decodes to itself, nearly every word, needs no second copy
-    coded = coded.withColumn("decoded", F.when(F.col("decoded") != F.col("word"), F.col("decoded")))
     book = pairs.join(coded, "word").select("block", "word", "ids", "decoded")
     # a block's dictionary is a folder of its own, which its texts open by name
     work.keep(book.repartition("block").sortWithinPartitions("block", "word"), "book", codec="zstd", by="block")
@@ -396,25 +416,46 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     where = work.at("book")
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter, ready, book, odd, known, said = Cutter(neighbours), None, {}, {}, {}, {}
+        cutter, now, book, odd = Cutter(neighbours), None, {}, {}
+        ids_of: dict[str, bytes] = {}  # by the part of a text after its blank
+        said: dict[str, str] = {}  # parts that don't decode to themselves
+
+        def learn(parts: list[str]) -> None:
+            words, at = cutter([SPACE + p for p in parts])
+            for p, i, j in zip(parts, at[:-1], at[1:], strict=True):
+                ids_of[p] = book[words[i]] if j == i + 1 else b"".join(map(book.__getitem__, words[i:j]))
+                if odd and not odd.keys().isdisjoint(words[i:j]):
+                    said[p] = "".join([odd.get(w, w) for w in words[i:j]])[1:]
+
+        def rows(texts: list[tuple]) -> Iterator[tuple]:
+            parts = [_simple(value, prefix) for _, value in texts]
+            if fresh := list(set().union(*filter(None, parts)).difference(ids_of)):
+                learn(fresh)
+            for (doc, value), own in zip(texts, parts, strict=True):
+                if own:
+                    data = b"".join([ids_of[p] for p in own])
+                    back = " ".join([said.get(p, p) for p in own]) if said else value
+                else:
+                    words = cutter(_units(value, prefix))[0] if value else []
+                    data = b"".join([book[w] for w in words])
+                    back = "".join([odd.get(w, w) for w in words]).replace(SPACE, " ")
+                    back = back[1:] if prefix and words else back
+                if width == 2:
+                    data = np.frombuffer(data, "<u2").astype("<u4").tobytes()
+                row = (doc, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == value)
+                yield (*row, np.frombuffer(data, "<u4").astype(np.int32)) if with_ids else row
+
         for b in batches:
-            out = []
+            out, texts = [], []
             for doc, value, block in zip(b["doc_id"], b["text"], b["block"], strict=True):
-                if block != ready:
+                if block != now:
+                    out.extend(rows(texts))
+                    texts, now = [], block
+                    ids_of.clear()
+                    said.clear()
                     book, odd = _book(where, int(block))
-                    known, said, ready = {}, {}, block
-                units = _units(value, prefix) if value else []
-                if fresh := [u for u in set(units) if u not in known]:
-                    words, at = cutter(fresh)
-                    for u, i, j in zip(fresh, at[:-1], at[1:], strict=True):
-                        known[u] = b"".join([book[w] for w in words[i:j]])
-                        if odd and not odd.keys().isdisjoint(words[i:j]):
-                            said[u] = "".join([odd.get(w, w) for w in words[i:j]])
-                data = b"".join([known[u] for u in units])
-                back = "".join([said.get(u, u) for u in units] if said else units).replace(SPACE, " ")
-                back = back[1:] if prefix and units else back
-                row = (doc, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == value)
-                out.append((*row, np.frombuffer(data, "<u4").astype(np.int32)) if with_ids else row)
+                texts.append((doc, value))
+            out.extend(rows(texts))
             yield pd.DataFrame(out, columns=["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip", "ids"][: 6 if with_ids else 5])
 
     schema = f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
@@ -431,8 +472,6 @@ def _book(where: str, block: int) -> tuple[dict[str, bytes], dict[str, str]]:
     if system.get_file_info(at).type == fs.FileType.NotFound:
         return {}, {}
     got = ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["word", "ids", "decoded"])
-    ids = got["ids"].combine_chunks()
-    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
     words = got["word"].to_pylist()
-    odd = {w: d for w, d in zip(words, got["decoded"].to_pylist(), strict=True) if d is not None}
-    return {w: values[a:b].tobytes() for w, a, b in zip(words, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)}, odd
+    odd = {} if got["decoded"].null_count == len(words) else {w: d for w, d in zip(words, got["decoded"].to_pylist(), strict=True) if d is not None}
+    return dict(zip(words, got["ids"].to_pylist(), strict=True)), odd

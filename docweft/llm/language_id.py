@@ -11,8 +11,13 @@ Words are runs of letters in lower case; each is padded by one blank on either s
 A null text and one without any letter get ``und`` and score 0. Ties go to the
 language that sorts first. Prototypes are fitted on at most about ``per_lang`` texts
 of each language, drawn by a hash of the row's identifier (the bound holds in
-expectation; it is the one bounded sample here). Whole texts are read, in pieces of
-``PIECE`` letters that are added up.
+expectation; it is the one bounded sample here), for the ``languages`` most frequent
+languages. Whole texts are read, in pieces of ``PIECE`` letters that are added up, so
+memory doesn't grow with a text or with the number of its letters.
+
+An empty table, or one without any language, has no prototypes, and every text is
+``und``. Repeated rows are scored each. Only the named columns are read, so other names
+can't clash.
 """
 
 from __future__ import annotations
@@ -26,13 +31,15 @@ from pyspark.sql import functions as F
 
 from .memory import give_back
 
-DIM, SEED, PIECE, GRAMS, UND = 1024, 20_240_801, 1 << 19, 1 << 13, "und"
+DIM, SEED, PIECE, GRAMS, LETTERS, UND = 1024, 20_240_801, 1 << 17, 1 << 12, 1 << 11, "und"
 
 _letters: dict[tuple[int, int], np.ndarray] = {}
 
 
 def letter_vector(code: int, dim: int = DIM) -> np.ndarray:
     if (v := _letters.get((code, dim))) is None:
+        if len(_letters) >= LETTERS:
+            _letters.clear()
         v = _letters[code, dim] = np.random.default_rng((SEED, code)).integers(0, 2, dim).astype(np.float32) * 2 - 1
     return v
 
@@ -67,7 +74,7 @@ def encode(texts: list[str | None], dim: int = DIM) -> np.ndarray:
             # a piece begins with the two characters before it, so that no n-gram is lost or counted twice
             held.append((i, " " * (at == 0) + text[max(0, at - 2) : at + PIECE] + " " * (at + PIECE >= len(text))))
             size += len(held[-1][1])
-            if size >= 2 * PIECE or len(held) >= 512:
+            if size >= 2 * PIECE or len(held) >= 256:
                 _add(out, held, dim)
                 held, size = [], 0
     if held:
@@ -75,6 +82,12 @@ def encode(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     return out
 
 
+def _turned(letters: np.ndarray, which: np.ndarray, places: int, dim: int) -> np.ndarray:
+    """The rotated vectors of some letters, one row for each of ``which``."""
+    used, row = np.unique(which, return_inverse=True)
+    return np.roll(np.stack([letter_vector(int(c), dim) for c in letters[used]]), places, 1)[row]
+
+
 def _add(out: np.ndarray, held: list[tuple[int, str]], dim: int) -> None:
     """Add the n-grams of some pieces: count each n-gram by piece, then multiply counts by n-gram vectors."""
     seqs = [_codes(text) for _, text in held]
@@ -88,7 +101,7 @@ def _add(out: np.ndarray, held: list[tuple[int, str]], dim: int) -> None:
     if not len(fits):
         return
     code = (index[fits].astype(np.int64) * k + index[fits + 1]) * k + index[fits + 2]
-    if k**3 <= 1 << 22:
+    if k**3 <= 1 << 20:
         seen = np.zeros(k**3, np.int32)
         seen[code] = 1
         grams = np.flatnonzero(seen)
@@ -96,23 +109,22 @@ def _add(out: np.ndarray, held: list[tuple[int, str]], dim: int) -> None:
         column = seen[code]
     else:
         grams, column = np.unique(code, return_inverse=True)
-    vectors = np.stack([letter_vector(int(c), dim) for c in letters])
-    one, two = np.roll(vectors, 2, 1), np.roll(vectors, 1, 1)
     to, of = np.array([i for i, _ in held]), owner[fits]
     for first in range(0, len(grams), GRAMS):  # so many n-gram vectors are held at a time
         own = grams[first : first + GRAMS]
-        bound = one[own // (k * k)]
-        bound *= two[own // k % k]
-        bound *= vectors[own % k]
+        bound = _turned(letters, own // (k * k), 2, dim)
+        bound *= _turned(letters, own // k % k, 1, dim)
+        bound *= _turned(letters, own % k, 0, dim)
         mine = slice(None) if len(grams) <= GRAMS else (column >= first) & (column < first + len(own))
         counts = np.bincount(of[mine] * len(own) + column[mine] - first, minlength=len(held) * len(own)).reshape(len(held), len(own))
         np.add.at(out, to, counts.astype(np.float32) @ bound)
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, dim: int = DIM) -> dict[str, list[float]]:
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, languages: int = 1000, dim: int = DIM) -> dict[str, list[float]]:
     """Prototypes {language: vector} of the rows, which all count as training rows; null languages don't."""
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key")).filter("lang is not null")
-    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in often}
     if not share:
         return {}
     wanted = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))

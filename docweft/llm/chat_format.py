@@ -6,14 +6,18 @@ Grammar of the rendered text::
     turn         := "### " role ": " text " </turn>\n"
 
 A role ends at the first ": ", a text at the first " </turn>\n"; the parser
-undoes backslash escapes in both. A turn is first rendered as it is and parsed
+undoes backslash escapes in both, and takes no role or text that holds a control string
+("### " or "</turn>") without an escape. A turn is first rendered as it is and parsed
 again. Where the parser doesn't give the turn back, its controls are escaped
-(backslash, "###", "</turn>", and the blank of ": " in roles), and it is parsed once more. A
-conversation whose parse still differs is escaped in every turn.
+(backslash, "### ", "</turn>", and the blank of ": " in roles), and it is parsed once more. A
+conversation whose parse still differs is escaped in every turn. So no control string of
+a text stays bare, and the texts come back as they were.
 
 Nulls: a null role or text counts as empty. Ties: rows of equal turn are ordered
 by role, then text; repeated rows are repeated turns; a null turn comes first. A
-null conv_id is a conversation of its own. An empty table gives an empty result.
+null conv_id is a conversation of its own; ids are carried exactly beside it. An empty table
+gives an empty result. A conversation of any length is one row, so it has to fit into
+a task; Arrow batches are bounded by bytes as well as by rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import carried, restored
+
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
@@ -32,7 +38,8 @@ FORMATTED = "formatted string, spans array<struct<start:int,stop:int>>, escaped_
 
 
 def escape(s: str, role: bool = False) -> str:
-    s = s.replace("\\", "\\\\").replace("###", "\\###").replace("</turn>", "\\</turn>")
+    # a "###" at the end meets the blank that follows it
+    s = (s.replace("\\", "\\\\") + " ").replace("### ", "\\### ").replace("</turn>", "\\</turn>")[:-1]
     return s.replace(": ", ":\\ ") if role else s
 
 
@@ -40,6 +47,12 @@ def unescape(s: str) -> str:
     return _ESCAPED.sub(r"\1", s) if "\\" in s else s
 
 
+def _bare(s: str) -> bool:
+    """Whether a control string stands in s without an escape."""
+    plain = _ESCAPED.sub("\0", s) + " "
+    return "### " in plain or "</turn>" in plain
+
+
 def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{OPEN}{role}{MIDDLE}{text}{CLOSE}" for role, text in turns)
 
@@ -55,6 +68,8 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
         if close < 0:
             return None
         start = middle + len(MIDDLE)
+        if _bare(rendered[at + len(OPEN) : middle]) or _bare(rendered[start:close]):
+            return None
         found.append((unescape(rendered[at + len(OPEN) : middle]), unescape(rendered[start:close]), start, close))
         at = close + len(CLOSE)
     return found
@@ -82,7 +97,8 @@ def format_turns(turns: list[tuple[str, str]]):
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, spans under the loss mask, escaped_turns, and what the parser reads back (turns, loss_text)."""
-    rows = df.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
+    kind = df.schema[conv].dataType
+    rows = df.select(carried(F.col(conv), kind).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     # one row in the result is one whole conversation, so its turns have to meet; the sort is inside the row
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
 
@@ -95,7 +111,8 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
                 out.append((formatted, [{"start": s, "stop": e} for s, e in under], escaped, [{"role": r, "text": x} for r, x, _, _ in parsed], "".join(unescape(formatted[s:e]) for s, e in under)))
             yield pd.DataFrame(out, columns=["formatted", "spans", "escaped_turns", "turns", "loss_text"]).assign(conv_id=b["conv_id"].to_numpy())[["conv_id", "formatted", "spans", "escaped_turns", "turns", "loss_text"]]
 
-    return grouped.mapInPandas(run, f"conv_id {df.schema[conv].dataType.simpleString()}, {FORMATTED}")
+    out = grouped.mapInPandas(run, f"conv_id {grouped.schema['conv_id'].dataType.simpleString()}, {FORMATTED}")
+    return out.withColumn("conv_id", restored(F.col("conv_id"), kind))
 
 
 def turns_digest(turns: Column) -> Column:

@@ -100,8 +100,9 @@ ORACLES: dict[str, str] = {
             UNION ALL
             SELECT -7, i, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, role)
         ), t AS (
-            SELECT *, CASE WHEN contains(text, '\') OR contains(text, ' </turn>' || chr(10)) OR contains(role, '\') OR contains(role, ': ')
-                THEN 15 + length(replace(replace(replace(role, '\', '\\'), '###', '\###'), ': ', ':\ ')) + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))
+            SELECT *, CASE WHEN contains(text, '\') OR contains(text || ' ', '### ') OR contains(text, '</turn>') OR contains(role, '\') OR contains(role || ' ', '### ') OR contains(role, '</turn>') OR contains(role, ': ')
+                THEN 13 + length(replace(replace(replace(replace(role, '\', '\\') || ' ', '### ', '\### '), '</turn>', '\</turn>'), ': ', ':\ '))
+                    + length(replace(replace(replace(text, '\', '\\') || ' ', '### ', '\### '), '</turn>', '\</turn>'))
                 ELSE 15 + length(role) + length(text) END AS chars
             FROM r
         )

@@ -9,8 +9,9 @@ r"""Near-duplicate detection by a signature-coordinate inverted join.
    are counted by comparing the signatures of the candidates that were found.
 3. Shingles that one candidate alone has can't be in an intersection, which bounds a
    node's similarity to all others; nodes and pairs below the bound go.
-4. Each list has leaders; a node is compared with them on the full sets, and similar
-   pairs give components. Pairs of nodes in different components are found by their
+4. Each list has leaders; the collisions of a node with them are counted on merged and skipped lists
+   alike, pairs with at least ``t`` are confirmed on the full sets, and
+   give components. Pairs of nodes in different components are found by their
    differences from a common leader (see _beyond_leaders); those with at least ``t``
    collisions are confirmed on the full sets too. So no link between two components is
    missed, while the pairs inside a component, which grow with the square of a group of
@@ -19,8 +20,8 @@ r"""Near-duplicate detection by a signature-coordinate inverted join.
 
 Words: ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. A text with fewer words than a
 shingle has one shingle, the whole sequence; a null text or one without words has an
-empty set and is linked with nothing. Rows of equal doc_id are taken as they come: all
-rows with one set are in one component. A null doc_id never is a component_id while
+empty set and is linked with nothing. Rows of equal or null doc_id are told apart by a hash of
+their texts: all rows with one set are in one component. Whole-number ids are carried exactly. A null doc_id never is a component_id while
 another is to be had. Whole texts are read; other columns are not.
 """
 
@@ -33,9 +34,10 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import carried, fresh, restored
 from .memory import give_back
 from .workspace import Workspace
 
@@ -99,7 +101,8 @@ def least_matches(k: int, similarity: float) -> int:
 
 
 def _sets(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """Per row: doc_id, n, node (a 128-bit name of the set), sig."""
+    """Per row: doc_id, mark (a hash of the text), n, node (a 128-bit name of the set), sig."""
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -109,34 +112,41 @@ def _sets(docs: DataFrame, width: int, k: int) -> DataFrame:
                 n.append(len(s))
                 node.append(xxhash.xxh128_digest(s.tobytes()))
                 sig.append(signature(s, k) if len(s) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "node": node, "sig": sig})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "n": n, "node": node, "sig": sig})
             give_back()
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node binary, sig array<int>")
+    docs = docs.select(carried(F.col("doc_id"), kind).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    out = docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark bigint, n bigint, node binary, sig array<int>")
+    return out.withColumn("doc_id", restored(F.col("doc_id"), kind))
 
 
 def _full_sets(work: Workspace, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(nid, shingles) of the wanted nids, made from their whole texts again."""
+    """(nid, shingles, sig) of the wanted nids, made from their whole texts again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [shingles(text, width) for text in b["text"]]
             same = [xxhash.xxh128_digest(s.tobytes()) == bytes(x) for s, x in zip(made, b["node"], strict=True)]
-            out = pd.DataFrame({"nid": b["nid"], "shingles": [s.view(np.int64) for s in made]})[same]
+            out = pd.DataFrame({"nid": b["nid"], "shingles": [s.view(np.int64) for s in made], "sig": b["sig"]})[same]
             for at in range(0, len(out), 100):
                 yield out.iloc[at : at + 100]
 
-    # the locator of a set is the smallest doc_id that has it; where rows share a doc_id, the set's name decides
-    wanted = wanted.join(nodes.select("nid", "node", "doc_id"), "nid")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("nid", "node", "text")
-    return work.keep(texts.mapInPandas(run, "nid bigint, shingles array<bigint>").dropDuplicates(["nid"]), "sets")
+    # a set is located by a row that has it: its doc_id and the hash of its text, so that rows of one doc_id don't meet as a product
+    wanted = wanted.join(nodes.select("nid", "node", "sig", F.col("at.doc_id").alias("at_id"), F.col("at.mark").alias("at_mark")), "nid")
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    texts = marked.join(wanted, marked["doc_id"].eqNullSafe(wanted["at_id"]) & (marked["mark"] == wanted["at_mark"])).select("nid", "node", "sig", "text")
+    return work.keep(texts.mapInPandas(run, "nid bigint, shingles array<bigint>, sig array<int>").dropDuplicates(["nid"]), "sets")
+
+
+def _collisions(a: str, b: str) -> Column:
+    """In how many coordinate-value lists two nodes are together, merged ones and skipped ones."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
 def _verified(work: Workspace, name: str, nodes: DataFrame, sets: DataFrame, pairs: DataFrame, t: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of nids, those that have t collisions and, on full sets, 100 * intersection >= percent * union."""
     side = lambda x: nodes.select(F.col("nid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    hits = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    close = work.keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(hits >= t).select("a", "b", "na", "nb"), f"{name}_close")
+    close = work.keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(_collisions("sa", "sb") >= t).select("a", "b", "na", "nb"), f"{name}_close")
     full = close.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     out = work.keep(full.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), f"{name}_links")
@@ -169,7 +179,7 @@ def _labels(work: Workspace, name: str, links: DataFrame, able: DataFrame) -> Da
 
 
 def _around_leaders(work: Workspace, merged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(r, nid, n, nr, d, diff, near): nodes of a list by their differences from leaders of that list.
+    """(r, nid, n, nr, d, diff, near, hits): nodes of a list by their differences from leaders of that list.
 
     A list's first leader is its most central node. Nodes near it (a
     similarity of a half) are done; the others choose a next leader among them, in ROUNDS
@@ -182,10 +192,10 @@ def _around_leaders(work: Workspace, merged: DataFrame, sets: DataFrame, percent
     for step in range(ROUNDS):
         lead = todo.groupBy("key").agg(F.min_by("nid", F.struct(-F.col("central"), "nid")).alias("r"))
         member = work.keep(todo.join(lead, "key").select("key", "r", "nid"), f"member{step}")
-        of_r = sets.select(F.col("nid").alias("r"), F.col("n").alias("nr"), F.col("shingles").alias("xr"))
+        of_r = sets.select(F.col("nid").alias("r"), F.col("n").alias("nr"), F.col("shingles").alias("xr"), F.col("sig").alias("sr"))
         pair = member.select("r", "nid").distinct()
         pair = (pair if known is None else pair.join(known, ["r", "nid"], "left_anti")).join(sets, "nid").join(of_r, "r")
-        pair = pair.select("r", "nid", "n", "nr", F.concat(F.array_except("shingles", "xr"), F.array_except("xr", "shingles")).alias("diff")).withColumn("d", F.size("diff"))
+        pair = pair.select("r", "nid", "n", "nr", _collisions("sig", "sr").alias("hits"), F.concat(F.array_except("shingles", "xr"), F.array_except("xr", "shingles")).alias("diff")).withColumn("d", F.size("diff"))
         pair = pair.withColumn("near", 3 * F.col("d") <= F.col("n") + F.col("nr"))
         # a partner of a node near r can't be farther from r than this
         reach = (F.col("n") / share + F.col("nr")) / 3 + q * F.col("n") * (1 + 1 / share) + 1e-6
@@ -197,7 +207,7 @@ def _around_leaders(work: Workspace, merged: DataFrame, sets: DataFrame, percent
         todo = work.keep(todo.join(done, ["key", "nid"], "left_anti"), f"todo{step}")
     alone = todo.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     rest = todo.join(alone, "key").select("nid").distinct().join(sets, "nid")
-    groups.append(rest.select(F.lit(-1).cast("bigint").alias("r"), "nid", "n", F.lit(0).cast("bigint").alias("nr"), F.col("shingles").alias("diff"), F.size("shingles").alias("d"), F.lit(True).alias("near")))
+    groups.append(rest.select(F.lit(-1).cast("bigint").alias("r"), "nid", "n", F.lit(0).cast("bigint").alias("nr"), F.col("shingles").alias("diff"), F.size("shingles").alias("d"), F.lit(True).alias("near"), F.lit(0).alias("hits")))
     return reduce(DataFrame.unionByName, groups)
 
 
@@ -221,7 +231,7 @@ def _beyond_leaders(work: Workspace, around: DataFrame, comp: DataFrame, percent
     several = each.groupBy("r", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = Window.partitionBy("r", "nid")
     ranked = each.join(several, ["r", "h"]).withColumn("rank", F.row_number().over(own.orderBy("df", "h"))).withColumn("k", F.count(F.lit(1)).over(own))
-    ranked = ranked.join(around.drop("diff"), ["r", "nid"])
+    ranked = ranked.join(around.drop("diff", "hits"), ["r", "nid"])
     # elements that no other member has come first in the order and can't meet
     place = F.col("d") - F.col("k") + F.col("rank")
     whole = F.col("d") + 1 - F.ceil(F.col("d") * percent / 100 - 1e-9)
@@ -244,7 +254,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = work.keep(_sets(docs, width, k), "rows")
     # copies meet after each task has made one row of its own
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "mark")).alias("at"), F.max("n").alias("n"), F.first("sig").alias("sig"))
     nodes = work.keep(nodes.select(F.monotonically_increasing_id().alias("nid"), "*"), "nodes")
 
     posts = nodes.select("nid", F.posexplode("sig").alias("c", "value")).select("nid", (F.col("c").cast("bigint") * (1 << 32) + F.col("value")).alias("key"))
@@ -269,7 +279,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = sets.join(able.select("nid", "n"), "nid")
     around = _around_leaders(work, merged, sets, percent)
     # on full differences the similarity to a leader is exact
-    alike = F.col("d") * (100 + percent) <= (F.col("n") + F.col("nr")) * (100 - percent)
+    alike = (F.col("hits") >= t) & (F.col("d") * (100 + percent) <= (F.col("n") + F.col("nr")) * (100 - percent))
     links = work.keep(around.filter((F.col("r") >= 0) & (F.col("r") != F.col("nid")) & alike).select(F.col("r").alias("a"), F.col("nid").alias("b")), "links")
     comp = work.keep(_labels(work, "first", links, able), "comp")
     rest = work.keep(_beyond_leaders(work, around, comp, percent), "rest")
@@ -292,6 +302,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 
     Rows of one doc_id and one text are treated alike.
     """
+    gone_id, gone_text = fresh(docs, "gone", "gone_text")
     named = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("doc_id"), F.col(text).alias("text"))
-    gone = near_duplicates(named, "doc_id", "text", width, percent, k).filter("not kept").select(F.col("doc_id.doc_id").alias("__gone"), F.col("doc_id.text").alias("__gone_text")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("__gone_text")), "left_anti")
+    gone = near_duplicates(named, "doc_id", "text", width, percent, k).filter("not kept").select(F.col("doc_id.doc_id").alias(gone_id), F.col("doc_id.text").alias(gone_text)).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col(gone_text)), "left_anti")

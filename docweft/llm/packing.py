@@ -8,13 +8,15 @@
 3. Bins with at most ``slack`` free places are done. The others go up as items, with
    their fill as length, ``FAN`` tasks at a time to one, and are packed again, until one
    task is left. So only bins move, never pieces or texts.
-4. A task that would pass on more than ``most`` bins passes on the emptiest; the rest
-   are done as they are (they stay in the result), so what a task gets is bounded by
-   FAN * most rows at any input size.
+4. A task passes on its T emptiest bins, where T is the number of tasks of step 2; the
+   others are done. That loses nothing: best-fit leaves at most one bin per task that is half
+   full or less, only such a bin can be put into another, so at most T bins are ever wanted
+   to take one in; and of all bins with room for it at least as many are among the T
+   emptiest as there are bins to be placed. What a task gets is FAN * T rows at most.
 
 Empty pieces don't occur: a null or empty text has the separator alone. A null doc_id
 is packed like any other; repeated rows are documents of their own. An empty table
-gives no pieces. Other columns are not read.
+gives no pieces. Other columns are not read. Ids of whole numbers are carried exactly.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import carried, restored
 from .workspace import Workspace
 
 FAN = 8
@@ -47,32 +51,53 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _ranks(model: dict) -> dict[bytes, int] | None:
+    """The pieces of a vocabulary file by rank; None where normalising, splitting or merging isn't the plain byte-level kind."""
+    split, bpe = model.get("pre_tokenizer") or {}, model["model"]
+    plain = not model.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    plain = plain and bpe.get("type", "BPE") == "BPE" and not any(bpe.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or not isinstance(bpe.get("vocab"), dict):
+        return None
+    alphabet, special, vocab = _alphabet(), {t["content"] for t in model.get("added_tokens") or []}, bpe["vocab"]
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in bpe["merges"]]
+    order = [vocab.get(piece, -1) for piece in made]
+    # ranks stand for the merges if those come in the order of the ids of what they make, and make all pieces
+    whole = set(made) | set(alphabet) >= vocab.keys() - special and vocab.keys() >= set(alphabet)
+    if not whole or -1 in order or any(a >= b for a, b in zip(order, order[1:])):
+        return None
+    return {bytes(alphabet[c] for c in piece): i for piece, i in vocab.items() if piece not in special}
+
+
 class Encoder:
     """Ids of a byte-level BPE as the tokenizers library gives them, 4 bytes each.
 
     The library's own encoder takes four times the CPU of tiktoken's, so tiktoken merges
     by the ranks of the library's vocabulary file. Texts beyond Latin-1, where versions of
-    Unicode could split differently, and those with the special token go to the library.
+    Unicode could split differently, and those with the special token go to the library, and so do
+    all texts where the file asks for anything else than that splitting and merging.
     """
 
     def __init__(self, path: str):
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        alphabet, special = _alphabet(), {t["content"] for t in model.get("added_tokens", [])}
-        ranks = {bytes(alphabet[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-        self.library = Tokenizer.from_file(path)
-        self.special = tuple(special)
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.special, self.fast = path, tuple({t["content"] for t in model.get("added_tokens") or []}), None
+        if ranks := _ranks(model):
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
-            plain = not any(s in text for s in self.special)
+            plain = self.fast is not None and not any(s in text for s in self.special)
         except UnicodeEncodeError:
             plain = False
         if plain:
@@ -161,14 +186,15 @@ def _rise(size: int, slack: int, most: int, level: int, last: bool) -> Callable[
     return rise
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048, separator: int = 0, slack: int = 0, most: int = 20_000, with_ids: bool = False, token_ids: Callable[[str], bytes] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048, separator: int = 0, slack: int = 0, with_ids: bool = False, token_ids: Callable[[str], bytes] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and the ids, if asked for).
 
     ``tokenizer`` is the path of a tokenizers file, there on every machine; ``token_ids``
     takes its place in tests. Sequence ids are any distinct numbers.
     """
     work = Workspace(docs.sparkSession, "packing")
-    docs = docs.select(F.col(doc_id).cast("string").alias("doc_id") if docs.schema[doc_id].nullable and docs.schema[doc_id].dataType.simpleString() == "bigint" else F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema[doc_id].dataType
+    docs = docs.select(carried(F.col(doc_id), kind).alias("doc_id"), F.col(text).alias("text"))
     # without a number of partitions, so that AQE can join small ones
     docs = docs.repartition(F.xxhash64("doc_id", "text"))
     pieces = work.keep(_leaves(docs, tokenizer, size, separator, with_ids, token_ids), "pieces")
@@ -176,6 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     bins = pieces.groupBy("leaf").agg(F.first("fill").alias("fill"), F.first("task").alias("task"))
     bins = work.keep(bins.select("leaf", F.col("leaf").alias("bin"), F.lit(0).cast("bigint").alias("shift"), "fill", "task"), "bins0")
     tasks, level, done = (bins.agg(F.max("task")).first()[0] or 0) + 1, 0, None
+    most = tasks
     unready = F.col("fill") < size - slack
     done, rising = bins.filter(~unready), bins.filter(unready)
     while tasks > 1 or level == 0:
@@ -186,5 +213,5 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         up = work.keep(up, f"bins{level}")
         done, rising = done.unionByName(up.filter("ready").drop("ready")), up.filter("not ready").drop("ready")
     placed = work.keep(done.select("leaf", "bin", "shift"), "placed")
-    out = pieces.join(placed, "leaf").select(F.col("doc_id").cast("bigint").alias("doc_id") if pieces.schema["doc_id"].dataType.simpleString() == "string" else "doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), (F.col("at") + F.col("shift")).alias("offset"), *(["ids"] if with_ids else []))
+    out = pieces.join(placed, "leaf").select(restored(F.col("doc_id"), kind).alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), (F.col("at") + F.col("shift")).alias("offset"), *(["ids"] if with_ids else []))
     return out

@@ -22,7 +22,8 @@ differ, one at least of d + 1 blocks of places is equal and without wildcards in
 
 Lines end at "\n". Blank lines are never dropped. A null text counts as empty, has no
 lines and stays null. Repeated rows count as documents each. Nulls in doc_id don't
-matter, as rows are told apart by their text. An empty table gives an empty result.
+matter, as rows are told apart by their text. An empty table gives an empty result. Columns
+of any name stay, but n_lines and n_dropped are added, also where a column has that name.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import fresh
 from .workspace import Workspace
 
 DEPTH, ALIKE, LEAF, ROUNDS, ANY = 2, 0.8, 4000, 12, "<*>"
@@ -200,14 +202,15 @@ def recurring(work: Workspace, docs: DataFrame, min_docs: int) -> DataFrame:
 def drop_recurring(docs: DataFrame, text: str = "text", min_docs: int = 10) -> DataFrame:
     """docs with its text free of recurring lines, and the columns n_lines and n_dropped (lines that are not blank)."""
     work = Workspace(docs.sparkSession, "line_templates")
-    named = docs.withColumn("__tid", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    drop = recurring(work, named.select(F.col("__tid").alias("tid"), F.col(text).alias("text")), min_docs)
-    out = named.join(drop.select(F.col("tid").alias("__tid"), F.col("places").alias("__places")), "__tid", "left")
+    tid, places = fresh(docs, "tid", "places")
+    named = docs.withColumn(tid, F.md5(F.coalesce(F.col(text), F.lit(""))))
+    drop = recurring(work, named.select(F.col(tid).alias("tid"), F.col(text).alias("text")), min_docs)
+    out = named.join(drop.select(F.col("tid").alias(tid), F.col("places").alias(places)), tid, "left")
     every = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("__places", i)), "\n")
+    left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(places, i)), "\n")
     n_lines = F.size(F.filter(every, lambda x: x.rlike(r"(?U)\S")))
     return out.select(
-        *[F.when(F.col("__places").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(F.col(places).isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("__places"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.size(places), F.lit(0)).cast("bigint").alias("n_dropped"),
     )

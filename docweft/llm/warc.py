@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import posixpath
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 PIECE, FORMAT, PROFILE = 1 << 20, b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_BASE32 = re.compile("sha1:[A-Z2-7]{32}")
 WRITTEN = "path string, records bigint, bytes bigint"
 RECORD = "path string, place bigint, record_id string, record_type string, target_uri string, refers_to string, content_length bigint, payload_bytes bigint, payload_digest string, payload binary, problem string"
 
@@ -73,7 +75,7 @@ def records(pieces: Iterable[bytes]) -> Iterator[dict]:
         end = data.find(b"\r\n\r\n")
         lines = data[: max(end, 0)].decode("utf-8", "replace").split("\r\n")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = int(head["content-length"]) if head.get("content-length", "").isdigit() else -1
+        length = int(head["content-length"]) if re.fullmatch("[0-9]{1,18}", head.get("content-length", "")) else -1
         block = data[end + 4 : end + 4 + max(length, 0)]
         problem = None
         if end < 0 or not lines[0].startswith("WARC/") or length < 0:
@@ -92,8 +94,9 @@ def records(pieces: Iterable[bytes]) -> Iterator[dict]:
 
 def _row(path: str, place: int, r: dict, payloads: bool) -> tuple:
     head, known = r["head"], r["head"].get("warc-payload-digest", "")
-    digest = base64.b32decode(known[5:]).hex() if known.startswith("sha1:") and len(known) == 37 else hashlib.sha1(r["payload"]).hexdigest()
-    size = int(r["http"].get("content-length", len(r["payload"])))
+    digest = base64.b32decode(known[5:]).hex() if _BASE32.fullmatch(known) else hashlib.sha1(r["payload"]).hexdigest()
+    said = r["http"].get("content-length", "")
+    size = int(said) if said.isascii() and said.isdigit() and len(said) < 19 else len(r["payload"])
     return (path, place, head.get("warc-record-id", "").strip("<>"), head.get("warc-type"), head.get("warc-target-uri"), head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None, r["length"], size, digest, r["payload"] if payloads else None, r["problem"])
 
 

@@ -125,9 +125,24 @@ def test_packing_tree(spark):
     ids = lambda s: b"\1\0\0\0" * len(s)
     out = packing.pack(df, "", token_ids=ids, size=512).collect()
     assert check_places(out, 512) <= 1.01 * sum(r.length for r in out) / 512 + 1
-    few = packing.pack(df, "", token_ids=ids, size=512, most=3).collect()  # what is not passed on is still there
-    assert len(few) == len(out)
-    check_places(few, 512)
+
+
+def test_packing_passes_on_all_bins_that_can_take_another(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, "x" * (rng.choice((100, 200, 290, 300, 310, 400)) - 1)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = lambda s: b"\1\0\0\0" * len(s)
+    monkeypatch.setattr(packing, "FAN", 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bounded = check_places(packing.pack(df, "", token_ids=ids, size=512).collect(), 512)
+        rise = packing._rise
+        monkeypatch.setattr(packing, "_rise", lambda size, slack, most, level, last: rise(size, slack, 1 << 40, level, last))
+        assert bounded == check_places(packing.pack(df, "", token_ids=ids, size=512).collect(), 512)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_packing_of_a_table_sorted_by_length(spark):
@@ -302,3 +317,85 @@ def test_topk_with_other_partition_counts(spark, sf, monkeypatch):
     monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *c: make(self, max(n, 23), *c))
     assert Counter(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()) == want
     assert isinstance(df, DataFrame)
+
+
+BIG = 2**60 + 1
+NAMES = ["__digest", "digest", "n", "row", "__row", "__n", "__tid", "tid", "places", "__places", "gone", "__gone", "guess", "score", "keep_doc", "Keep_Digest"]
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    rows = [(i, t, "en", None, 0, *[f"{c} {i}" for c in NAMES]) for i, t in enumerate([*TEXTS[:8], "one two three four five six", None])]
+    rows += [(3, "a", "en", None, 0, *["again"] * len(NAMES)), (50, "line\n" * 3, "en", None, 0, *["l"] * len(NAMES))] + [(60 + i, "line\n", "en", None, 0, *["m"] * len(NAMES)) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in NAMES))
+    spark.createDataFrame([(1, 1, 0), (5, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {tuple(r) for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        assert {tuple(r) for r in out.collect()} <= kept, name
+    out = line_templates.drop_recurring(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert Counter(tuple(r)[2:-2] for r in out.collect()) == Counter(r[2:] for r in rows)
+
+
+def test_large_ids_beside_nulls(spark):
+    texts = ["one two three four", "one two three four", "five six seven eight", "nine"]
+    df = docs(spark, [*[(BIG + 2 * i, t) for i, t in enumerate(texts)], (None, "null")]).coalesce(1)
+    ids = Counter([*[BIG + 2 * i for i in range(4)], None])
+    path = tokenizer_path("byte_bpe_50k.json")
+    chats = df.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("user").alias("role"), "text")
+    for out in (chat_format.format_conversations(chats).select("conv_id"), minhash_dedup.near_duplicates(df).select("doc_id"), packing.pack(df, path).select("doc_id"), exact_dedup.deduplicate(df).select("doc_id"), sentencepiece_lattice.encode(df, tokenizer_path("piece_bpe_32k.model")).select("doc_id")):
+        assert Counter(r[0] for r in out.collect()) == ids
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()}
+    assert got[BIG + 2] == BIG and got[BIG + 4] == BIG + 4
+
+
+def test_near_dedup_of_many_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(300)]
+    own = lambda i: " ".join([*words[:60], *[f"x{i}y{j}" for j in range(i % 5)]])
+    rows = [(None, own(i)) for i in range(1500)] + [(7, own(i)) for i in range(600)] + [(i, f"text number {i} of its own kind") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = minhash_dedup.near_duplicates(df, width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert Counter(map(tuple, got)) == Counter(brute.near(as_dicts(df), 3, 85))
+
+
+def test_exact_dedup_goes_on_with_its_state(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    weak = lambda c: F.substring(F.sha2(c, 256), 1, 1)
+    for digest in (exact_dedup.sha256, weak):
+        state += "x"
+        deliveries = [[(1, "a b"), (2, "ab"), (3, "c"), (9, None)], [(4, "a  b  "), (0, "c"), (5, "new"), (6, "new ")], [], [(7, "new"), (8, ""), (None, "last")]]
+        held = []  # (delivery, rank of the contract) by text
+        for number, rows in enumerate(deliveries):
+            got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(docs(spark, rows), digest=digest, state=state).collect()}
+            held += [("".join((t or "").split()), number, -len(t or ""), i is None, i or 0, i) for i, t in rows]
+            want = {}
+            for i, t in rows:
+                same = sorted(h for h in held if h[0] == "".join((t or "").split()))
+                want[i] = (same[0][-1], len(same), same[0][1] == number and same[0][-1] == i)
+            assert got == want, number
+    assert exact_dedup.deduplicate(docs(spark, [(4, "a  b  ")])).collect()[0].kept  # without a state nothing is remembered
+
+
+def test_toxicity_takes_ids_of_any_type_and_scores_as_written(spark):
+    import numpy as np
+
+    texts = [("you are awful" if i % 3 == 0 else "a fine day") + f" w{i}" for i in range(60)]
+    df = spark.createDataFrame([(f"d{i}", t, "en") for i, t in enumerate(texts)], "doc_id string, text string, lang string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(60)], "doc_id string, toxic int")
+    model = toxicity.fit(df, labels)
+    assert toxicity.fit(df, labels, most_chars=300)["rows"] < model["rows"]
+    got = [r.s for r in df.select("doc_id", toxicity.score(F.col("text"), model).alias("s")).collect()]
+    net = {k: a.astype(np.float16).astype(np.float64) if k == "e" else a.astype(np.float64) for k, a in model["net"].items()}
+
+    def plain(text):
+        known = toxicity.Vocabulary()
+        buckets = [known.buckets[r * toxicity.FEATURES : (r + 1) * toxicity.FEATURES] for r in known.rows(text)]
+        x = [sum(net["e"][b] for b in own) for own in buckets] + [np.zeros(toxicity.DIM)] * 2
+        z = net["bias"][0]
+        for k, w in enumerate(toxicity.WIDTHS):
+            best = np.max([np.concatenate(x[i : i + w]) @ net[f"f{w}"] for i in range(len(buckets))], axis=0) + net[f"b{w}"]
+            z += np.maximum(best, 0) @ net["out"][k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS]
+        return 1 / (1 + np.exp(-(z + model["shift"])))
+
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-4)

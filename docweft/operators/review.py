@@ -11,8 +11,8 @@ from . import relational as R
 # Codes of issues, their severity and section.
 ISSUES = [
     ("candidate_name_missing_or_generic", "red", "identity"), ("candidate_name_embedded_metadata", "red", "identity"), ("candidate_name_heading_or_table_header", "red", "identity"),
-    ("candidate_name_embedded_role_or_banner", "red", "identity"), ("role_title_missing_or_generic", "red", "role"), ("education_entry_malformed", "amber", "education"),
-    ("employment_entry_missing_core_fields", "red", "employment"), ("employment_chronology_invalid", "red", "employment"), ("project_name_suspicious", "amber", "projects"),
+    ("candidate_name_embedded_role_or_banner", "red", "identity"), ("role_title_missing_or_generic", "red", "role"), ("education_entry_malformed", "red", "education"),
+    ("employment_entry_missing_core_fields", "red", "employment"), ("employment_chronology_invalid", "red", "employment"), ("project_name_suspicious", "red", "projects"),
     ("project_role_ambiguous", "amber", "projects"), ("jd_requirements_missing", "red", "requirements"),
 ]
 # Titles of issues and what to do about them, by code.

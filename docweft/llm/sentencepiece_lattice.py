@@ -44,9 +44,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .keys import carried, restored
+from .memory import give_back
 from .workspace import Workspace
 
 SPACE, UNIGRAM, BPE, WORDS, BLOCK = "▁", 1, 2, 100_000, 6144
+#: Texts that are put together at a time; parts of texts that are known at a time; parts that are cut at a time.
+TEXTS, KNOWN, CUT = 256, 150_000, 30_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -369,10 +372,11 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
         cutter, parts, units, words, now = Cutter(neighbours), set(), set(), set(), None
 
         def take() -> None:
-            words.update(cutter([SPACE + p for p in parts])[0])
-            words.update(cutter(list(units))[0])
+            every = [*(SPACE + p for p in parts), *units]
             parts.clear()
             units.clear()
+            for i in range(0, len(every), CUT):
+                words.update(cutter(every[i : i + CUT])[0])
 
         def frames() -> Iterator[pd.DataFrame]:
             take()
@@ -391,8 +395,9 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
                     parts.update(simple)
                 elif value:
                     units.update(_units(value, prefix))
-                if len(parts) + len(units) > 200_000:
+                if len(parts) + len(units) > 2 * CUT:
                     take()
+            give_back()
         if now is not None:
             yield from frames()
 
@@ -420,17 +425,24 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
         ids_of: dict[str, bytes] = {}  # by the part of a text after its blank
         said: dict[str, str] = {}  # parts that don't decode to themselves
 
-        def learn(parts: list[str]) -> None:
-            words, at = cutter([SPACE + p for p in parts])
-            for p, i, j in zip(parts, at[:-1], at[1:], strict=True):
-                ids_of[p] = book[words[i]] if j == i + 1 else b"".join(map(book.__getitem__, words[i:j]))
-                if odd and not odd.keys().isdisjoint(words[i:j]):
-                    said[p] = "".join([odd.get(w, w) for w in words[i:j]])[1:]
+        def learn(every: list[str]) -> None:
+            for first in range(0, len(every), CUT):
+                parts = every[first : first + CUT]
+                words, at = cutter([SPACE + p for p in parts])
+                for p, i, j in zip(parts, at[:-1], at[1:], strict=True):
+                    ids_of[p] = book[words[i]] if j == i + 1 else b"".join(map(book.__getitem__, words[i:j]))
+                    if odd and not odd.keys().isdisjoint(words[i:j]):
+                        said[p] = "".join([odd.get(w, w) for w in words[i:j]])[1:]
 
         def rows(texts: list[tuple]) -> Iterator[tuple]:
             parts = [_simple(value, prefix) for _, value in texts]
-            if fresh := list(set().union(*filter(None, parts)).difference(ids_of)):
-                learn(fresh)
+            own = set().union(*filter(None, parts))
+            fresh = own.difference(ids_of)
+            if fresh and len(ids_of) + len(fresh) > KNOWN:
+                ids_of.clear()
+                said.clear()
+                fresh = own
+            learn(list(fresh))
             for (doc, value), own in zip(texts, parts, strict=True):
                 if own:
                     data = b"".join([ids_of[p] for p in own])
@@ -448,14 +460,19 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
         for b in batches:
             out, texts = [], []
             for doc, value, block in zip(b["doc_id"], b["text"], b["block"], strict=True):
-                if block != now:
+                if block != now or len(texts) >= TEXTS:
                     out.extend(rows(texts))
-                    texts, now = [], block
+                    texts = []
+                if block != now:
+                    now = block
                     ids_of.clear()
                     said.clear()
+                    book.clear()
+                    give_back()
                     book, odd = _book(where, int(block))
                 texts.append((doc, value))
             out.extend(rows(texts))
+            give_back()
             yield pd.DataFrame(out, columns=["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip", "ids"][: 6 if with_ids else 5])
 
     schema = f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids

@@ -5,6 +5,7 @@ An empty string and a null mean the same: all functions take null as ''.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,10 +14,6 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 
 
-#: A control character that stands for a match while its replacement is chosen.
-MARK = "\u0001"
-
-
 def some(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -146,30 +143,32 @@ def working_text(c: Column, kind: Column) -> Column:
 # --- personal data
 
 
-def _phones(c: Column) -> Column:
-    """Phone-like matches are replaced where they have 7 to 15 digits.
+def _bound(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x) with x computed once, however often of() names it."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
 
-    Each pattern's matches are marked first, so that the digits of a match can be counted.
-    """
-    out = c
-    for p in V.PHONES:
-        found = F.regexp_extract_all(out, F.lit(f"({p})"), 1)
-        parts = F.split(F.regexp_replace(out, p, MARK), MARK, -1)
-        told = F.transform(found, lambda m: F.when(F.length(F.regexp_replace(m, r"\D", "")).between(7, 15), F.lit("[phone redacted]")).otherwise(m))
-        out = F.when(F.size(found) == 0, out).otherwise(F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.get(told, i), F.lit("")))), ""))  # noqa: B023
-    return out
+
+def _phones(text: Column, pattern: str) -> Column:
+    """Phone-like matches are replaced where they have 7 to 15 digits; the text is put together from what is between matches."""
+    told = lambda m: F.when(F.length(F.regexp_replace(m, r"\D", "")).between(7, 15), F.lit("[phone redacted]")).otherwise(m)
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    return F.array_join(F.zip_with(between, found, lambda x, m: F.concat(x, F.coalesce(told(m), F.lit("")))), "")
 
 
 def redact(c: Column, names: Column | None = None) -> Column:
     """E-mail, LinkedIn, labelled and street addresses, names, then phones.
 
     ``names`` is an array of literal names; CJK names are replaced wherever they stand,
-    others at ASCII word edges and in any case.
+    others at ASCII word edges and in any case. A pattern is tried only on texts that hold
+    what all its matches hold.
     """
-    out = F.regexp_replace(some(c), V.EMAIL, "[email redacted]")
-    out = F.regexp_replace(out, V.LINKEDIN, "[LinkedIn redacted]")
-    out = F.regexp_replace(out, V.LABELED_ADDRESS, "$1: [address redacted]")
-    out = F.regexp_replace(out, V.STREET_ADDRESS, "[address redacted]")
+    low = lambda t, word: F.lower(t).contains(word)
+    steps: list[tuple[Callable[[Column], Column], Callable[[Column], Column]]] = [
+        (lambda t: t.contains("@"), lambda t: F.regexp_replace(t, V.EMAIL, "[email redacted]")),
+        (lambda t: low(t, "linkedin.com/"), lambda t: F.regexp_replace(t, V.LINKEDIN, "[LinkedIn redacted]")),
+        (lambda t: low(t, "address"), lambda t: F.regexp_replace(t, V.LABELED_ADDRESS, "$1: [address redacted]")),
+        (lambda t: t.rlike(r"[0-9]\s"), lambda t: F.regexp_replace(t, V.STREET_ADDRESS, "[address redacted]")),
+    ]
     if names is not None:
 
         def replaced(text: Column, name: Column) -> Column:
@@ -177,8 +176,10 @@ def redact(c: Column, names: Column | None = None) -> Column:
             edged = F.when(name.rlike(r"[一-鿿]"), quoted).otherwise(F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])")))
             return F.when(F.trim(name) == "", text).otherwise(F.regexp_replace(text, edged, F.lit(V.ANONYMOUS)))
 
-        out = F.aggregate(F.coalesce(names, F.array().cast("array<string>")), out, replaced)
-    return _phones(out)
+        steps.append((lambda t: names.isNotNull(), lambda t: F.aggregate(names, t, replaced)))
+    for p, hint in zip(V.PHONES, (r"\+[0-9]", r"[0-9]{3}[-.\s]?[0-9]{3}", r"[0-9]{2}[-.\s][0-9]{3}"), strict=True):
+        steps.append((lambda t, h=hint: t.rlike(h), lambda t, p=p: _phones(t, p)))
+    return reduce(lambda x, step: _bound(x, lambda t: F.when(step[0](t), step[1](t)).otherwise(t)), steps, some(c))
 
 
 def name_variants(name: Column, file_name: Column) -> Column:

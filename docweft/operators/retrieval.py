@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,10 @@ from ..functions import vocabulary as V
 from . import relational as R
 
 
+#: So many items go to every task; scores so near to each other may be equal when rounded; a task holds so many rows before it sorts.
+ITEMS, NEAR, HELD = 10_000, 2e-6, 100_000
+
+
 def headings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(V.SECTION_HEADINGS.items()), "heading string, section_key string")
 
@@ -71,12 +80,88 @@ def overlap(blocks: DataFrame, items: DataFrame, keys: list[str], text: str = "l
     return b.join(q, "t").groupBy("item_id", *keys).agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
 
 
+class _Best:
+    """The k best blocks of each item among those that a task has seen: by score, then by place."""
+
+    def __init__(self, sizes: np.ndarray, k: int):
+        self.sizes, self.k, self.least = sizes, k, np.full(len(sizes), -np.inf)
+        self.last = np.full(len(sizes), np.iinfo(np.int64).max)  # the document of an item's k-th best
+        self.held: list[pd.DataFrame] = []
+        self.rows = 0
+
+    def add(self, doc: int, place: int, counts: np.ndarray, bonus: float) -> None:
+        items = np.flatnonzero(counts)
+        score = counts[items] / self.sizes[items] + bonus
+        near = score >= self.least[items] - NEAR
+        fits = near & ((np.abs(score - self.least[items]) > NEAR) | (score != self.least[items]) | (doc <= self.last[items]))
+        if len(items := items[fits]):
+            self.held.append(pd.DataFrame({"item": items, "doc": doc, "place": place, "common": counts[items], "bonus": bonus, "score": score[fits]}))
+            self.rows += len(items)
+            if self.rows > HELD:
+                self.shrink()
+
+    def shrink(self) -> pd.DataFrame:
+        if not self.held:
+            return pd.DataFrame({c: [] for c in ("item", "doc", "place", "common", "bonus", "score")})
+        rows = pd.concat(self.held).sort_values(["item", "score", "doc", "place"], ascending=[True, False, True, True])
+        rows["rank"] = rows.groupby("item").cumcount()
+        edge = rows[rows["rank"] == self.k - 1].set_index("item")
+        self.least[edge.index] = edge["score"]
+        self.last[edge.index] = edge["doc"]
+        # scores that rounding could make equal to the k-th one stay too
+        kept = (rows["rank"] < self.k) | ((np.abs(rows["score"] - self.least[rows["item"]]) <= NEAR) & (rows["score"] != self.least[rows["item"]]))
+        rows = rows[kept].drop(columns="rank")
+        self.held, self.rows = [rows], 0
+        return rows
+
+
+def best_overlaps(blocks: DataFrame, items: DataFrame, keys: list[str], k: int, text: str = "line", bonus: Column | None = None, most: int = ITEMS) -> DataFrame:
+    """item_id, keys (two whole numbers), score: all that can be among an item's k best blocks, by share of common tokens and bonus, then by keys.
+
+    Up to ``most`` items go to every task, which keeps its own k best of each and shuffles
+    nothing else; more than that meet the blocks by their tokens, in a shuffle.
+    """
+    bonus = F.lit(0.0) if bonus is None else bonus
+    asked = items.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("qs")).filter(F.size("qs") > 0).limit(most + 1).collect()
+    if len(asked) > most:
+        scored = overlap(blocks, items, keys, text).join(blocks.select(*keys, bonus.alias("bonus")), keys).withColumn("score", F.col("score") + F.col("bonus"))
+        return scored.select("item_id", *keys, "score")
+    holders: dict[str, list[int]] = {}
+    for i, r in enumerate(asked):
+        for t in r["qs"]:
+            holders.setdefault(t, []).append(i)
+    index = {t: np.array(own, np.int32) for t, own in holders.items()}
+    sizes = np.array([len(r["qs"]) for r in asked], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, n = _Best(sizes, k), len(sizes)
+        for b in batches:
+            docs, places, bonuses = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            lists = b.column(3)
+            bounds, words = lists.offsets.to_pylist(), lists.values.to_pylist()
+            for row in range(b.num_rows):
+                found = [own for t in words[bounds[row] : bounds[row + 1]] if (own := index.get(t)) is not None]
+                if found:
+                    best.add(int(docs[row]), int(places[row]), np.bincount(np.concatenate(found), minlength=n), float(bonuses[row]))
+        rows = best.shrink()
+        yield pa.RecordBatch.from_pydict({c: pa.array(rows[c].to_numpy(), t) for c, t in zip(("item", "doc", "place", "common", "bonus"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    # a null in a key sorts before all numbers, here and there
+    low = -(1 << 63)
+    sent = blocks.select(*[F.coalesce(F.col(c).cast("bigint"), F.lit(low)).alias(f"k{i}") for i, c in enumerate(keys)], bonus.alias("bonus"), F.array_distinct(T.tokens(F.col(text))).alias("ts"))
+    local = sent.filter(F.size("ts") > 0).mapInArrow(run, "item bigint, doc bigint, place bigint, common bigint, bonus double")
+    named = items.sparkSession.createDataFrame([(i, r["item_id"], float(len(r["qs"]))) for i, r in enumerate(asked)], f"item bigint, item_id {items.schema['item_id'].dataType.simpleString()}, n double")
+    back = lambda c, key: F.when(F.col(c) != low, F.col(c)).cast(blocks.schema[key].dataType).alias(key)
+    joined = local.join(F.broadcast(named), "item")  # at most ``most`` rows
+    return joined.select("item_id", back("doc", keys[0]), back("place", keys[1]), (F.col("common") / F.col("n") + F.col("bonus")).alias("score"))
+
+
 def retrieve(blocks: DataFrame, items: DataFrame, k: int, preferred: Column | None = None) -> DataFrame:
     """The k best blocks of each item, over all documents: overlap, more for preferred sections and for a document's first block."""
     bonus = F.when(F.col("line_no") == 0, V.LEAD_BONUS).otherwise(0.0)
     if preferred is not None:
         bonus = bonus + F.when(preferred, V.PREFERRED_BONUS).otherwise(0.0)
-    scored = overlap(blocks, items, ["doc_id", "line_no"]).withColumn("score", F.round(F.col("score") + bonus, 6))
+    scored = best_overlaps(blocks, items, ["doc_id", "line_no"], k, bonus=bonus).withColumn("score", F.round("score", 6))
     return R.top_k(scored, ["item_id"], [F.col("score").desc(), F.col("doc_id"), F.col("line_no")], k)
 
 

@@ -267,11 +267,10 @@ def q_mailto(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.mailto(F.col("c_name"), F.col("c_mktsegment")).alias("url"))
 
 
-@query("""WITH m AS (SELECT item_id FROM benchmark WHERE item_id % 2 = 0), n AS (SELECT item_id FROM benchmark WHERE item_id % 3 = 0)
-    SELECT item_id, 'both' AS part FROM m WHERE item_id IN (SELECT item_id FROM n) UNION ALL SELECT item_id, 'first only' FROM m WHERE item_id NOT IN (SELECT item_id FROM n)""")
+@query("""WITH m AS (SELECT doc_id FROM documents), n AS (SELECT doc_id FROM labels)
+    SELECT doc_id, 'both' AS part FROM m WHERE doc_id IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, 'first only' FROM m WHERE doc_id NOT IN (SELECT doc_id FROM n)""")
 def q_set_operations(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id")
-    m, n = b.filter("item_id % 2 = 0"), b.filter("item_id % 3 = 0")
+    m, n = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
     return m.intersect(n).withColumn("part", F.lit("both")).unionByName(m.exceptAll(n).withColumn("part", F.lit("first only")))
 
 

@@ -15,10 +15,12 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from ..functions import text as T
 from ..functions import values as X
-from ..operators.retrieval import import_warnings
+from ..operators.retrieval import import_warnings, wants_ocr
+from .pdf import image_pages, text_layer
 
 # What can be imported, and what is taken as a template.
 SOURCES, TEMPLATES = [".pdf", ".doc", ".docx", ".txt"], [".md"]
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 FILE = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
 
 
@@ -56,12 +58,15 @@ def docx_bytes(text: str) -> bytes:
     return out.getvalue()
 
 
-def _decoded(extension: str, data: bytes) -> tuple[str, str | None]:
+def _decoded(extension: str, data: bytes) -> tuple[str, str | None, int, int]:
+    """Text, error, and for PDF files the number of pages that show images and of all pages."""
     if extension in (".txt", ".md"):
-        return data.decode("utf-8", "replace"), None
+        return data.decode("utf-8", "replace"), None, 0, 0
     if extension == ".docx":
-        return docx_text(data), None
-    return "", f"{extension or 'a file without extension'} needs a converter that is not part of this engine"
+        return docx_text(data), None, 0, 0
+    if extension == ".pdf":
+        return text_layer(data), None, *image_pages(data)
+    return "", f"{extension or 'a file without extension'} needs a converter that is not part of this engine", 0, 0
 
 
 def documents(spark: SparkSession, folder: str, extensions: list[str] = SOURCES) -> DataFrame:
@@ -72,17 +77,20 @@ def documents(spark: SparkSession, folder: str, extensions: list[str] = SOURCES)
             rows = []
             for path, ext, size, data in zip(b["path"], b["extension"], b["size"], b["content"], strict=True):
                 try:
-                    text, error = _decoded(ext, data) if ext in extensions else ("", "Unsupported file type.")
+                    text, error, images, pages = _decoded(ext, data) if ext in extensions else ("", "Unsupported file type.", 0, 0)
                 except Exception as e:  # noqa: BLE001  whatever is wrong with a file is its row's error
-                    text, error = "", f"{type(e).__name__}: {e}"
-                rows.append((path, ext, size, text, error))
-            yield pd.DataFrame(rows, columns=["path", "extension", "size", "text", "error"])
+                    text, error, images, pages = "", f"{type(e).__name__}: {e}", 0, 0
+                rows.append((path, ext, size, text, error, images, pages))
+            yield pd.DataFrame(rows, columns=["path", "extension", "size", "text", "error", "images", "pages"])
 
     raw = spark.read.format("binaryFile").schema(FILE).load(folder)
     raw = raw.select("path", X.extension(F.col("path")).alias("extension"), F.col("length").alias("size"), "content")
-    got = raw.mapInPandas(run, "path string, extension string, size bigint, text string, error string")
+    # a batch holds whole files, so its bytes are bounded; a file alone may be larger
+    spark.conf.set(BATCH_BYTES, min(int(spark.conf.get(BATCH_BYTES)), 64 << 20))
+    got = raw.mapInPandas(run, "path string, extension string, size bigint, text string, error string, images int, pages int")
     normal = T.normalise_whitespace(F.col("text"))
-    noted = F.when(F.col("error").isNull(), import_warnings(normal, F.col("extension"))).otherwise(F.array().cast("array<string>"))
+    thin = F.coalesce(wants_ocr(F.col("text"), F.col("images"), F.col("pages")), F.lit(False))
+    noted = F.when(F.col("error").isNull(), import_warnings(normal, F.col("extension"), weak_image=thin)).otherwise(F.array().cast("array<string>"))
     out = got.select("path", X.base_name(F.col("path")).alias("name"), "extension", "size", "text", "error", T.import_preview(F.col("text")).alias("preview"), noted.alias("warnings"))
     return out.withColumn("status", F.when(F.col("error").isNotNull(), "error").when(F.size("warnings") > 0, "warning").otherwise("ready"))
 

@@ -10,7 +10,9 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; below a local one of our own only where that is unset."""
+    """A new folder below spark.checkpoint.dir; below a local one of our own only where that is unset and all tasks run in the driver's own process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = root or "file://" + os.path.join(tempfile.gettempdir(), f"docweft-{os.getpid()}")
     return f"{root.rstrip('/')}/docweft/{name}-{uuid.uuid4().hex}"

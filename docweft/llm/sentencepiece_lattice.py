@@ -48,8 +48,8 @@ from .memory import give_back
 from .workspace import Workspace
 
 SPACE, UNIGRAM, BPE, WORDS, BLOCK = "▁", 1, 2, 100_000, 6144
-#: Texts that are put together at a time; parts of texts that are known at a time; parts that are cut at a time.
-TEXTS, KNOWN, CUT = 256, 150_000, 30_000
+#: So many characters are cut at a time.
+CHARS = 1 << 19
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -309,47 +309,61 @@ def decode_words(coded: DataFrame, model: Model) -> DataFrame:
     return coded.select("word", "ids", F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get(names, i)), "")), "UTF-8").alias("decoded"))
 
 
-def _units(text: str, prefix: bool) -> list[str]:
-    """The parts of a text between blanks, with blanks as the model's sign: each begins where a blank follows other than a blank."""
-    text = (" " if prefix else "") + text
-    out, at = [], 0
-    text = text.replace(" ", SPACE)
-    for i in range(1, len(text)):
-        if text[i] == SPACE and text[i - 1] != SPACE:
-            out.append(text[at:i])
-            at = i
-    return [*out, text[at:]]
-
-
-def _simple(text: str, prefix: bool) -> list[str] | None:
-    """The parts between single blanks, where each is a unit after its blank; None for other texts."""
-    parts = text.split(" ") if text and prefix and SPACE not in text else []
-    return parts if parts and "" not in parts else None
-
-
 class Cutter:
-    """Cuts units where two neighbours stand side by side in no piece."""
+    """Cuts texts into words: where two neighbours stand side by side in no piece."""
 
-    def __init__(self, pairs: list[str]):
+    def __init__(self, pairs: list[str], prefix: bool):
         letters = sorted({c for p in pairs for c in p})
-        self.number = np.zeros(0x110000, np.uint16)
+        self.prefix, self.number = prefix, np.zeros(0x110000, np.uint16)
         self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
         for a, b in pairs:
             self.joined[self.number[ord(a)], self.number[ord(b)]] = True
 
-    def __call__(self, units: list[str]) -> tuple[list[str], list[int]]:
-        """The words of all units, and the number of the first word of each unit, with the number of words at the end."""
-        text = "".join(units)
-        if not text:
-            return [], [0]
+    def __call__(self, texts: list[str]) -> Iterator[list[str]]:
+        """The words of each text, blanks written as the model's sign; some CHARS characters are cut at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(((" " if self.prefix else "") + text).replace(" ", SPACE) if text else "")
+            size += len(text)
+            if size >= CHARS:
+                yield from self._cut(held)
+                held, size = [], 0
+        yield from self._cut(held)
+
+    def _cut(self, held: list[str]) -> Iterator[list[str]]:
+        if len(held) == 1 and len(held[0]) > 2 * CHARS:
+            yield [w for part in _parts(held[0]) for words in self._cut([part]) for w in words]
+            return
+        text = "".join(held)
         own = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        cuts = np.concatenate([[True], ~self.joined[own[:-1], own[1:]]])
-        begins = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-        cuts[begins[:-1]] = True
+        cuts = np.ones(len(own), bool)
+        if len(own):
+            np.logical_not(self.joined[own[:-1], own[1:]], out=cuts[1:])
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in held])])
+        cuts[begins[:-1][np.diff(begins) > 0]] = True
         places = np.flatnonzero(cuts)
-        ends = [*places[1:].tolist(), len(text)]
-        return [text[a:b] for a, b in zip(places.tolist(), ends, strict=True)], np.searchsorted(places, begins).tolist()
+        at = np.searchsorted(places, begins).tolist()
+        every = [*places.tolist(), len(text)]
+        words = [text[a:b] for a, b in zip(every[:-1], every[1:], strict=True)]
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            yield words[i:j]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts that begin where a blank follows other than a blank."""
+    at = 0
+    while len(text) - at > CHARS:
+        to = text.rfind(SPACE, at + 1, at + CHARS)
+        while to > at and text[to - 1] == SPACE:
+            to -= 1
+        if to <= at:  # no blank within reach: the next one
+            to = text.find(SPACE, at + CHARS)
+            if to < 0:
+                break
+        yield text[at:to]
+        at = to
+    yield text[at:]
 
 
 def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -365,113 +379,71 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
         block = F.floor(F.monotonically_increasing_id() / BLOCK).cast("bigint")
         blocks = work.keep(docs.select(*columns, block.alias("block")), "blocks", codec="zstd")
     prefix, neighbours = model.prefix, model.neighbours()
-
     width = 2 if len(model.pieces) <= 1 << 16 else 4
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter, parts, units, words, now = Cutter(neighbours), set(), set(), set(), None
-
-        def take() -> None:
-            every = [*(SPACE + p for p in parts), *units]
-            parts.clear()
-            units.clear()
-            for i in range(0, len(every), CUT):
-                words.update(cutter(every[i : i + CUT])[0])
+        cutter, words, now = Cutter(neighbours, prefix), set(), None
 
         def frames() -> Iterator[pd.DataFrame]:
-            take()
             every = sorted(words)  # sorted words take half the bytes
+            words.clear()
             for i in range(0, len(every), 50_000):
                 yield pd.DataFrame({"block": now, "word": every[i : i + 50_000]})
-            words.clear()
 
         for b in batches:
-            for own, value in zip(b["block"], b["text"], strict=True):
-                if own != now:
+            for block, texts in _by_block(b["block"], b["text"]):
+                if block != now:
                     if now is not None:
                         yield from frames()
-                    now = own
-                if simple := _simple(value, prefix):
-                    parts.update(simple)
-                elif value:
-                    units.update(_units(value, prefix))
-                if len(parts) + len(units) > 2 * CUT:
-                    take()
+                    now = block
+                for own in cutter(texts):
+                    words.update(own)
             give_back()
         if now is not None:
             yield from frames()
 
     pairs = work.keep(blocks.mapInPandas(words_of, "block bigint, word string"), "pairs", codec="zstd")
-    # one exchange by word; the lattice and its groups stay within that partitioning, and
-    # a task has so many words that it groups their edges in memory
+    # each word once, with its blocks: far fewer bytes than the pairs, which go. A task has so many pairs that it groups them in memory
     tasks = max(1, -(-pairs.count() // WORDS))
-    distinct = pairs.select("word").repartition(tasks, "word").distinct()
+    with work.setting("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 2 * WORDS):
+        words = work.keep(pairs.repartition(tasks, "word").groupBy("word").agg(F.collect_list("block").alias("blocks")), "words", codec="zstd")
+    work.drop("pairs")
+    work.release()
+    # the lattice and its groups stay within one exchange by word
+    distinct = words.select("word").repartition(tasks, "word")
     # what decodes to itself, nearly every word, needs no second copy; ids travel as little-endian numbers of two bytes if that will do
     hexed = F.split(F.lit(" ".join(i.to_bytes(width, "little").hex() for i in range(len(model.pieces)))), " ")
     coded = decode_words(encode_words(distinct, model), model)
     data = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(hexed, i)), ""))
+    coded = coded.select("word", data.alias("ids"), F.when(F.col("decoded") != F.col("word"), F.col("decoded")).alias("decoded"))
     with work.setting("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 2 * WORDS):
-        coded = work.keep(coded.select("word", data.alias("ids"), F.when(F.col("decoded") != F.col("word"), F.col("decoded")).alias("decoded")), "coded", codec="zstd")
+        coded = work.keep(coded, "coded", codec="zstd")
     work.release()
-    book = pairs.join(coded, "word").select("block", "word", "ids", "decoded")
+    book = words.join(coded, "word").select(F.explode("blocks").alias("block"), "word", "ids", "decoded")
     # a block's dictionary is a folder of its own, which its texts open by name
     work.keep(book.repartition("block").sortWithinPartitions("block", "word"), "book", codec="zstd", by="block")
-    work.drop("pairs", "coded")
+    work.drop("words", "coded")
     work.release()
     where = work.at("book")
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter, now, book, odd = Cutter(neighbours), None, {}, {}
-        ids_of: dict[str, bytes] = {}  # by the part of a text after its blank
-        said: dict[str, str] = {}  # parts that don't decode to themselves
-
-        def learn(every: list[str]) -> None:
-            for first in range(0, len(every), CUT):
-                parts = every[first : first + CUT]
-                words, at = cutter([SPACE + p for p in parts])
-                for p, i, j in zip(parts, at[:-1], at[1:], strict=True):
-                    ids_of[p] = book[words[i]] if j == i + 1 else b"".join(map(book.__getitem__, words[i:j]))
-                    if odd and not odd.keys().isdisjoint(words[i:j]):
-                        said[p] = "".join([odd.get(w, w) for w in words[i:j]])[1:]
-
-        def rows(texts: list[tuple]) -> Iterator[tuple]:
-            parts = [_simple(value, prefix) for _, value in texts]
-            own = set().union(*filter(None, parts))
-            fresh = own.difference(ids_of)
-            if fresh and len(ids_of) + len(fresh) > KNOWN:
-                ids_of.clear()
-                said.clear()
-                fresh = own
-            learn(list(fresh))
-            for (doc, value), own in zip(texts, parts, strict=True):
-                if own:
-                    data = b"".join([ids_of[p] for p in own])
-                    back = " ".join([said.get(p, p) for p in own]) if said else value
-                else:
-                    words = cutter(_units(value, prefix))[0] if value else []
-                    data = b"".join([book[w] for w in words])
-                    back = "".join([odd.get(w, w) for w in words]).replace(SPACE, " ")
-                    back = back[1:] if prefix and words else back
-                if width == 2:
-                    data = np.frombuffer(data, "<u2").astype("<u4").tobytes()
-                row = (doc, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == value)
-                yield (*row, np.frombuffer(data, "<u4").astype(np.int32)) if with_ids else row
-
+        cutter, now, book, odd = Cutter(neighbours, prefix), None, {}, {}
         for b in batches:
-            out, texts = [], []
-            for doc, value, block in zip(b["doc_id"], b["text"], b["block"], strict=True):
-                if block != now or len(texts) >= TEXTS:
-                    out.extend(rows(texts))
-                    texts = []
+            out, docs_of = [], iter(b["doc_id"])
+            for block, texts in _by_block(b["block"], b["text"]):
                 if block != now:
-                    now = block
-                    ids_of.clear()
-                    said.clear()
                     book.clear()
                     give_back()
                     book, odd = _book(where, int(block))
-                texts.append((doc, value))
-            out.extend(rows(texts))
+                    now = block
+                for value, words in zip(texts, cutter(texts), strict=True):
+                    data = b"".join(map(book.__getitem__, words))
+                    if width == 2:
+                        data = np.frombuffer(data, "<u2").astype("<u4").tobytes()
+                    back = "".join([odd.get(w, w) for w in words] if odd else words).replace(SPACE, " ")
+                    back = back[1:] if prefix and words else back
+                    row = (next(docs_of), len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == value)
+                    out.append((*row, np.frombuffer(data, "<u4").astype(np.int32)) if with_ids else row)
             give_back()
             yield pd.DataFrame(out, columns=["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip", "ids"][: 6 if with_ids else 5])
 
@@ -480,6 +452,14 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     return out.withColumn("doc_id", restored(F.col("doc_id"), kind))
 
 
+def _by_block(blocks: pd.Series, texts: pd.Series) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of one block."""
+    numbers, every = blocks.to_numpy(), list(texts)
+    starts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist()] if len(every) else []
+    for a, b in zip(starts, [*starts[1:], len(every)], strict=True):
+        yield numbers[a], every[a:b]
+
+
 def _book(where: str, block: int) -> tuple[dict[str, bytes], dict[str, str]]:
     """The dictionary of one block, read from the shared folder: ids by word, and what doesn't decode to itself."""
     import pyarrow.dataset as ds

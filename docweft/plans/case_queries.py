@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as X
 from ..operators import briefing as B
-from ..operators import checks, identity, normalised, report, requests, review, scanners, sections
+from ..operators import checks, identity, normalised, report, requests, review, scanners, sections, selection
 from ..operators import records as C
 from .cases import case_query
 
@@ -531,3 +531,81 @@ case_query(
     ],
     _merged,
 )
+
+# --- lookups and choices
+
+case_query(
+    "q_line_predicates", "text string", "contact boolean, duty boolean, heading boolean, extractable boolean",
+    [
+        (("jane@x.org",), [(True, False, False, True)]), (("+49 170 123",), [(True, False, False, True)]), (("- did it",), [(False, True, False, True)]), (("l did it",), [(False, True, False, True)]), (("Key Results:",), [(False, False, True, True)]),
+        (("Senior Engineer",), [(False, False, False, True)]), (("Led the team",), [(False, False, True, False)]), (("Led the team\n2010 - 2012",), [(False, False, False, True)]), (("Name: Jane\nBSc, Example University\ndegree",), [(False, False, False, False)]),
+        (("Name: Jane Engineer\nExample University",), [(False, False, False, True)]), (("",), [(False, False, False, False)]), ((None,), [(False, False, False, False)]),
+    ],
+    columns(contact=selection.contact_line(col("text")), duty=selection.duty_line(col("text")), heading=selection.subheading(col("text")), extractable=selection.extractable(col("text"))),
+)
+
+case_query(
+    "q_file_roles", "files array<struct<name:string,extension:string>>", "name string, jd_score int, cv_score int",
+    [
+        (([("Jane CV.pdf", ".pdf"), ("job description.docx", ".docx")],), [("Jane CV.pdf", 0, 10), ("job description.docx", 15, 0)]), (([("JD.docx", ".docx"), ("x.docx", ".docx")],), [("JD.docx", 10, 0), ("x.docx", 2, 0)]), (([("CV_x.pdf", ".pdf")],), [("CV_x.pdf", 0, 2)]), (([("resume.docx", ".docx")],), [("resume.docx", 2, 8)]), (([],), []),
+    ],
+    lambda df: selection.file_roles(df.select("id", F.explode("files").alias("f")).select("id", "f.*"), ["id"]).select("id", "name", "jd_score", "cv_score"),
+)
+
+case_query(
+    "q_label_values", "lines array<string>", "value string",
+    [((["x", "Location: Berlin"],), [("Berlin",)]), ((["Location:", "Oslo"],), [("Oslo",)]), ((["location", "Rome"],), [("Rome",)]), ((["Current Location Paris", "Location: x"],), [("Paris",)]), ((["none"],), [("",)]), ((["Location"],), [("",)]), (([],), [("",)])],
+    columns(value=selection.label_value(col("lines"), ["current location", "location"])),
+)
+
+case_query(
+    "q_date_lines", "text string", "first string, last string",
+    [
+        (("2015 - 2018 | Engineer",), [("2015/2018/Engineer", None)]), (("Engineer, 2015.3 – Present",), [(None, "2015.3/Present/Engineer")]), (("2020 –",), [("2020/Present/", None)]), (("2015 to now",), [("2015/now/", None)]), (("since 2015",), [(None, None)]), ((None,), [(None, None)]), (("2015 - 至今 开发",), [("2015/至今/开发", None)]),
+    ],
+    columns(first=F.when(selection.dates_first(col("text")).isNotNull(), F.concat_ws("/", *[selection.dates_first(col("text"))[k] for k in ("start", "end", "rest")])), last=F.when(selection.dates_last(col("text")).isNotNull(), F.concat_ws("/", *[selection.dates_last(col("text"))[k] for k in ("start", "end", "rest")]))),
+)
+
+_EDITED = "name string, title string, fit_summary string, next_step string, experience array<string>, concerns array<string>, matches array<struct<requirement:string,evidence:string>>"
+
+
+def _overridden(df):
+    kind = df.select(F.struct(*[c.split(" ")[0] for c in _EDITED.split(", ")]).alias("d")).schema["d"].dataType
+    d = B.parsed_summaries(df).withColumn("o", selection.overridden(F.struct(*[f.name for f in kind]), col("sections"), kind))
+    return d.select("id", "o.name", "o.title", "o.fit_summary", "o.next_step", joined(col("o.experience")).alias("experience"), joined(F.transform("o.matches", lambda m: F.concat(m["requirement"], F.lit("="), m["evidence"]))).alias("matches"))
+
+
+case_query(
+    "q_summary_overrides", f"{_EDITED}, summary string", "name string, title string, fit_summary string, next_step string, experience string, matches string",
+    [
+        (("Jane", "Lead", "old", "go", ["a"], [], [("Go", "x")], "Candidate: Sam\n## Fit Summary\nnew\n## Relevant Experience\n- b\n- c\n## Match Against Key Requirements\n- SQL -> y\n- Rust"), [("Sam", "Lead", "new", "go", "b|c", "SQL=y|Rust=")]),
+        (("Jane", "Lead", "old", "go", ["a"], [], [("Go", "x")], ""), [("Jane", "Lead", "old", "go", "a", "Go=x")]), (("Jane", "Lead", "old", "go", ["a"], [], [], "Target Role: Chief\n## Recommended Next Step\nstop"), [("Jane", "Chief", "old", "stop", "a", "")]),
+    ],
+    _overridden,
+)
+
+case_query(
+    "q_first_blocks", "refs array<struct<block_ids:array<string>>>, blocks array<struct<block_id:string,text:string>>", "ord int, text string",
+    [(([(["x", "b"],), (["a"],), ([],)], [("a", "A"), ("b", "B")]), [(0, "B"), (1, "A"), (2, None)]), (([(["b", "a"],)], [("a", "A"), ("b", "B")]), [(0, "B")]), (([], [("a", "A")]), [])],
+    lambda df: selection.first_block(_rows(df, "refs"), df.select("id", F.explode("blocks").alias("b")).select("id", "b.*"), ["id"]),
+)
+
+case_query(
+    "q_requirement_choice", "a array<string>, b array<string>", "rows string, source string",
+    [((["x"], ["y"]), [("x", "section")]), (([], ["y"]), [("y", "fallback")]), ((None, []), [("", "none")])],
+    lambda df: df.withColumn("c", selection.chosen_requirements(col("a"), col("b"))).select("id", joined(col("c.rows")).alias("rows"), "c.source"),
+)
+
+_PATHS = "array<struct<path:string>>"
+case_query(
+    "q_remaining_files", f"files {_PATHS}, selected {_PATHS}, loaded {_PATHS}", "others string, stale string",
+    [(([("a",), ("b",), ("c",)], [("b",)], [("b",), ("z",)]), [("a|c", "z")]), (([("a",)], [], []), [("a", "")]), (([], [("a",)], [("a",)]), [("", "a")])],
+    lambda df: df.select("id").join(selection.other_files(*[df.select("id", F.explode(c).alias("p")).select("id", "p.path") for c in ("files", "selected")], ["id"]).groupBy("id").agg(joined(F.sort_array(F.collect_list("path"))).alias("others")), "id", "left")
+    .join(selection.stale(*[df.select("id", F.explode(c).alias("p")).select("id", "p.path") for c in ("loaded", "files")], ["id"]).groupBy("id").agg(joined(F.sort_array(F.collect_list("path"))).alias("stale")), "id", "left").na.fill("", ["others", "stale"]),
+)
+
+case_query(
+    "q_profile_projections", "name string, place string, langs array<string>, degree string, rows array<struct<degree:string,school:string,start:string,end:string>>", "name string, place string, languages string, degrees string",
+    [((" Jane ", None, ["English", "", None], "BSc", []), [("Jane", "", "English", "BSc")]), (("", " x", None, "", [("MSc", "S", "1", "2"), ("PhD", "T", "", "")]), [("", "x", "", "MSc|PhD")])],
+    lambda df: df.select("id", "rows", "degree", selection.derived_profile(F.struct(*[(col({"candidate_name": "name", "candidate_location": "place"}[c]) if c in ("candidate_name", "candidate_location") else F.lit(" x ")).alias(c) for c in selection.PROFILE_FIELDS], col("langs").alias("candidate_languages"))).alias("p")).select("id", F.col("p.candidate_name").alias("name"), F.col("p.candidate_location").alias("place"), joined(F.col("p.candidate_languages")).alias("languages"), joined(F.transform(selection.legacy_education(col("rows"), F.struct("degree", F.lit("").alias("school"), F.lit("").alias("start"), F.lit("").alias("end"))), lambda r: r["degree_name"])).alias("degrees")),
+)

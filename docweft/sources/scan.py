@@ -20,7 +20,6 @@ from .pdf import image_pages, text_layer
 
 # What can be imported, and what is taken as a template.
 SOURCES, TEMPLATES = [".pdf", ".doc", ".docx", ".txt"], [".md"]
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 FILE = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
 
 
@@ -85,8 +84,7 @@ def documents(spark: SparkSession, folder: str, extensions: list[str] = SOURCES)
 
     raw = spark.read.format("binaryFile").schema(FILE).load(folder)
     raw = raw.select("path", X.extension(F.col("path")).alias("extension"), F.col("length").alias("size"), "content")
-    # a batch holds whole files, so its bytes are bounded; a file alone may be larger
-    spark.conf.set(BATCH_BYTES, min(int(spark.conf.get(BATCH_BYTES)), 64 << 20))
+    # a batch holds whole files; Spark bounds its bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB)
     got = raw.mapInPandas(run, "path string, extension string, size bigint, text string, error string, images int, pages int")
     normal = T.normalise_whitespace(F.col("text"))
     thin = F.coalesce(wants_ocr(F.col("text"), F.col("images"), F.col("pages")), F.lit(False))

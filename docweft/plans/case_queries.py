@@ -15,9 +15,9 @@ col = F.col
 joined = lambda c: F.array_join(c, "|")
 
 
-def columns(**made):
-    """run() of a query whose columns come from the fields of its row."""
-    return lambda df: df.select("id", *[c.alias(n) for n, c in made.items()])
+def columns(df, **made):
+    """For a query whose columns come from the fields of its row."""
+    return df.select("id", *[c.alias(n) for n, c in made.items()])
 
 
 # --- lines and blocks
@@ -27,7 +27,7 @@ case_query(
     [
         (("a\r\n\r\nb\nc",), [("a|b\nc", "a|b|c")]), (("",), [("", "")]), ((None,), [("", "")]), (("  x  \n\n\n y z ",), [("x|y z", "x|y z")]), (("one\rtwo",), [("one\ntwo", "one|two")]),
     ],
-    columns(paragraphs=joined(T.paragraphs(col("text"))), lines=joined(T.non_empty_lines(col("text")))),
+    lambda df: columns(df, paragraphs=joined(T.paragraphs(col("text"))), lines=joined(T.non_empty_lines(col("text")))),
 )
 
 
@@ -80,7 +80,7 @@ case_query(
 case_query(
     "q_extraction_text", "label string, text string", "taken string",
     [(("Experience", "did it"), [("did it",)]), (("Widget Works", "did it"), [("Widget Works\ndid it",)]), (("did it", "did it"), [("did it",)]), (("", "x"), [("x",)]), ((None, None), [("",)]), (("General", "x"), [("x",)])],
-    columns(taken=sections.extraction_text(col("label"), col("text"))),
+    lambda df: columns(df, taken=sections.extraction_text(col("label"), col("text"))),
 )
 
 
@@ -107,7 +107,7 @@ case_query(
         (("jane example",), [("candidate_name_missing_or_generic",)]), (("Email: x",), [("candidate_name_embedded_metadata",)]), (("Jane 2",), [("candidate_name_missing_or_generic",)]),
         (("Jane Example Engineer",), [("candidate_name_heading_or_table_header|candidate_name_embedded_role_or_banner",)]), (("Work Experience",), [("candidate_name_missing_or_generic",)]), ((None,), [("candidate_name_missing_or_generic",)]),
     ],
-    columns(flags=joined(C.name_flags(col("name")))),
+    lambda df: columns(df, flags=joined(C.name_flags(col("name")))),
 )
 
 case_query(
@@ -124,7 +124,7 @@ case_query(
         (("MBA", "Widget Bank", ""), [("school_from_job", False, "MBA", "")]),
         ((None, None, None), [("degree_blank|school_blank|no_education_word", False, "", "")]),
     ],
-    columns(faults=joined(C.education_faults(col("degree"), col("school"))), noise=C.education_noise(col("degree"), col("school"), col("start"), F.lit("")), parsed_degree=C.degree_and_field(col("degree"))["degree"], field=C.degree_and_field(col("degree"))["field"]),
+    lambda df: columns(df, faults=joined(C.education_faults(col("degree"), col("school"))), noise=C.education_noise(col("degree"), col("school"), col("start"), F.lit("")), parsed_degree=C.degree_and_field(col("degree"))["degree"], field=C.degree_and_field(col("degree"))["field"]),
 )
 
 case_query(
@@ -144,7 +144,7 @@ case_query(
         (("Example University", "Widget Ltd", []), [("company|institution", "", "", 12)]),
         ((None, None, None), [("blank", "blank", "no_title", None)]),
     ],
-    columns(title_faults=joined(C.title_faults(col("title"))), company_faults=joined(C.company_faults(C.company_name(col("company")))), noise=joined(normalised.employment_noise(col("title"), col("company"), col("duties"))), score=C.employment_score(col("title"), col("company"), F.lit(""), F.lit(""), col("duties"))),
+    lambda df: columns(df, title_faults=joined(C.title_faults(col("title"))), company_faults=joined(C.company_faults(C.company_name(col("company")))), noise=joined(normalised.employment_noise(col("title"), col("company"), col("duties"))), score=C.employment_score(col("title"), col("company"), F.lit(""), F.lit(""), col("duties"))),
 )
 
 case_query(
@@ -154,13 +154,13 @@ case_query(
         (("March 2020",), [(True, False)]), (("Senior Engineer",), [(True, False)]), (("built a wallet",), [(True, True)]), (("Built a wallet",), [(True, False)]), (("Search engine.",), [(True, False)]),
         (("Engineer of the Search platform",), [(False, False)]), (("Trading exchange for retail users using queues",), [(True, False)]), (("负责交易平台",), [(True, False)]),
     ],
-    columns(odd=B.suspicious_project(col("name")), odd_in_report=B.suspicious_report_project(col("name"))),
+    lambda df: columns(df, odd=B.suspicious_project(col("name")), odd_in_report=B.suspicious_report_project(col("name"))),
 )
 
 case_query(
     "q_company_as_title", "title string, company string", "company_as_title boolean",
     [(("Widget Bank", ""), [(True,)]), (("Widget Bank", "x"), [(False,)]), (("Bank Manager", ""), [(False,)]), (("SKILLS: Go", ""), [(True,)]), (("WIDGET", None), [(True,)]), (("Widget", None), [(False,)]), (("", ""), [(False,)]), (("技能：Go", ""), [(True,)])],
-    columns(company_as_title=normalised.company_as_title(col("title"), col("company"))),
+    lambda df: columns(df, company_as_title=normalised.company_as_title(col("title"), col("company"))),
 )
 
 # --- record sets
@@ -238,7 +238,7 @@ case_query(
 case_query(
     "q_evidence_lines", "matches array<struct<evidence:string,score:double>>", "lines string",
     [(([("Built it", 0.5), ("built it", 0.9), ("", 0.9), ("Ran it", 0.2), ("Saw it", 0.1)],), [("Built it|Ran it",)]), (([],), [("",)])],
-    columns(lines=joined(normalised.evidence_lines(col("matches"), 0.2))),
+    lambda df: columns(df, lines=joined(normalised.evidence_lines(col("matches"), 0.2))),
 )
 
 # --- names and titles
@@ -281,7 +281,7 @@ case_query(
 case_query(
     "q_name_fragments", "text string", "found string",
     [(("张三丰 高级工程师",), [("张三丰",)]), (("工作经验 李四",), [("李四",)]), (("平台 大学",), [("平台",)]), (("资深软件工程师",), [("",)]), (("no han at all",), [("",)]), ((None,), [("",)]), (("个人简历",), [("",)]), (("欧阳修文武 王五",), [("王五",)])],
-    columns(found=identity.fragments(col("text"))),
+    lambda df: columns(df, found=identity.fragments(col("text"))),
 )
 
 case_query(
@@ -308,7 +308,7 @@ case_query(
         (("openai", "https://x", "m", "k", "", 0.0, 8192, "p", "other", "/t.txt", ".TXT", "/o.pdf", ".pdf"), [("Reference template mode must be `default` or `local-file`.|The reference template must be a Markdown (.md) document.|The hiring-manager output template must be a Word .docx or .dotx document.",)]),
         (("", "", "", "k", "", 1.0, 500, "", "default", "/t.md", ".MD", "/o.docx", ".DOCX"), [("Provider is required.|Base URL is required.|Base URL must start with http:// or https://.|Model is required.|System prompt is required.",)]),
     ],
-    columns(errors=joined(checks.settings_errors(F.struct(*[col(c.split(" ")[0]) for c in _SETTINGS.split(", ")])))),
+    lambda df: columns(df, errors=joined(checks.settings_errors(F.struct(*[col(c.split(" ")[0]) for c in _SETTINGS.split(", ")])))),
 )
 
 case_query(
@@ -323,13 +323,13 @@ case_query(
 case_query(
     "q_briefing_errors", "name string, title string, fit_summary string, recommended_next_step string", "errors string",
     [(("a", "b", "c", "d"), [("",)]), (("", " ", None, "d"), [("|".join(t for _, t in checks.REQUIRED[:3]),)]), (("a", "b", "c", ""), [(checks.REQUIRED[3][1],)])],
-    columns(errors=joined(checks.briefing_errors(F.struct("name", "title", "fit_summary", "recommended_next_step")))),
+    lambda df: columns(df, errors=joined(checks.briefing_errors(F.struct("name", "title", "fit_summary", "recommended_next_step")))),
 )
 
 case_query(
     "q_coerced_lists", "text string", "strings string, pairs string, languages string",
     [(("- Go -> built it\n* SQL\n\n",), [("Go -> built it|SQL", "Go=built it|SQL=", "- Go -> built it * SQL")]), (("English, 中文; English / French",), [("English, 中文; English / French", "English, 中文; English / French=", "English|中文|French")]), ((None,), [("", "", "")]), (("-> only evidence",), [("> only evidence", "> only evidence=", "-> only evidence")])],
-    columns(strings=joined(checks.strings(col("text"))), pairs=joined(F.transform(checks.match_pairs(col("text")), lambda m: F.concat(m["requirement"], F.lit("="), m["evidence"]))), languages=joined(checks.languages(col("text")))),
+    lambda df: columns(df, strings=joined(checks.strings(col("text"))), pairs=joined(F.transform(checks.match_pairs(col("text")), lambda m: F.concat(m["requirement"], F.lit("="), m["evidence"]))), languages=joined(checks.languages(col("text")))),
 )
 
 # --- reports
@@ -343,7 +343,7 @@ case_query(
         (("{{Hiring Manager}}{{Canddidate_Gender}}",), [("Hiring Manager|Canddidate_Gender", "candidate_name|role_title|candidate_summary or fit_summary|employment_history or employment_experience or employment_experience_entries or relevant_experience", "")]),
         ((None,), [("", "candidate_name|role_title|candidate_summary or fit_summary|employment_history or employment_experience or employment_experience_entries or relevant_experience", "")]),
     ],
-    columns(found=joined(report.supported(report.tags(col("template")))), missing=joined(report.missing_groups(col("template"))), bars=joined(report.separators(col("template")))),
+    lambda df: columns(df, found=joined(report.supported(report.tags(col("template")))), missing=joined(report.missing_groups(col("template"))), bars=joined(report.separators(col("template")))),
 )
 
 case_query(
@@ -363,7 +363,7 @@ case_query(
         (("Jane Example, Staff  Engineer at Widget", [["jane example"], ["nothing", "Staff Engineer"]], ["John"]), [("",)]), (("x {{name}} | | y", [["Jane", "John"]], ["X"]), [("tag: name;missing: Jane or John;forbidden: X;separator: ||",)]),
         ((None, [["a"]], []), [("missing: a",)]), (("a", [], ["", "b"]), [("",)]),
     ],
-    columns(faults=F.array_join(report.report_faults(col("said"), col("required"), col("forbidden")), ";")),
+    lambda df: columns(df, faults=F.array_join(report.report_faults(col("said"), col("required"), col("forbidden")), ";")),
 )
 
 _DATA = "struct<candidate_name:string,role_title:string,candidate_summary:string,fit_summary:string,relevant_experience:string,candidate_original_name:string,candidate_english_name:string,employment:array<struct<title:string,company:string,duties:array<string>>>>"
@@ -381,7 +381,7 @@ case_query(
 case_query(
     "q_output_names", "path string", "named string",
     [(("/a/b.docx",), [("/a/b.docx",)]), (("/a/b.DOCX ",), [("/a/b.DOCX",)]), (("/a/b.pdf",), [("/a/b.docx",)]), (("/a/b.v2",), [("/a/b.v2.docx",)]), (("",), [(".docx",)])],
-    columns(named=report.output_name(col("path"))),
+    lambda df: columns(df, named=report.output_name(col("path"))),
 )
 
 case_query(
@@ -401,7 +401,7 @@ case_query(
     [
         ((["- a", "• b"], [("Go", "built it"), ("SQL", "")], "en"), [("- a\n- b", "- Go -> built it\n- SQL", "- Requirement: Go\n  Evidence hint: built it")]), (([], [], "zh"), [(requests.EMPTY["zh"], requests.NO_MATCHES["zh"], requests.NO_HINTS)]), ((None, [("", "e")], "en"), [(requests.EMPTY["en"], "- e", "- Requirement: \n  Evidence hint: e")]),
     ],
-    columns(bullets=requests.bullets(col("lines"), col("language")), pairs=requests.match_lines(col("matches"), col("language")), hints=requests.hints(col("matches"))),
+    lambda df: columns(df, bullets=requests.bullets(col("lines"), col("language")), pairs=requests.match_lines(col("matches"), col("language")), hints=requests.hints(col("matches"))),
 )
 
 case_query(
@@ -434,7 +434,7 @@ case_query(
 case_query(
     "q_reply_json", "reply string", "payload string",
     [(('Here: {"a": 1} done',), [('{"a": 1}',)]), (("none",), [(None,)]), (('{"a":\n{"b": 2}}',), [('{"a":\n{"b": 2}}',)]), ((None,), [(None,)])],
-    columns(payload=requests.reply_json(col("reply"))),
+    lambda df: columns(df, payload=requests.reply_json(col("reply"))),
 )
 
 # --- drafts, lines and dates
@@ -455,7 +455,7 @@ case_query(
         (("- Tech Stack: Go, SQL / Rust",), [("Tech Stack: Go, SQL / Rust", "", "- Tech Stack: Go, SQL / Rust", "", "- Tech Stack: Go, SQL / Rust")]), (("Tech Stack: Go，SQL",), [("Tech Stack: Go，SQL", "Go|SQL", "Tech Stack: Go，SQL", "", "Tech Stack: Go，SQL")]),
         (("MSc in Data Science",), [("MSc in Data Science", "", "MSc", "Data Science", "MSc in Data Science")]), (("• the ideal candidate, a 100% match",), [("the ideal candidate, a 100% match", "", "• the ideal candidate, a 100% match", "", "• the strong candidate, a strong match")]), ((None,), [("", "", "", "", "")]),
     ],
-    columns(bullet=T.strip_bullet(col("text")), technologies=joined(B.technologies(F.array("text"))), degree=C.degree_and_field(col("text"))["degree"], field=C.degree_and_field(col("text"))["field"], softer=B.soften(col("text"))),
+    lambda df: columns(df, bullet=T.strip_bullet(col("text")), technologies=joined(B.technologies(F.array("text"))), degree=C.degree_and_field(col("text"))["degree"], field=C.degree_and_field(col("text"))["field"], softer=B.soften(col("text"))),
 )
 
 case_query(
@@ -463,7 +463,7 @@ case_query(
     [
         (("Mar 2015 - 2018", "2015", "2018"), [("2015", "2018", "2015 - 2018", False, 2015)]), (("2015.3 至 至今", "2018", "2015"), [("2015", "至今", "2018 - 2015", True, 2015)]), (("none", "2015", ""), [("", "", "2015", None, None)]), (("2015", None, "2018"), [("", "", "2018", None, 2015)]), (("1999/12 to PRESENT", "", ""), [("1999", "PRESENT", "", None, 1999)]),
     ],
-    columns(range_start=X.date_range(col("text"))["start"], range_end=X.date_range(col("text"))["end"], formatted=X.format_range(col("start"), col("end")), wrong=C.chronology_wrong(col("start"), col("end")), year=X.year_of(col("text"))),
+    lambda df: columns(df, range_start=X.date_range(col("text"))["start"], range_end=X.date_range(col("text"))["end"], formatted=X.format_range(col("start"), col("end")), wrong=C.chronology_wrong(col("start"), col("end")), year=X.year_of(col("text"))),
 )
 
 case_query(
@@ -471,18 +471,18 @@ case_query(
     [
         (("Anonymous Candidate's plan. I met Anonymous Candidate (Sam).", "Jane M. Example (Sam)", "jane_example_cv.pdf"), [("The candidate's plan. I met the candidate.", "Jane M. Example|jane example|Jane|Example|jane|example")]), (("Candidate: Anonymous Candidate (x)\nanonymous", "Al Bo", "x.pdf"), [("Candidate: Anonymous Candidate\nanonymous", "Al Bo")]), ((None, None, None), [("", "")]),
     ],
-    columns(told=T.narrative(col("text")), variants=joined(T.name_variants(col("name"), col("file_name")))),
+    lambda df: columns(df, told=T.narrative(col("text")), variants=joined(T.name_variants(col("name"), col("file_name")))),
 )
 
 case_query(
     "q_filled_text", "template string, a string", "filled string",
     [(("x {{a}} y {{b}}", "1"), [("x 1 y ",)]), (("{{a}}{{a}}", None), [("",)]), (("no tag", "1"), [("no tag",)])],
-    columns(filled=T.fill_template(col("template"), {"a": col("a")})),
+    lambda df: columns(df, filled=T.fill_template(col("template"), {"a": col("a")})),
 )
 
 
-def _scan(what, *cols):
-    return lambda df: scanners.scan(df.select(col("id").alias("doc_id"), "lines"), what).select(col("doc_id").alias("id"), "ord", *cols)
+def _scan(df, what, *cols):
+    return scanners.scan(df.select(col("id").alias("doc_id"), "lines"), what).select(col("doc_id").alias("id"), "ord", *cols)
 
 
 case_query(
@@ -491,7 +491,7 @@ case_query(
         ((["Education", "Bachelor of Business", "Example National University", "2011 - 2015", "MSc in Trade", "Sample University (UK)", "2013 - 2014"],), [(0, "Bachelor of Business", "Example National University", "2011", "2015"), (1, "MSc in Trade", "Sample University (UK)", "2013", "2014")]),
         ((["示例大学 | 本科 | 2010 - 2014"],), [(0, "本科", "示例大学", "2010", "2014")]), ((["won a prize", "2010 - 2011"],), []), (([],), []), ((None,), []),
     ],
-    _scan("education", "degree", "school", col("start").alias("started"), col("end").alias("ended")),
+    lambda df: _scan(df, "education", "degree", "school", col("start").alias("started"), col("end").alias("ended")),
 )
 
 case_query(
@@ -499,7 +499,7 @@ case_query(
     [
         ((["Projects", "Wallet Platform (2020 - 2021) Tech Stack: Go, SQL", "- built it", "and kept on", "Indexer Service", "- did more"],), [(0, "Wallet Platform", "2020", "2021", "Tech Stack: Go, SQL|built it and kept on"), (1, "Indexer Service", "", "", "did more")]), (([],), []),
     ],
-    _scan("projects", "name", col("start").alias("started"), col("end").alias("ended"), joined(col("bullets")).alias("bullets")),
+    lambda df: _scan(df, "projects", "name", col("start").alias("started"), col("end").alias("ended"), joined(col("bullets")).alias("bullets")),
 )
 
 case_query(
@@ -541,7 +541,7 @@ case_query(
         (("Senior Engineer",), [(False, False, False, True)]), (("Led the team",), [(False, False, True, False)]), (("Led the team\n2010 - 2012",), [(False, False, False, True)]), (("Name: Jane\nBSc, Example University\ndegree",), [(False, False, False, False)]),
         (("Name: Jane Engineer\nExample University",), [(False, False, False, True)]), (("",), [(False, False, False, False)]), ((None,), [(False, False, False, False)]),
     ],
-    columns(contact=selection.contact_line(col("text")), duty=selection.duty_line(col("text")), heading=selection.subheading(col("text")), extractable=selection.extractable(col("text"))),
+    lambda df: columns(df, contact=selection.contact_line(col("text")), duty=selection.duty_line(col("text")), heading=selection.subheading(col("text")), extractable=selection.extractable(col("text"))),
 )
 
 case_query(
@@ -555,7 +555,7 @@ case_query(
 case_query(
     "q_label_values", "lines array<string>", "value string",
     [((["x", "Location: Berlin"],), [("Berlin",)]), ((["Location:", "Oslo"],), [("Oslo",)]), ((["location", "Rome"],), [("Rome",)]), ((["Current Location Paris", "Location: x"],), [("Paris",)]), ((["none"],), [("",)]), ((["Location"],), [("",)]), (([],), [("",)])],
-    columns(value=selection.label_value(col("lines"), ["current location", "location"])),
+    lambda df: columns(df, value=selection.label_value(col("lines"), ["current location", "location"])),
 )
 
 case_query(
@@ -563,7 +563,7 @@ case_query(
     [
         (("2015 - 2018 | Engineer",), [("2015/2018/Engineer", None)]), (("Engineer, 2015.3 – Present",), [(None, "2015.3/Present/Engineer")]), (("2020 –",), [("2020/Present/", None)]), (("2015 to now",), [("2015/now/", None)]), (("since 2015",), [(None, None)]), ((None,), [(None, None)]), (("2015 - 至今 开发",), [("2015/至今/开发", None)]),
     ],
-    columns(first=F.when(selection.dates_first(col("text")).isNotNull(), F.concat_ws("/", *[selection.dates_first(col("text"))[k] for k in ("start", "end", "rest")])), last=F.when(selection.dates_last(col("text")).isNotNull(), F.concat_ws("/", *[selection.dates_last(col("text"))[k] for k in ("start", "end", "rest")]))),
+    lambda df: columns(df, first=F.when(selection.dates_first(col("text")).isNotNull(), F.concat_ws("/", *[selection.dates_first(col("text"))[k] for k in ("start", "end", "rest")])), last=F.when(selection.dates_last(col("text")).isNotNull(), F.concat_ws("/", *[selection.dates_last(col("text"))[k] for k in ("start", "end", "rest")]))),
 )
 
 _EDITED = "name string, title string, fit_summary string, next_step string, experience array<string>, concerns array<string>, matches array<struct<requirement:string,evidence:string>>"

@@ -241,3 +241,22 @@ def image_pages(data: bytes) -> tuple[int, int]:
     pages = pdf.pages()
     shows = sum(any(b"/XObject" in b for b in [pdf.bodies[n], *[pdf.bodies.get(r, b"") for r in _reference(pdf.bodies[n], "Resources")]]) for n in pages)
     return shows, len(pages)
+
+
+def pdf_bytes(lines: list[str]) -> bytes:
+    """A minimal file of one page that shows the lines; for characters of Latin-1."""
+    shown = b" T* ".join(b"(" + re.sub(rb"([\\()])", rb"\\\1", line.encode("latin-1", "replace")) + b") Tj" for line in lines)
+    packed = zlib.compress(b"BT /F1 10 Tf 12 TL 50 780 Td " + shown + b" ET")
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
+        b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 5 0 R >> >> /Contents 4 0 R >>",
+        b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(packed), packed),
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>",
+    ]
+    out, places = b"%PDF-1.4\n", []
+    for n, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    table = b"".join(b"%010d 00000 n \n" % p for p in places)
+    return out + b"xref\n0 %d\n0000000000 65535 f \n%s" % (len(objects) + 1, table) + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))

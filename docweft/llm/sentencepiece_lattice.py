@@ -329,18 +329,19 @@ class Cutter:
             if size >= CHARS:
                 yield from self._cut(held)
                 held, size = [], 0
-        yield from self._cut(held)
+        if held:
+            yield from self._cut(held)
 
-    def _cut(self, held: list[str]) -> Iterator[list[str]]:
-        if len(held) == 1 and len(held[0]) > 2 * CHARS:
-            yield [w for part in _parts(held[0]) for words in self._cut([part]) for w in words]
+    def _cut(self, held: list[str], whole: bool = False) -> Iterator[list[str]]:
+        if len(held) == 1 and len(held[0]) > 2 * CHARS and not whole:
+            yield [w for part in _parts(held[0]) for words in self._cut([part], True) for w in words]
             return
         text = "".join(held)
         own = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         cuts = np.ones(len(own), bool)
         if len(own):
             np.logical_not(self.joined[own[:-1], own[1:]], out=cuts[1:])
-        begins = np.concatenate([[0], np.cumsum([len(t) for t in held])])
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in held], dtype=np.int64)])
         cuts[begins[:-1][np.diff(begins) > 0]] = True
         places = np.flatnonzero(cuts)
         at = np.searchsorted(places, begins).tolist()

@@ -74,6 +74,20 @@ def test_encoder_on_real_texts(spark, sf):
     assert e.encode("a <|endoftext|> b") == np.array(e.library.encode("a <|endoftext|> b", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_cutter_takes_texts_of_any_length_and_number(monkeypatch):
+    from docweft.llm import sentencepiece_lattice as sp
+
+    model = sp.Model(queries.tokenizer_path("piece_bpe_32k.model"))
+    cutter = sp.Cutter(model.neighbours(), True)
+    texts_ = ["", "a b", "  x  ", "the other " * 50, "e" * 300, "漢字 " * 40, "z"]
+    want = list(cutter(texts_))
+    for chars in (1, 7, 50, 1000):
+        monkeypatch.setattr(sp, "CHARS", chars)
+        for n in range(len(texts_) + 1):
+            assert list(cutter(texts_[:n])) == want[:n]
+    assert ["".join(w) for w in want] == [(" " + t).replace(" ", "▁") if t else "" for t in texts_]
+
+
 @given(st.lists(st.integers(1, 50), max_size=60))
 @settings(deadline=None)
 def test_best_fit(lengths):

@@ -360,6 +360,8 @@ def _parts(text: str) -> Iterator[str]:
             to -= 1
         if to <= at:  # no blank within reach: the next one
             to = text.find(SPACE, at + CHARS)
+            while to >= 0 and text[to - 1] == SPACE:
+                to = text.find(SPACE, to + 1)
             if to < 0:
                 break
         yield text[at:to]

@@ -35,7 +35,7 @@ def docx_text(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         xml = z.read("word/document.xml").decode("utf-8")
     parts = re.findall(r"<w:p[ >].*?</w:p>|<w:p>.*?</w:p>", xml, re.S)
-    one = lambda p: "".join(unescape(t, {"&quot;": '"', "&apos;": "'"}) if t else "\t" if tab else "\n" for t, tab in re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>|<w:(tab|br)/>", p))
+    one = lambda p: "".join({"tab": "\t", "br": "\n"}.get(mark) or unescape(t, {"&quot;": '"', "&apos;": "'"}) for t, mark in re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>|<w:(tab|br)/>", p))
     return "\n\n".join(one(p) for p in parts)
 
 

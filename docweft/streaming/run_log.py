@@ -1,9 +1,10 @@
-"""Run logs as a stream: JSON lines in, metrics per window out; keyed state kept by foreachBatch."""
+"""Run logs as a stream: JSON lines in, metrics per window out; keyed state in RocksDB."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import values as X
 
@@ -42,21 +43,45 @@ def drain(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append")
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
-def latest_state(stream: DataFrame, key: str, at: str, folder: str, checkpoint: str) -> DataFrame:
-    """The last row of each key, over any number of runs: every batch is merged into the state of the one before.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def changes(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Run a stream of aggregates over all there is now; the rows that each batch has changed, with the batch's number, over any number of runs.
 
-    A batch writes the state of its own number, so one that is repeated after a failure
-    writes the same again.
+    State is kept in RocksDB below the checkpoint, so a batch writes what it has touched and
+    nothing else. A batch that is repeated after a failure writes its own folder again.
     """
-    spark, schema = stream.sparkSession, stream.schema
+    spark = stream.sparkSession
 
-    def merge(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{folder}/state-{number - 1}") if number else batch.limit(0)
-        w = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col("__new").desc())
-        both = before.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
-        both.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__new").write.mode("overwrite").parquet(f"{folder}/state-{number}")
+    def emit(changed: DataFrame, number: int) -> None:
+        changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/epoch={number}")
 
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    done = [p["batchId"] for p in q.recentProgress]
-    return spark.read.schema(schema).parquet(f"{folder}/state-{max(done)}") if done else spark.createDataFrame([], schema)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    schema = stream.schema.add("batch", IntegerType()).add("epoch", IntegerType())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    return spark.read.schema(schema).parquet(folder) if where.getFileSystem(conf).exists(where) else spark.createDataFrame([], schema)
+
+
+def newest(changed: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key among its changes."""
+    rest = [c for c in changed.columns if c not in (*keys, "batch", "epoch")]
+    return changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")
+
+
+def latest_state(stream: DataFrame, key: str, at: str, folder: str, checkpoint: str) -> DataFrame:
+    """The row of each key with the largest ``at``, over any number of runs."""
+    rest = [c for c in stream.columns if c != key]
+    keyed = stream.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("row")).select(key, "row.*")
+    return newest(changes(keyed, folder, checkpoint), [key])

@@ -18,6 +18,11 @@ def some(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _bound(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x) with x computed once, however often of() names it."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def clean_line(c: Column) -> Column:
     """White space of any kind squeezed to single blanks, none at the ends."""
     return F.trim(F.regexp_replace(some(c), r"(?U)[\s\uFEFF]+", " "))
@@ -67,8 +72,9 @@ def _grams(token: Column) -> Column:
 
 def all_tokens(c: Column) -> Column:
     """Tokens of a-z, 0-9 and CJK pairs; single characters and stop words included."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(some(c)), r"[^a-z0-9一-鿿]+", " ")), " ")
-    return F.filter(F.flatten(F.transform(words, _grams)), lambda t: t != "")
+    plain = F.trim(F.regexp_replace(F.lower(some(c)), r"[^a-z0-9一-鿿]+", " "))
+    pairs = lambda x: F.filter(F.flatten(F.transform(F.split(x, " "), _grams)), lambda t: t != "")
+    return _bound(plain, lambda x: F.when(x == "", F.array().cast("array<string>")).when(x.rlike(r"[一-鿿]"), pairs(x)).otherwise(F.split(x, " ")))
 
 
 def tokens(c: Column) -> Column:
@@ -78,7 +84,8 @@ def tokens(c: Column) -> Column:
 
 
 def distinct_tokens(c: Column) -> Column:
-    return F.array_distinct(tokens(c))
+    stop = F.array(*[F.lit(w) for w in V.STOP_WORDS])
+    return F.filter(F.array_except(all_tokens(c), stop), lambda t: F.char_length(t) > 1)
 
 
 def preview(c: Column, most: int = V.PREVIEW, mark: str = "…") -> Column:
@@ -143,11 +150,6 @@ def working_text(c: Column, kind: Column) -> Column:
 # --- personal data
 
 
-def _bound(x: Column, of: Callable[[Column], Column]) -> Column:
-    """of(x) with x computed once, however often of() names it."""
-    return F.get(F.transform(F.array(x), of), F.lit(0))
-
-
 def _phones(text: Column, pattern: str) -> Column:
     """Phone-like matches are replaced where they have 7 to 15 digits; the text is put together from what is between matches."""
     told = lambda m: F.when(F.length(F.regexp_replace(m, r"\D", "")).between(7, 15), F.lit("[phone redacted]")).otherwise(m)

@@ -75,8 +75,8 @@ def overlap(blocks: DataFrame, items: DataFrame, keys: list[str], text: str = "l
 
     Items and blocks meet by their tokens, so nothing is paired that shares none.
     """
-    q = items.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("qs")).select("item_id", F.greatest(F.size("qs"), F.lit(1)).alias("n"), F.explode("qs").alias("t"))
-    b = blocks.select(*keys, F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("t"))
+    q = items.select("item_id", T.distinct_tokens(F.col("text")).alias("qs")).select("item_id", F.greatest(F.size("qs"), F.lit(1)).alias("n"), F.explode("qs").alias("t"))
+    b = blocks.select(*keys, F.explode(T.distinct_tokens(F.col(text))).alias("t"))
     return b.join(q, "t").groupBy("item_id", *keys).agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
 
 
@@ -122,7 +122,7 @@ def best_overlaps(blocks: DataFrame, items: DataFrame, keys: list[str], k: int,
     nothing else; more than that meet the blocks by their tokens, in a shuffle.
     """
     bonus = F.lit(0.0) if bonus is None else bonus
-    asked = items.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("qs")).filter(F.size("qs") > 0).limit(most + 1).collect()
+    asked = items.select("item_id", T.distinct_tokens(F.col("text")).alias("qs")).filter(F.size("qs") > 0).limit(most + 1).collect()
     if len(asked) > most:
         scored = overlap(blocks, items, keys, text).join(blocks.select(*keys, bonus.alias("bonus")), keys).withColumn("score", F.col("score") + F.col("bonus"))
         return scored.select("item_id", *keys, "score")
@@ -148,7 +148,7 @@ def best_overlaps(blocks: DataFrame, items: DataFrame, keys: list[str], k: int,
 
     # a null in a key sorts before all numbers, here and there
     low = -(1 << 63)
-    sent = blocks.select(*[F.coalesce(F.col(c).cast("bigint"), F.lit(low)).alias(f"k{i}") for i, c in enumerate(keys)], bonus.alias("bonus"), F.array_distinct(T.tokens(F.col(text))).alias("ts"))
+    sent = blocks.select(*[F.coalesce(F.col(c).cast("bigint"), F.lit(low)).alias(f"k{i}") for i, c in enumerate(keys)], bonus.alias("bonus"), T.distinct_tokens(F.col(text)).alias("ts"))
     local = sent.filter(F.size("ts") > 0).mapInArrow(run, "item bigint, doc bigint, place bigint, common bigint, bonus double")
     named = items.sparkSession.createDataFrame([(i, r["item_id"], float(len(r["qs"]))) for i, r in enumerate(asked)], f"item bigint, item_id {items.schema['item_id'].dataType.simpleString()}, n double")
     back = lambda c, key: F.when(F.col(c) != low, F.col(c)).cast(blocks.schema[key].dataType).alias(key)
@@ -171,7 +171,7 @@ def select_blocks(blocks: DataFrame, query_tokens: Column, preferred: Column, ki
     Columns of blocks: doc_id, order, text. Limits by kind of document: 8, 6, 1, else 4.
     """
     lead = (F.col("order") == 0) & (kind != "guidance")
-    share = F.size(F.array_intersect(F.array_distinct(T.tokens(F.col("text"))), query_tokens)) / F.greatest(F.size(query_tokens), F.lit(1))
+    share = F.size(F.array_intersect(T.distinct_tokens(F.col("text")), query_tokens)) / F.greatest(F.size(query_tokens), F.lit(1))
     score = share + F.when(preferred, V.PREFERRED_BONUS).otherwise(0.0) + F.when(F.col("order") == 0, V.LEAD_BONUS).otherwise(0.0)
     limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.LIMITS.items() for x in kv]), kind), F.lit(V.OTHER_LIMIT))
     ranked = blocks.select("*", F.when(lead, 1.0).otherwise(F.round(score, 4)).alias("score"), limit.alias("__limit"), lead.alias("__lead"))

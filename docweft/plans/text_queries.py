@@ -10,6 +10,7 @@ from ..functions import values as X
 from ..functions import vocabulary as V
 from ..operators import relational as R
 from ..operators import retrieval
+from ..sources.shared import spread
 from .registry import query, table
 
 LINES = """lines AS (
@@ -33,7 +34,7 @@ MARKED = LINES.replace("coalesce(text, '')", f"coalesce(text, '') || chr(10) ||
 def doc_lines(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
     """doc_id, line_no (from 0), line (cleaned)."""
     text = F.concat(T.some(F.col("text")), F.lit("\n"), F.expr(EXTRA)) if marked else F.col("text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(text)).alias("line_no", "raw"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "raw"))
     return docs.select("doc_id", "line_no", T.clean_line(F.col("raw")).alias("line"))
 
 
@@ -145,7 +146,7 @@ def q_source_refs_top2(spark, sf_dir):
     SELECT item_id, doc_id, sent_no, CAST(round(score, 6) AS DOUBLE) AS score FROM r WHERE n = 1""")
 def q_best_evidence(spark, sf_dir):
     """For each item the sentence of more than 30 characters that holds most of its tokens."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "line")).filter(F.char_length("line") > 30)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "line")).filter(F.char_length("line") > 30)
     scored = retrieval.best_overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), ["doc_id", "sent_no"], 1)
     return R.top_k(scored, ["item_id"], [F.col("score").desc(), F.col("doc_id"), F.col("sent_no")], 1).select("item_id", "doc_id", "sent_no", F.round("score", 6).alias("score"))
 
@@ -190,7 +191,7 @@ def _phones_sql(t, p):
     SELECT doc_id, {_phones_sql("t", V.PHONES[2])} AS redacted FROM c""")
 def q_redact_pii(spark, sf_dir):
     """Whole texts without personal data; phones are told apart by the digits of each match."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.redact(F.col("text")).alias("redacted"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables of few files over many cores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = root or "file://" + os.path.join(tempfile.gettempdir(), f"docweft-{os.getpid()}")
     return f"{root.rstrip('/')}/docweft/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it has fewer files than there are cores, for work that is heavier than a shuffle of so small a table; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df._jdf.inputFiles())  # counted in the JVM
+    return df.repartition(cores) if 0 < files < cores else df

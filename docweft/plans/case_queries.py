@@ -609,3 +609,65 @@ case_query(
     [((" Jane ", None, ["English", "", None], "BSc", []), [("Jane", "", "English", "BSc")]), (("", " x", None, "", [("MSc", "S", "1", "2"), ("PhD", "T", "", "")]), [("", "x", "", "MSc|PhD")])],
     lambda df: df.select("id", "rows", "degree", selection.derived_profile(F.struct(*[(col({"candidate_name": "name", "candidate_location": "place"}[c]) if c in ("candidate_name", "candidate_location") else F.lit(" x ")).alias(c) for c in selection.PROFILE_FIELDS], col("langs").alias("candidate_languages"))).alias("p")).select("id", F.col("p.candidate_name").alias("name"), F.col("p.candidate_location").alias("place"), joined(F.col("p.candidate_languages")).alias("languages"), joined(F.transform(selection.legacy_education(col("rows"), F.struct("degree", F.lit("").alias("school"), F.lit("").alias("start"), F.lit("").alias("end"))), lambda r: r["degree_name"])).alias("degrees")),
 )
+
+# --- tokens, working text, warnings and merges
+
+case_query(
+    "q_token_cases", "text string", "every string, kept string, distinct_kept string",
+    [
+        (("The 区块链 wallet a b2",), [("the|区块|块链|wallet|a|b2", "区块|块链|wallet|b2", "区块|块链|wallet|b2")]), (("链",), [("链", "", "")]), (("a中文b",), [("a中|中文|文b", "a中|中文|文b", "a中|中文|文b")]), (("Go, go; GO!",), [("go|go|go", "go|go|go", "go")]), (("of the",), [("of|the", "", "")]), ((None,), [("", "", "")]),
+    ],
+    lambda df: columns(df, every=joined(T.all_tokens(col("text"))), kept=joined(T.tokens(col("text"))), distinct_kept=joined(T.distinct_tokens(col("text")))),
+)
+
+case_query(
+    "q_working_text", "text string, kind string", "working string, hint string",
+    [
+        (("负责 platform", "cv"), [("responsible for platform", "mixed")]), (("工作经历：", "jd"), [("Experience :", "zh")]), (("a，b（c）", "cv"), [("a, b(c)", "en")]), (("负责", "guidance"), [("", "zh")]), (("plain\n\n text ", "jd"), [("plain\ntext", "en")]), ((None, "cv"), [("", "unknown")]), (("12", "cv"), [("12", "unknown")]),
+    ],
+    lambda df: columns(df, working=T.working_text(col("text"), col("kind")), hint=T.language_hint(col("text"))),
+)
+
+_WHOLE_SUMMARY = {"fit_summary": "a", "relevant_experience": "b", "match_requirements": "c", "recommended_next_step": "d"}
+_SUPPORT = "Several requirement matches do not include clear supporting evidence."
+case_query(
+    "q_draft_warnings", "sections map<string,string>, jobs int, matches int, supported int, name string, role string, prose string, anonymous boolean, sources int", "n int, first string, last string",
+    [
+        ((_WHOLE_SUMMARY, 1, 2, 1, "Jane", "Lead", "good fit", False, 3), [(0, "", "")]),
+        (({}, 1, 2, 2, "Jane", "Lead", "", False, 1), [(4, B.MISSING[0][1], B.MISSING[3][1])]),
+        ((_WHOLE_SUMMARY, 0, 0, 0, "resume.pdf", "Job Description", "the ideal candidate", False, 0), [(6, "Hiring-manager briefing is missing employment history details.", "Source evidence is incomplete for this draft. Verify key claims manually before approval.")]),
+        ((_WHOLE_SUMMARY, 1, 3, 1, "CV", "Lead", "", True, 1), [(1, _SUPPORT, _SUPPORT)]),
+    ],
+    lambda df: df.withColumn("w", B.draft_warnings(col("sections"), col("jobs"), col("matches"), col("supported"), col("name"), col("role"), col("prose"), col("anonymous"), col("sources"))).select("id", F.size("w").alias("n"), *[F.coalesce(F.regexp_replace(F.get("w", i), r"^(Several .*? evidence\.).*$", "$1"), F.lit("")).alias(n) for n, i in (("first", F.lit(0)), ("last", F.size("w") - 1))]),
+)
+
+_REQ = "array<struct<requirement:string,evidence:string,refs:array<string>>>"
+case_query(
+    "q_requirement_upsert", f"a {_REQ}, b {_REQ}", "ord int, requirement string, evidence string, refs string",
+    [
+        (([("Go", "", ["x"]), ("SQL", "e", [])], [("go ", "f", ["y", "x"]), ("Rust", "g", ["z"]), ("", "h", [])]), [(1, "Go", "f", "x|y"), (2, "SQL", "e", ""), (3, "Rust", "g", "z")]), (([], []), []), (([("A", "1", ["p"])], [("a", "2", ["q"])]), [(1, "A", "1", "p|q")]),
+    ],
+    lambda df: B.upsert_requirements(_rows(df, "a"), _rows(df, "b"), ["id"]).select("id", "ord", "requirement", "evidence", joined(F.sort_array("refs")).alias("refs")),
+)
+
+_NESTED = "struct<candidate:struct<name:string,skills:array<string>>,fit_summary:string,employment:array<struct<title:string>>>"
+
+
+def _nested(df):
+    kind = df.schema["p"].dataType
+    filled, told = B.with_fallback(col("p"), col("f"), kind), B.report(col("p"), col("f"), kind)
+    hidden = B.anonymised(col("p"), kind, F.array(F.lit("Jane")))
+    titles = lambda c: joined(F.transform(c["employment"], lambda e: e["title"]))
+    out = df.select("id", filled.alias("a"), told.alias("b"), hidden.alias("h"))
+    return out.select("id", F.col("a.candidate.name").alias("name"), joined(F.col("a.candidate.skills")).alias("skills"), F.col("a.fit_summary").alias("fit"), titles(col("a")).alias("titles"), titles(col("b")).alias("report_titles"), F.col("h.candidate.name").alias("hidden_name"), F.col("h.fit_summary").alias("hidden_fit"))
+
+
+case_query(
+    "q_draft_merges", f"p {_NESTED}, f {_NESTED}", "name string, skills string, fit string, titles string, report_titles string, hidden_name string, hidden_fit string",
+    [
+        (((("Jane", ["Go"]), "Jane fits, a@b.org", [("Lead",)]), (("X", ["SQL", "Go"]), "other", [("Engineer",)])), [("Jane", "Go|SQL", "Jane fits, a@b.org", "Lead", "Engineer", "Anonymous Candidate", "The candidate fits, [email redacted]")]),
+        (((("", None), " ", []), (("X", ["SQL"]), "other", [("Engineer",)])), [("X", "SQL", "other", "Engineer", "Engineer", "Anonymous Candidate", " ")]),
+        (((("Jane", []), "f", [("Lead",)]), (("X", []), "o", [])), [("Jane", "", "f", "Lead", "Lead", "Anonymous Candidate", "f")]),
+    ],
+    _nested,
+)

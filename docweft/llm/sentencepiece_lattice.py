@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,8 +48,8 @@ from .memory import give_back
 from .workspace import Workspace
 
 SPACE, UNIGRAM, BPE, WORDS, BLOCK = "▁", 1, 2, 100_000, 6144
-#: So many characters are cut at a time.
-CHARS = 1 << 19
+#: So many characters are cut at a time, and so many different parts of texts are held before they are.
+CHARS, PARTS = 1 << 19, 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -314,13 +314,13 @@ class Cutter:
 
     def __init__(self, pairs: list[str], prefix: bool):
         letters = sorted({c for p in pairs for c in p})
-        self.prefix, self.number = prefix, np.zeros(0x110000, np.uint16)
-        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        self.prefix, self.number, self.size = prefix, np.zeros(0x110000, np.int32), len(letters) + 1
+        self.number[[ord(c) for c in letters]] = np.arange(1, self.size)
+        self.joined = np.zeros(self.size * self.size, bool)
         for a, b in pairs:
-            self.joined[self.number[ord(a)], self.number[ord(b)]] = True
+            self.joined[self.number[ord(a)] * self.size + self.number[ord(b)]] = True
 
-    def __call__(self, texts: list[str]) -> Iterator[list[str]]:
+    def __call__(self, texts: Collection[str]) -> Iterator[list[str]]:
         """The words of each text, blanks written as the model's sign; some CHARS characters are cut at a time."""
         held, size = [], 0
         for text in texts:
@@ -340,7 +340,7 @@ class Cutter:
         own = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         cuts = np.ones(len(own), bool)
         if len(own):
-            np.logical_not(self.joined[own[:-1], own[1:]], out=cuts[1:])
+            np.logical_not(self.joined.take(own[:-1] * self.size + own[1:]), out=cuts[1:])
         begins = np.concatenate([[0], np.cumsum([len(t) for t in held], dtype=np.int64)])
         cuts[begins[:-1][np.diff(begins) > 0]] = True
         places = np.flatnonzero(cuts)
@@ -385,10 +385,16 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     width = 2 if len(model.pieces) <= 1 << 16 else 4
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter, words, now = Cutter(neighbours, prefix), set(), None
+        cutter, parts, words, now = Cutter(neighbours, prefix), set(), set(), None
+
+        def take(texts: Collection[str]) -> None:
+            for own in cutter(texts):
+                words.update(own)
 
         def frames() -> Iterator[pd.DataFrame]:
-            every = sorted(words)  # sorted words take half the bytes
+            take(parts)
+            every = list(words)
+            parts.clear()
             words.clear()
             for i in range(0, len(every), 50_000):
                 yield pd.DataFrame({"block": now, "word": every[i : i + 50_000]})
@@ -399,8 +405,16 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
                     if now is not None:
                         yield from frames()
                     now = block
-                for own in cutter(texts):
-                    words.update(own)
+                for text in texts:
+                    # a text of single blanks has the words of its parts, most of which are known already
+                    own = text.split(" ")
+                    if prefix and "" not in own and SPACE not in text:
+                        parts.update(own)
+                    elif text:
+                        take([text])
+                if len(parts) > PARTS:
+                    take(parts)
+                    parts.clear()
             give_back()
         if now is not None:
             yield from frames()
@@ -443,8 +457,11 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
                     data = b"".join(map(book.__getitem__, words))
                     if width == 2:
                         data = np.frombuffer(data, "<u2").astype("<u4").tobytes()
-                    back = "".join([odd.get(w, w) for w in words] if odd else words).replace(SPACE, " ")
-                    back = back[1:] if prefix and words else back
+                    if odd:
+                        back = "".join([odd.get(w, w) for w in words]).replace(SPACE, " ")
+                        back = back[1:] if prefix and words else back
+                    else:  # every word of the block decodes to itself, and the words side by side are the text
+                        back = value.replace(SPACE, " ")
                     row = (next(docs_of), len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == value)
                     out.append((*row, np.frombuffer(data, "<u4").astype(np.int32)) if with_ids else row)
             give_back()

@@ -185,3 +185,24 @@ def cached(requests: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFram
 
 def year_key(c: Column) -> Column:
     return F.coalesce(X.year_of(c), F.lit(0))
+
+
+# Places that stand alone on a line.
+PLACES = [
+    "beijing", "china", "dubai", "france", "germany", "hong kong", "india", "japan", "london", "new york", "paris", "san francisco", "shanghai", "shenzhen", "singapore", "sydney", "tokyo",
+    "united arab emirates", "united kingdom", "united states", "北京", "上海", "深圳", "香港", "新加坡", "中国",
+]
+
+
+def company_line(c: Column) -> Column:
+    """A line that names a company, or an acronym of one."""
+    x = F.trim(T.some(c))
+    return (x != "") & (x.rlike(C.COMPANY) | (~x.rlike(C.ROLE) & x.rlike(r"^[A-Z][A-Z0-9&.-]{1,11}$")))
+
+
+def location_line(c: Column) -> Column:
+    """A known place, a CJK name of one, or up to five words of names with commas between."""
+    x = F.trim(T.some(c))
+    part = r"[A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*)*"
+    named = F.lower(x).isin(PLACES) | x.rlike("^[一-鿿]{1,7}(?:市|省|区|县|国)$|^[一-鿿]{2,3}特别行政区$")
+    return ~x.rlike(r"\d") & (named | (x.rlike(rf"^{part}(?:\s*,\s*{part})+$") & (F.size(F.split(x, r"\s+")) <= 5) & ~x.rlike(C.ROLE)))

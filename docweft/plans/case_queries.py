@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import text as T
 from ..functions import values as X
 from ..operators import briefing as B
-from ..operators import checks, identity, normalised, report, requests, review, scanners, sections, selection
+from ..operators import checks, identity, normalised, report, requests, review, rich_text, scanners, sections, selection
 from ..operators import records as C
 from .cases import case_query
 
@@ -671,3 +672,38 @@ case_query(
     ],
     _nested,
 )
+
+case_query(
+    "q_rich_text", "text string", "blocks string, html string",
+    [
+        (("# Title\n- a\n* b <c>\n\nplain line one\nand two. x\nName: Jane Doe\nKey Skills:\n-- 1 of 2 --\n- z",), [("heading:Title|list:a/b <c>|paragraph:plain line one and two. x|label:Jane Doe|heading:Key Skills|list:z", "<h3>Title</h3>\n<ul><li>a</li><li>b &lt;c&gt;</li></ul>\n<p>plain line one and two. x</p>\n<p><strong>Name:</strong> Jane Doe</p>\n<h3>Key Skills</h3>\n<ul><li>z</li></ul>")]),
+        (("",), [("", "<p>No readable content available yet.</p>")]), ((None,), [("", "<p>No readable content available yet.</p>")]), (("one.\r\n\r\n\r\n\r\ntwo.",), [("paragraph:one.|paragraph:two.", "<p>one.</p>\n<p>two.</p>")]),
+    ],
+    lambda df: columns(df, blocks=joined(F.transform(rich_text.blocks(col("text")), lambda b: F.concat(b["kind"], F.lit(":"), F.replace(b["text"], F.lit("\n"), F.lit("/"))))), html=rich_text.html(col("text"))),
+)
+
+case_query(
+    "q_place_lines", "text string", "company boolean, place boolean",
+    [
+        (("Widget Ltd",), [(True, False)]), (("IBM",), [(True, False)]), (("CTO Manager",), [(False, False)]), (("London",), [(False, True)]), (("Oslo, Norway",), [(False, True)]), (("南京市",), [(False, True)]), (("Oslo 2",), [(False, False)]), (("Manager, Oslo",), [(False, False)]), (("",), [(False, False)]), ((None,), [(False, False)]),
+    ],
+    lambda df: columns(df, company=selection.company_line(col("text")), place=selection.location_line(col("text"))),
+)
+
+
+def _reviews(df):
+    issues = df.select(col("id").alias("doc_id"), F.explode("issues").alias("i")).select("doc_id", "i.*")
+    said = df.select(col("id").alias("doc_id"), F.posexplode("decisions").alias("at", "d")).select("doc_id", "at", "d.*")
+    out = api.render_review(df.select(col("id").alias("doc_id")), issues, said)
+    return out.select(col("doc_id").alias("id"), "raw_state", "state", "posture", "exportable")
+
+
+_KEY = "::project_role_ambiguous::projects::::::::::::::::"
+case_query(
+    "q_render_review", "issues array<struct<code:string,severity:string,section:string>>, decisions array<struct<issue_key:string,decision_type:string>>", "raw_state string, state string, posture string, exportable boolean",
+    [
+        (([("project_role_ambiguous", "amber", "projects")], []), [("amber", "amber", "review-required", False)]), (([("project_role_ambiguous", "amber", "projects")], [(_KEY, "keep-project-unlinked")]), [("amber", "amber", "allowed", True)]),
+        (([("role_title_missing_or_generic", "red", "role")], [("::role_title_missing_or_generic::role::::::::::::::::", "mark-reviewed")]), [("red", "red", "blocked", False)]), (([], []), [("green", "green", "allowed", True)]),
+    ],
+    _reviews,
+)

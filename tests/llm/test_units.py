@@ -195,3 +195,33 @@ def test_least_matches():
 
         tail = lambda t: sum(comb(k, i) * s**i * (1 - s) ** (k - i) for i in range(t))  # noqa: B023, E731
         assert tail(t) <= minhash_dedup.MISS < tail(t + 1)
+
+
+def test_language_of_texts_by_plain_sums(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), ("The Dog", None), ("KATZE 12", None), ("12 ;", None), (None, "en"), ("", None)])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: (r.p["lang"], r.p["score"]) for r in df.select("doc_id", language_id.predict(F.col("text"), language_id.fit(df)).alias("p")).collect()}
+
+    def bundle(text):
+        out = np.zeros(language_id.DIM)
+        padded = " " + "".join(c.lower() if c.isalpha() else " " for c in text or "") + " "
+        for x, y, z in zip(padded, padded[1:], padded[2:]):
+            if y != " ":
+                v = [language_id.letter_vector(ord(c)).astype(float) for c in (x, y, z)]
+                out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return out
+
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    known = {k: unit(sum(unit(bundle(t)) for _, t, lang in rows if lang == k)) for k in ("de", "en", "fr")}
+    for i, text, _ in rows:
+        v = bundle(text)
+        best = max(known, key=lambda k: (v @ known[k], -ord(k[0]))) if v.any() else "und"
+        score = max(0.0, unit(v) @ known[best]) if v.any() else 0.0
+        assert got[i][0] == best and abs(got[i][1] - score) < 1e-5, text
+
+
+def test_letters_are_kept_within_bounds():
+    language_id.encode(["".join(map(chr, range(0x4E00, 0x4E00 + 3 * language_id.LETTERS)))])
+    assert len(language_id._letters) <= language_id.LETTERS

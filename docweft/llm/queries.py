@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
 from . import chat_format, exact_dedup, language_id, line_templates, minhash_dedup, packing, sentencepiece_lattice, topk, toxicity, warc
 
 #: Where the vocabulary files are; a parameter of the operators, not part of the repository.
@@ -56,14 +57,14 @@ def held_out(doc_id: str, parts: int, rest: int):
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~held_out("doc_id", 4, 2)))
     scored = docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"), toxicity.threshold(F.col("lang"), model).alias("threshold"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return minhash_dedup.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), width=3, percent=85)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     prototypes = language_id.fit(docs.filter(~held_out("doc_id", 3, 1)))
     found = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), language_id.predict(F.col("text"), prototypes).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
@@ -83,7 +84,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_lines (not blank), n_dropped, and length and digest of what is kept."""
-    out = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_templates.drop_recurring(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     text = F.coalesce(F.col("text"), F.lit(""))
     return out.select("doc_id", "n_lines", "n_dropped", F.char_length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
 

@@ -137,8 +137,8 @@ def _pack(first: int, place: int, more: int, length: int) -> int:
     return first << 42 | place << 16 | more << 8 | length
 
 
-def _shift(c: Column, n: int) -> Column:
-    return F.shiftright(c, n)
+def _shift(c: Column, n: int | Column) -> Column:
+    return F.call_function("shiftright", c, F.lit(n) if isinstance(n, int) else n)
 
 
 def _place(e: Column) -> Column:
@@ -276,18 +276,21 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     n = F.char_length("word")
     short = words.filter(n.between(1, MASKED)).select(F.col("word").alias("key"), "word", F.lit(0).alias("base"), n.alias("reach"))
     short = lattice(short, model).select(F.col("key").alias("word"), "edges", F.char_length("key").alias("n"))
+    long_edges = _spread(F.filter("edges", lambda e: e.bitwiseAND(F.lit(255)) > 1)).alias("merges")
     if model.kind == BPE:
-        short = short.select("word", "n", _spread(F.col("edges")).alias("edges"))
-        short = short.withColumn("mask", _merge_fold(F.col("edges"), F.col("n")))
-        again = F.exists("edges", lambda e: _fits(F.col("mask"), e) | (e["e"].bitwiseAND(F.lit(255 << 8)) > 0))
-        mask = F.when(again, _merge_steps(F.col("edges"), F.col("n"))).otherwise(F.col("mask"))
+        short = short.select("word", "n", "edges", long_edges)
+        short = short.withColumn("mask", _merge_fold(F.col("merges"), F.col("n")))
+        again = F.exists("merges", lambda e: _fits(F.col("mask"), e) | (e["e"].bitwiseAND(F.lit(255 << 8)) > 0))
+        mask = F.when(again, _merge_steps(F.col("merges"), F.col("n"))).otherwise(F.col("mask"))
     else:
         listed = F.split(F.lit(" ".join(map(repr, scores))), " ").cast("array<double>")
-        short = short.withColumn("mask", _viterbi_fold(F.col("edges"), F.col("n"), listed, unknown)).withColumn("edges", _spread(F.col("edges")))
+        short = short.select("word", "edges", _viterbi_fold(F.col("edges"), F.col("n"), listed, unknown).alias("mask"), long_edges)
         mask = F.col("mask")
-    short = short.select("word", "edges", mask.alias("mask"))
+    short = short.select("word", "edges", "merges", mask.alias("mask"))
     on_path = lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inside"]) == 0)
-    short = short.select("word", F.transform(F.filter("edges", on_path), lambda e: e["e"]).alias("path"))
+    # a single character is on the path where its place and the next are boundaries
+    alone = lambda e: (e.bitwiseAND(F.lit(255)) == 1) & (_shift(F.col("mask"), _place(e)).bitwiseAND(F.lit(3)) == 3)
+    short = short.select("word", F.concat(F.transform(F.filter("merges", on_path), lambda e: e["e"]), F.filter("edges", alone)).alias("path"))
 
     kind = model.kind
 

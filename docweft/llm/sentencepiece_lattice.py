@@ -47,7 +47,7 @@ from .keys import carried, restored
 from .memory import give_back
 from .workspace import Workspace
 
-SPACE, UNIGRAM, BPE, WORDS, BLOCK = "▁", 1, 2, 100_000, 6144
+SPACE, UNIGRAM, BPE, WORDS, BLOCK = "▁", 1, 2, 100_000, 8192
 #: So many characters are cut at a time, and so many different parts of texts are held before they are.
 CHARS, PARTS = 1 << 19, 150_000
 

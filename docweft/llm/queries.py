@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import spread
-from . import chat_format, exact_dedup, language_id, line_templates, minhash_dedup, packing, sentencepiece_lattice, topk, toxicity, warc
+from . import chat_format, exact_dedup, language_id, line_templates, minhash_dedup, packing, sentencepiece_lattice, topk, toxicity, warc, whitening
 
 #: Where the vocabulary files are; a parameter of the operators, not part of the repository.
 def tokenizer_path(name: str) -> str:
@@ -89,7 +89,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.char_length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_exact_dedup, op4_sentencepiece, op5_toxicity, op6_near_dedup, op7_packing, op8_warc, op9_language_id, op10_line_dedup)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_exact_dedup, op4_sentencepiece, op5_toxicity, op6_near_dedup, op7_packing, op8_warc, op9_language_id, op10_line_dedup, op11_embedding_whitening)}
 
 _WS = r"[\x20\x09-\x0D]"
 

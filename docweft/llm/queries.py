@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import spread
-from . import chat_format, exact_dedup, language_id, line_templates, minhash_dedup, packing, sentencepiece_lattice, topk, toxicity, warc, whitening
+from . import chat_format, exact_dedup, language_id, line_templates, minhash_dedup, packing, secret_scan, sentencepiece_lattice, topk, toxicity, warc, whitening
 
 #: Where the vocabulary files are; a parameter of the operators, not part of the repository.
 def tokenizer_path(name: str) -> str:
@@ -93,7 +93,15 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_exact_dedup, op4_sentencepiece, op5_toxicity, op6_near_dedup, op7_packing, op8_warc, op9_language_id, op10_line_dedup, op11_embedding_whitening)}
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    kinds = [r.kind for r in secret_scan.BASE]
+    of = lambda *own: F.filter("spans", lambda s: s["kind"].isin(*own))
+    base, counts = of(*kinds), [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_exact_dedup, op4_sentencepiece, op5_toxicity, op6_near_dedup, op7_packing, op8_warc, op9_language_id, op10_line_dedup, op11_embedding_whitening, op12_secret_scan)}
 
 _WS = r"[\x20\x09-\x0D]"
 
@@ -156,6 +164,32 @@ ORACLES: dict[str, str] = {
         )
         SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.m AS component_id, s.doc_id = c.m AS kept
         FROM s JOIN (SELECT x, min(m) AS m FROM r GROUP BY x) c ON s.doc_id = c.x""",
+    # the gaps before the matches of a kind, and the matches, give their places
+    "op12_secret_scan": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+        ), k(rank, kind, least, needs, p) AS (VALUES
+            (1, 'assign', 8, '[:=]\x20*["'']?[A-Za-z0-9+/_.=-]{8}', '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)'),
+            (2, 'access', 16, 'AKIA[A-Z0-9]{12}', '()(AKIA[A-Z0-9]+)'),
+            (3, 'hex', 32, '[0-9a-f]{32}', '()([0-9a-f]+)'),
+            (4, 'host_token', 36, 'gh[opsru]_[A-Za-z0-9]{36}', '(gh[opsru]_)([A-Za-z0-9]+)'),
+            (5, 'web_token', 30, 'eyJ', '()(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)'),
+            (6, 'private_key', 27, 'PRIVATE KEY-----', '()(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----)')
+        ), g AS (
+            SELECT r, rank, kind, least, regexp_extract_all(t, '(?s)(.*?)' || p, 1) AS gaps, regexp_extract_all(t, '(?s)(.*?)' || p, 2) AS heads, regexp_extract_all(t, '(?s)(.*?)' || p, 3) AS tails
+            FROM d, k WHERE regexp_matches(t, needs)
+        ), u AS (
+            SELECT r, rank, kind, least, unnest(range(1, len(gaps) + 1)) AS i, gaps, heads, tails FROM g
+        ), m AS (
+            SELECT r, rank, kind, least, length(tails[i]) AS n, length(heads[i]) + length(tails[i]) AS size,
+                sum(length(gaps[i]) + length(heads[i]) + length(tails[i])) OVER (PARTITION BY r, rank ORDER BY i) AS stop
+            FROM u
+        ), f AS (
+            SELECT r, rank, kind, kind || ':' || CAST(stop - size AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span, CAST(stop - size AS BIGINT) AS start FROM m WHERE n >= least
+        )
+        SELECT any_value(doc_id) AS doc_id, count(*) FILTER (rank = 1) AS n_assign, count(*) FILTER (rank = 2) AS n_access, count(*) FILTER (rank = 3) AS n_hex,
+            sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank <= 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+        FROM d LEFT JOIN f USING (r) GROUP BY r""",
     "op8_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages

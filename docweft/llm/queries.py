@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import spread
-from . import chat_format, exact_dedup, language_id, line_templates, minhash_dedup, packing, secret_scan, sentencepiece_lattice, topk, toxicity, warc, whitening
+from . import chat_format, conversation_repair, exact_dedup, language_id, line_templates, minhash_dedup, packing, secret_scan, sentencepiece_lattice, topk, toxicity, warc, whitening
 
 #: Where the vocabulary files are; a parameter of the operators, not part of the repository.
 def tokenizer_path(name: str) -> str:
@@ -101,7 +101,19 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_exact_dedup, op4_sentencepiece, op5_toxicity, op6_near_dedup, op7_packing, op8_warc, op9_language_id, op10_line_dedup, op11_embedding_whitening, op12_secret_scan)}
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations with the faults that the query is about; ``present`` is false for those that are dropped."""
+    or_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn"))) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(or_space("text"), "[.!?]", "")).otherwise(or_space("text"))
+    return rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(or_space("role")).alias("role"), text.alias("text"), (fault != 0).alias("present"), F.explode(F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("time"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_exact_dedup, op4_sentencepiece, op5_toxicity, op6_near_dedup, op7_packing, op8_warc, op9_language_id, op10_line_dedup, op11_embedding_whitening, op12_secret_scan, op13_conversation_repair)}
 
 _WS = r"[\x20\x09-\x0D]"
 

@@ -223,7 +223,7 @@ def _ordered(df: DataFrame, conv: str, turn: str, role: str, text: str, present:
     rows = df.select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("turn"), text_or(role).alias("role"), text_or(text).alias("text"), (F.lit(True) if present is None else F.coalesce(present, F.lit(False))).alias("present"))
     # one shuffle: rows of a conversation are equal in less than what the window asks for
     same = Window.partitionBy("conv", "present", "role", "text").orderBy("turn")
-    return rows.repartition("conv").withColumn("repeat", F.row_number().over(same) > 1).sortWithinPartitions("conv", "turn", "role", "text")
+    return rows.repartition("conv").withColumn("repeat", F.row_number().over(same) > 1).sortWithinPartitions("conv", "turn", "role", "text", "repeat")
 
 
 def _parsed(df: DataFrame, named: str, fields: str, finish: Callable) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import spread
 from . import chat_format, conversation_repair, exact_dedup, language_id, line_templates, minhash_dedup, packing, secret_scan, sentencepiece_lattice, topk, toxicity, warc, whitening
+from .repair_sql import REPAIR
 
 #: Where the vocabulary files are; a parameter of the operators, not part of the repository.
 def tokenizer_path(name: str) -> str:
@@ -202,6 +203,7 @@ ORACLES: dict[str, str] = {
         SELECT any_value(doc_id) AS doc_id, count(*) FILTER (rank = 1) AS n_assign, count(*) FILTER (rank = 2) AS n_access, count(*) FILTER (rank = 3) AS n_hex,
             sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank <= 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
         FROM d LEFT JOIN f USING (r) GROUP BY r""",
+    "op13_conversation_repair": REPAIR,
     "op8_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages

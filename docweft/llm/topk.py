@@ -12,12 +12,13 @@ of those are the result.
 Query rows are packed in chunks, chunks meet parts by an equi-join on the part; no
 chunk or part grows with the input. Arithmetic is exact: float64 products where all
 sums stay below 2**53, whole numbers of Python otherwise (scores outside 64 bits are
-cut to its limits).
+cut to its limits). A component that leaves 64 bits when scaled counts as the nearest number of 64 bits.
 
 Left out: null ids, null vectors, vectors with null or non-finite components. Vectors
 of unequal length are padded with zeros. A query has no rows of its own id among its
 results. Ties go to the smaller id; repeated rows are results of their own. With
-fewer than k candidates all are returned; an empty table gives no rows.
+fewer than k candidates all are returned; an empty table gives no rows. Other columns are
+not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ def _pack(rows: list) -> tuple[str, int, bytes]:
     out = np.zeros((len(rows), max(1, *map(len, rows))), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    big = max(int(out.max(initial=0)), -int(out.min(initial=0)) if out.size else 0)
-    kind = next(k for k in ("i2", "i4", "i8") if big < 1 << (8 * int(k[1]) - 1))
+    high, low = int(out.max(initial=0)), int(out.min(initial=0))
+    kind = next(k for k in ("i2", "i4", "i8") if -(1 << (8 * int(k[1]) - 1)) <= low and high < 1 << (8 * int(k[1]) - 1))
     return kind, out.shape[1], out.astype(kind).tobytes()
 
 

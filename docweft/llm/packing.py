@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences, by a hierarchy of residuals.
 
-1. Documents are dealt over the tasks by a hash of doc_id and text, so that every task
-   has all lengths, however the table is ordered; repeats of one id spread by their texts.
+1. Documents are dealt one by one over tasks of bounded bytes (a rebalancing shuffle without a key), so that
+   every task has all lengths, however the table is ordered, and copies are no hot key.
 2. Every task tokenizes its documents, adds the separator, cuts what is longer than a
    sequence (the remainder comes first) and packs its own pieces: longest first, each
    into the fullest bin that still takes it.
@@ -15,12 +15,13 @@
    emptiest as there are bins to be placed. What a task gets is FAN * T rows at most.
 
 Empty pieces don't occur: a null or empty text has the separator alone. A null doc_id
-is packed like any other; repeated rows are documents of their own. An empty table
-gives no pieces. Other columns are not read. Ids of whole numbers are carried exactly.
+is packed like any other; repeated rows are documents of their own, also where id and text are the same. An empty table
+gives no pieces. A very long text is tokenized whole; a task holds the pieces of its share of the documents, 40 bytes each. Other columns are not read. Ids of whole numbers are carried exactly.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -39,6 +40,10 @@ PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint, leaf bigint,
 
 _encoders: dict[str, "Encoder"] = {}
 
+#: A run of so much white space is more than tiktoken's splitter may have the stack for.
+RUN = 10_000
+_RUN = re.compile(rf"\s{{{RUN}}}")
+
 
 #: How the byte-level vocabularies split a text before merging; part of their definition.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,7 +78,7 @@ class Encoder:
 
     The library's own encoder takes four times the CPU of tiktoken's, so tiktoken merges
     by the ranks of the library's vocabulary file. Texts beyond Latin-1, where versions of
-    Unicode could split differently, and those with the special token go to the library, and so do
+    Unicode could split differently, those with the special token and those with very long runs of white space go to the library, and so do
     all texts where the file asks for anything else than that splitting and merging.
     """
 
@@ -97,11 +102,14 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
-            plain = self.fast is not None and not any(s in text for s in self.special)
+            plain = self.fast is not None and not any(s in text for s in self.special) and (len(text) < RUN or not _RUN.search(text))
         except UnicodeEncodeError:
             plain = False
         if plain:
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:  # its splitter gives up on texts that take too much stack
+                pass
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -195,8 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     work = Workspace(docs.sparkSession, "packing")
     kind = docs.schema[doc_id].dataType
     docs = docs.select(carried(F.col(doc_id), kind).alias("doc_id"), F.col(text).alias("text"))
-    # without a number of partitions, so that AQE can join small ones
-    docs = docs.repartition(F.xxhash64("doc_id", "text"))
+    docs = docs.hint("rebalance")
     pieces = work.keep(_leaves(docs, tokenizer, size, separator, with_ids, token_ids), "pieces")
     # a leaf bin: where it is (bin, shift) and how full that bin is
     bins = pieces.groupBy("leaf").agg(F.first("fill").alias("fill"), F.first("task").alias("task"))

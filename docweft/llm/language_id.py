@@ -11,8 +11,8 @@ Words are runs of letters in lower case; each is padded by one blank on either s
 A null text and one without any letter get ``und`` and score 0. Ties go to the
 language that sorts first. Prototypes are fitted on at most about ``per_lang`` texts
 of each language, drawn by a hash of the row's identifier (the bound holds in
-expectation; it is the one bounded sample here), for the ``languages`` most frequent
-languages. Whole texts are read, in pieces of ``PIECE`` letters that are added up, so
+expectation; it is the one bounded sample here). Every language gets a prototype; one
+vector a language comes to the driver. Whole texts are read, in pieces of ``PIECE`` letters that are added up, so
 memory doesn't grow with a text or with the number of its letters.
 
 An empty table, or one without any language, has no prototypes, and every text is
@@ -120,15 +120,15 @@ def _add(out: np.ndarray, held: list[tuple[int, str]], dim: int) -> None:
         np.add.at(out, to, counts.astype(np.float32) @ bound)
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, languages: int = 1000, dim: int = DIM) -> dict[str, list[float]]:
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, dim: int = DIM) -> dict[str, list[float]]:
     """Prototypes {language: vector} of the rows, which all count as training rows; null languages don't."""
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key")).filter("lang is not null")
-    often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in often}
-    if not share:
+    often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not often:
         return {}
-    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
-    drawn = rows.filter(F.crc32(F.concat(F.lit("fit "), F.coalesce("key", F.lit("")))) < wanted * (1 << 32))
+    # smaller than the prototypes, which the driver holds as well
+    share = F.broadcast(rows.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["n"])) for r in often], "lang string, share double"))
+    drawn = rows.join(share, "lang").filter(F.crc32(F.concat(F.lit("fit "), F.coalesce("key", F.lit("")))) < F.col("share") * (1 << 32))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -140,20 +140,15 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         yield pd.DataFrame([(k, list(v)) for k, v in total.items()], columns=["lang", "v"])
 
     parts = drawn.select("text", "lang").mapInPandas(sums, "lang string, v array<double>").select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
-    out: dict[str, list[float]] = {k: [0.0] * dim for k in share}
-    for r in parts.collect():  # languages times dimensions: no row of it stands for a document
-        out[r["lang"]][r["d"]] = r["x"]
+    # one row a language; its entries are as many as there are dimensions
+    sums_of = parts.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("v"))
+    out: dict[str, list[float]] = {r["lang"]: [0.0] * dim for r in often} | {r["lang"]: r["v"] for r in sums_of.collect()}
     return {k: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for k, v in sorted(out.items())}
 
 
 def has_letter(text: Column) -> Column:
     """Whether a text has a letter, so that its language could be told."""
-
-    @F.pandas_udf("boolean")
-    def has(texts: pd.Series) -> pd.Series:
-        return pd.Series([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
-
-    return has(text)
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def predict(text: Column, prototypes: dict[str, list[float]], dim: int = DIM) -> Column:

@@ -23,7 +23,8 @@ differ, one at least of d + 1 blocks of places is equal and without wildcards in
 Lines end at "\n". Blank lines are never dropped. A null text counts as empty, has no
 lines and stays null. Repeated rows count as documents each. Nulls in doc_id don't
 matter, as rows are told apart by their text. An empty table gives an empty result. Columns
-of any name stay, but n_lines and n_dropped are added, also where a column has that name.
+of any name stay; n_lines and n_dropped are added, with an underscore behind where a column has that name. A text is
+read whole, and a line of any length is one value: a very long one takes memory in proportion to its tokens.
 """
 
 from __future__ import annotations
@@ -202,7 +203,7 @@ def recurring(work: Workspace, docs: DataFrame, min_docs: int) -> DataFrame:
 def drop_recurring(docs: DataFrame, text: str = "text", min_docs: int = 10) -> DataFrame:
     """docs with its text free of recurring lines, and the columns n_lines and n_dropped (lines that are not blank)."""
     work = Workspace(docs.sparkSession, "line_templates")
-    tid, places = fresh(docs, "tid", "places")
+    tid, places, lines, dropped = fresh(docs, "tid", "places", "n_lines", "n_dropped")
     named = docs.withColumn(tid, F.md5(F.coalesce(F.col(text), F.lit(""))))
     drop = recurring(work, named.select(F.col(tid).alias("tid"), F.col(text).alias("text")), min_docs)
     out = named.join(drop.select(F.col("tid").alias(tid), F.col("places").alias(places)), tid, "left")
@@ -211,6 +212,6 @@ def drop_recurring(docs: DataFrame, text: str = "text", min_docs: int = 10) -> D
     n_lines = F.size(F.filter(every, lambda x: x.rlike(r"(?U)\S")))
     return out.select(
         *[F.when(F.col(places).isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(places), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(n_lines, F.lit(0)).cast("bigint").alias(lines),
+        F.coalesce(F.size(places), F.lit(0)).cast("bigint").alias(dropped),
     )

@@ -399,3 +399,49 @@ def test_toxicity_takes_ids_of_any_type_and_scores_as_written(spark):
         return 1 / (1 + np.exp(-(z + model["shift"])))
 
     assert np.allclose(got, [plain(t) for t in texts], atol=1e-4)
+
+
+def test_packing_of_long_runs(spark):
+    """Runs that tiktoken's splitter has no stack for, through the operator and through the encoder."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    runs = ["\n" * 1_000_000, " " * 2_000_000 + "a", "a" * 1_000_000, "x" + "\t" * 20_000 + "y"]
+    library = Tokenizer.from_file(path)
+    got = {}
+    for r in packing.pack(docs(spark, list(enumerate(runs))), path, with_ids=True).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.ids))
+    for i, text in enumerate(runs):
+        assert [x for _, ids in sorted(got[i]) for x in ids] == [*library.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_packing_deals_copies_over_tasks(spark):
+    """Rows of one id and text are no hot key."""
+    n = 4000
+    rows = spark.range(n).select(F.when(F.col("id") % 4 > 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.lit("").alias("text")).repartition(8)
+    out = packing.pack(rows, tokenizer_path("byte_bpe_50k.json"), size=16).collect()
+    assert len(out) == n and len({r.sequence_id for r in out}) == n // 16
+    deal = rows.hint("rebalance").groupBy(F.spark_partition_id()).count()
+    assert "RoundRobin" in deal._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_templates_beside_columns_of_their_names(spark):
+    df = spark.createDataFrame([(i, "one line here\nother", 5, "x") for i in range(12)], "doc_id bigint, text string, n_lines int, N_Dropped string")
+    out = line_templates.drop_recurring(df)
+    assert out.columns == ["doc_id", "text", "n_lines", "N_Dropped", "n_lines_", "n_dropped_"]
+    assert {(r.text, r.n_lines, r.n_lines_, r.n_dropped_) for r in out.collect()} == {("", 5, 2, 2)}
+
+
+def test_language_id_of_many_languages(spark):
+    rows = [(k, f"{chr(0x4E00 + k)}{chr(0x4E01 + k)} {chr(0x4E00 + k)}", f"l{k}") for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    prototypes = language_id.fit(df)
+    assert len(prototypes) == 1500
+    got = df.select("lang", language_id.predict(F.col("text"), prototypes).alias("p")).filter("lang = p.lang").count()
+    assert got >= 1490
+
+
+def test_topk_beyond_64_bits(spark):
+    df = spark.createDataFrame([(1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.5, 0.0]), (4, [-1e16, 1.0])], "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(df, F.col("vec_id") == 3).collect()}
+    assert got == {(3, 1): (2**63 - 1), (3, 2): -(2**63), (3, 4): -(2**63)}

@@ -1,10 +1,9 @@
 """Records from section lines: employment, education, projects.
 
-A line is read once into parts: a date range and, in what is left of it, a role, a company,
-a degree, a school. A record is the run of neighbouring heading lines whose parts make
-it whole without saying anything twice, whatever their order; so date-company-role,
-company-date-role, role-company-date, "role | company" and one-line layouts are one rule.
-What follows, up to the next record, are its duties or bullets.
+Employment is segmented as a whole in ``layouts``. For education and projects a line is read
+once into parts: a date range and, in what is left of it, a degree, a school, a name. A record
+is the run of neighbouring lines whose parts make it whole without saying anything twice, whatever
+their order. What follows, up to the next record, are its bullets.
 
 Each document is a row: its lines are folded inside the task, nothing is shuffled.
 """
@@ -19,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import records as C
-from .sections import known_section, line_rule, squeeze
+from .layouts import employment
+from .sections import known_section, squeeze
 
 # Date ranges, places, and words of headings.
 _MONTH = r"(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+)?"
@@ -32,7 +32,6 @@ PLACE = re.compile(
 LABELS = re.compile(r"(?i)^(?:time|date|period|company(?: name)?|position|job title|title|role)\s*[:：]\s*")
 BULLET = re.compile(r"^(?:[-*•●◦▪■○·]|[–—])\s*|^l\s+(?=[A-Z])")
 SEPARATORS = [r"\s*\|\s*", r"\s+at\s+", r"\s+@\s+", r"\s+[—–-]\s+", r"\s*[,，]\s*"]
-NO_DUTY = re.compile(r"(?i)^(?:\.|tech stack\s*:.*|(?:responsibilities|talent acquisition|team leadership(?:\s*&\s*development)?|key achievements?|core expertise)\s*:?)$")
 PROJECT_WORD = re.compile(r"(?i)\b(?:project|platform|system|engine|app|bot|marketplace|wallet|exchange|portal|service|framework|tool)\b|项目|系统|平台|应用|引擎")
 
 
@@ -85,76 +84,6 @@ def read(raw: str) -> Line:
     return Line(text, bullet, start, end, rest, [p for p in parts if not PLACE.match(p)])
 
 
-def _is_place(line: Line) -> bool:
-    return PLACE.match(line.rest) is not None
-
-
-def _job(line: Line) -> dict[str, str]:
-    """The role and the company that a heading line names."""
-    if not line.heading:
-        return {}
-    roles = [p for p in line.parts if role(p) and not (company(p) and not re.search(r"(?i)\b(?:of|for)\b", p) and len(line.parts) > 1)]
-    if roles:
-        other = [p for p in line.parts if p not in roles[:1]]
-        found = {"title": roles[0]}
-        return found | ({"company": other[0]} if other and len(other[0].split()) <= 8 else {})
-    names = [p for p in line.parts if company(p) or re.match(r"^[A-Z][\w&.'()-]*(?:\s+(?:[A-Z(&][\w&.'()-]*|of|and|the)){0,6}$", p) or re.search("公司|集团|银行|科技", p)]
-    return {"company": names[0]} if names else {}
-
-
-def employment(lines: list[str]) -> list[dict]:
-    """title, company, start, end, duties of each record, in order."""
-    read_lines = [read(x) for x in lines if squeeze(x) and line_rule(squeeze(x)) not in ("strip_page_marker", "strip_opaque_pdf_artifact", "strip_decoration_only_line")]
-    out: list[dict] = []
-    at, held = 0, None
-    while at < len(read_lines):
-        got, after = _whole(read_lines, at, held)
-        if got:
-            held = got["company"] or held
-            at, duties = after, []
-            while at < len(read_lines) and not _whole(read_lines, at, held)[0] and not known_section(read_lines[at].text) and not (degree(read_lines[at].text) and school(read_lines[at].text)):
-                line = read_lines[at]
-                at += 1
-                if NO_DUTY.match(line.text) or _is_place(line):
-                    continue
-                if duties and not line.bullet:
-                    duties[-1] += " " + line.text
-                else:
-                    duties.append(line.text)
-            out.append(got | {"duties": duties})
-        else:
-            at += 1
-            if known_section(read_lines[at - 1].text) not in (None, "experience"):
-                held = None
-    return out
-
-
-def _whole(lines: list[Line], at: int, held: str | None) -> tuple[dict | None, int]:
-    """The record that begins here and the place after it: heading lines that add a role, a company or a date, until one would repeat."""
-    got, i = {}, at
-    while i < len(lines) and i < at + 4:
-        line = lines[i]
-        if _is_place(line) and got and not line.dated:
-            i += 1
-            continue
-        if known_section(line.text) or (line.bullet and not (line.dated and i == at)):
-            break
-        adds = _job(line) | ({"start": line.start, "end": line.end} if line.dated else {})
-        if not adds or any(k in got for k in adds) or (degree(line.rest) and school(line.rest)):
-            break
-        got |= adds
-        i += 1
-        if {"title", "company", "start"} <= got.keys():
-            break
-    if "start" not in got or ("title" not in got):
-        return None, at
-    if "company" not in got:
-        if held is None and lines[at].bullet:
-            return None, at  # a dated task, not a job
-        got["company"] = held or ""
-    return {k: got.get(k, "") for k in ("title", "company", "start", "end")}, i
-
-
 def education(lines: list[str]) -> list[dict]:
     """degree, school, start, end of each record, in order."""
     rows = [x for x in map(read, lines) if x.text and not known_section(x.text)]

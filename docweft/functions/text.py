@@ -112,7 +112,7 @@ def is_page_marker(line: Column) -> Column:
 
 
 def is_opaque(line: Column) -> Column:
-    return line.rlike("^~+$") | reduce(lambda a, b: a & b, [line.rlike(p) for p in V.OPAQUE_LEAST], line.rlike(V.OPAQUE_CHARS))
+    return line.rlike(V.OPAQUE)
 
 
 def is_decoration(line: Column) -> Column:

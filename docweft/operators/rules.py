@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 
 class Rule(NamedTuple):
-    """A field that matches ``hit`` (a pattern or a predicate) breaks the rule, unless it, or the field ``unless_of``, matches ``unless``; with ``lacks``, a field without a match breaks it."""
+    """A field that matches ``hit`` (a pattern, or a predicate of one or several fields) breaks the rule, unless it, or the field ``unless_of``, matches ``unless``; with ``lacks``, a field without a match breaks it."""
 
     code: str
-    of: str
-    hit: str | Callable[[Column], Column]
+    of: str | tuple[str, ...]
+    hit: str | Callable[..., Column]
     unless: str | None = None
     unless_of: str | None = None
     lacks: bool = False
@@ -24,8 +24,8 @@ def broken(fields: dict[str, Column], rules: list[Rule]) -> Column:
     """The codes of the rules that the fields break, in order."""
 
     def breaks(r: Rule) -> Column:
-        x = fields[r.of]
-        hit = x.rlike(r.hit) if isinstance(r.hit, str) else r.hit(x)
+        own = [fields[f] for f in ((r.of,) if isinstance(r.of, str) else r.of)]
+        hit = own[0].rlike(r.hit) if isinstance(r.hit, str) else r.hit(*own)
         hit = ~hit if r.lacks else hit
         return hit if r.unless is None else hit & ~fields[r.unless_of or r.of].rlike(r.unless)
 

@@ -282,7 +282,7 @@ case_query(
 case_query(
     "q_name_fragments", "text string", "found string",
     [(("张三丰 高级工程师",), [("张三丰",)]), (("工作经验 李四",), [("李四",)]), (("平台 大学",), [("平台",)]), (("资深软件工程师",), [("",)]), (("no han at all",), [("",)]), ((None,), [("",)]), (("个人简历",), [("",)]), (("欧阳修文武 王五",), [("王五",)])],
-    lambda df: columns(df, found=identity.fragments(col("text"))),
+    lambda df: columns(df, found=identity.best_fragment(col("text"))),
 )
 
 case_query(

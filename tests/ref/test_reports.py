@@ -38,8 +38,10 @@ def test_redaction_keeps_control_characters(spark):
     assert len(plan) < 8000
 
 
-def test_names_beside_files():
-    assert identity.candidate_name("李四\nx", "王五简历.pdf") == "王五"
-    assert identity.candidate_name("Jane Example\nEngineer", "anything.pdf") == "Jane Example"
-    assert identity.candidate_name("", "Jane_Example_CV_2020.pdf") == "Jane Example"
-    assert identity.fragment_score("") < 0 and identity.fragment_score("工程师") == 12 - 20 - 8
+def test_names_beside_files(spark):
+    names = [("李四\nx", "王五简历.pdf"), ("Jane Example\nEngineer", "anything.pdf"), ("", "Jane_Example_CV_2020.pdf"), (None, None), ("", "cv.pdf")]
+    df = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "i int, text string, file string")
+    got = [r[0] for r in df.orderBy("i").select(identity.candidate_name(F.col("text"), F.col("file"))).collect()]
+    assert got == ["王五", "Jane Example", "Jane Example", "Candidate", "Candidate"]
+    scores = spark.createDataFrame([(0, ""), (1, "工程师")], "i int, s string").orderBy("i").select(identity.fragment_score(F.col("s"))).collect()
+    assert scores[0][0] < 0 and scores[1][0] == 12 - 20 - 8

@@ -68,24 +68,34 @@ def _decoded(extension: str, data: bytes) -> tuple[str, str | None, int, int]:
     return "", f"{extension or 'a file without extension'} needs a converter that is not part of this engine", 0, 0
 
 
+def decoded(path: str, extension: str, size: int, data: bytes, extensions: list[str]) -> tuple:
+    """path, extension, size, text, error, images, pages of one file; whatever is wrong with it is its error."""
+    try:
+        text, error, images, pages = _decoded(extension, data) if extension in extensions else ("", "Unsupported file type.", 0, 0)
+    except Exception as e:  # noqa: BLE001
+        text, error, images, pages = "", f"{type(e).__name__}: {e}", 0, 0
+    return path, extension, size, text, error, images, pages
+
+
+READ = "path string, extension string, size bigint, text string, error string, images int, pages int"
+
+
 def documents(spark: SparkSession, folder: str, extensions: list[str] = SOURCES) -> DataFrame:
     """The files of a folder with text, preview, warnings, status and error. Unsupported files are rows with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, ext, size, data in zip(b["path"], b["extension"], b["size"], b["content"], strict=True):
-                try:
-                    text, error, images, pages = _decoded(ext, data) if ext in extensions else ("", "Unsupported file type.", 0, 0)
-                except Exception as e:  # noqa: BLE001  whatever is wrong with a file is its row's error
-                    text, error, images, pages = "", f"{type(e).__name__}: {e}", 0, 0
-                rows.append((path, ext, size, text, error, images, pages))
+            rows = [decoded(*row, extensions) for row in zip(b["path"], b["extension"], b["size"], b["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", "extension", "size", "text", "error", "images", "pages"])
 
     raw = spark.read.format("binaryFile").schema(FILE).load(folder)
     raw = raw.select("path", X.extension(F.col("path")).alias("extension"), F.col("length").alias("size"), "content")
     # a batch holds whole files; Spark bounds its bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB)
-    got = raw.mapInPandas(run, "path string, extension string, size bigint, text string, error string, images int, pages int")
+    return finished(raw.mapInPandas(run, READ))
+
+
+def finished(got: DataFrame) -> DataFrame:
+    """Rows as they were read, with name, preview, warnings and status."""
     normal = T.normalise_whitespace(F.col("text"))
     thin = F.coalesce(wants_ocr(F.col("text"), F.col("images"), F.col("pages")), F.lit(False))
     noted = F.when(F.col("error").isNull(), import_warnings(normal, F.col("extension"), weak_image=thin)).otherwise(F.array().cast("array<string>"))

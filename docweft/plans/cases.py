@@ -13,8 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import ORACLES, QUERIES, table
+from .registry import ORACLES, QUERIES, Query, table
 
+#: The queries of cases with what has to come out, for tests also where a query of a table has taken the name.
+CASES: dict[str, tuple[Query, str]] = {}
 KINDS = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
@@ -44,5 +46,5 @@ def case_query(name: str, fields: str, out: str, cases: list[tuple[tuple, list[t
     query.__doc__ = run.__doc__
     rows = [f"({i}, {', '.join(_literal(v, k) for v, (_, k) in zip(row, columns, strict=True))})" for i, (_, wanted) in enumerate(cases) for row in wanted]
     names = ", ".join(c for c, _ in columns)
-    QUERIES[name] = query
-    ORACLES[name] = f"SELECT CAST({key} AS BIGINT) AS id, {names} FROM {source} JOIN (VALUES {', '.join(rows)}) AS c(dealt, {names}) ON {key} % {len(cases)} = c.dealt"
+    CASES[name] = query, f"SELECT CAST({key} AS BIGINT) AS id, {names} FROM {source} JOIN (VALUES {', '.join(rows)}) AS c(dealt, {names}) ON {key} % {len(cases)} = c.dealt"
+    QUERIES[name], ORACLES[name] = CASES[name]

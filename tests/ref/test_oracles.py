@@ -4,6 +4,7 @@ import pytest
 
 import oracle
 from docweft import plans
+from docweft.plans.cases import CASES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,15 @@ def test_equals_sql(spark, sf, con, name):
     oracle.compare(spark, con, plans.QUERIES[name], plans.ORACLES[name], sf)
 
 
+REPLACED = sorted(n for n, (q, _) in CASES.items() if plans.QUERIES[n] is not q)
+
+
+@pytest.mark.parametrize("name", REPLACED)
+def test_written_cases(spark, sf, con, name):
+    """Cases whose name a query of a table has taken."""
+    oracle.compare(spark, con, *CASES[name], sf)
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_has_rows(spark, sf, name):
     assert plans.QUERIES[name](spark, sf).count() > 0

@@ -9,12 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have in any case, one for each of ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column], scope: list[str] | None = None) -> DataFrame:
     """The first row of each key in the given order; rows whose only key is empty or null are dropped."""
     if len(keys) == 1 and df.schema[keys[0]].dataType.simpleString() == "string":
         df = df.filter(F.coalesce(F.col(keys[0]), F.lit("")) != "")
     w = Window.partitionBy(*(scope or []), *keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    (n,) = fresh(df, "n")
+    return df.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).drop(n)
 
 
 def keep_best(df: DataFrame, keys: list[str], score: Column, order: list[Column]) -> DataFrame:
@@ -40,27 +52,50 @@ def merge_coalesce(primary: DataFrame, fallback: DataFrame, keys: list[str]) ->
     return primary.join(fallback, on, "full_outer").select(*[F.coalesce(primary[k], fallback[k]).alias(k) for k in keys], *[filled(c) for c in other])
 
 
-def upsert_recent(stored: DataFrame, fresh: DataFrame, key: str, at: str, most: int) -> DataFrame:
+def upsert_recent(stored: DataFrame, newer: DataFrame, key: str, at: str, most: int) -> DataFrame:
     """Fresh rows replace stored ones of their key; the ``most`` newest rows stay."""
-    both = stored.withColumn("__fresh", F.lit(0)).unionByName(fresh.withColumn("__fresh", F.lit(1)))
-    latest = keep_first(both, [key], [F.col("__fresh").desc(), F.col(at).desc()])
-    return latest.drop("__fresh").orderBy(F.col(at).desc(), F.col(key)).limit(most)
+    (new,) = fresh(stored, "new")
+    both = stored.withColumn(new, F.lit(0)).unionByName(newer.withColumn(new, F.lit(1)))
+    latest = keep_first(both, [key], [F.col(new).desc(), F.col(at).desc()])
+    return latest.drop(new).orderBy(F.col(at).desc(), F.col(key)).limit(most)
 
 
 def interval_candidates(inner: DataFrame, outer: DataFrame, scope: list[str], inner_id: str, outer_id: str) -> DataFrame:
-    """For each inner interval (start, end) of a scope the outer ones that contain it: link if exactly one does.
+    """For each inner interval (start, end: whole numbers) of a scope the outer ones that contain it: how many, and the one if it is one.
 
-    A scope's intervals meet by an equi-join on the scope; null bounds never match.
+    Nothing is paired. Starts lie in a tree of halves: an outer interval belongs to the block of its start on every
+    level, and the outer intervals that start no later than an inner one are those of a few whole blocks, one a
+    level at most. Inside a block a running count by falling end gives those that end no earlier. Blocks
+    hold one row for each end, so a hot scope is spread over many blocks, none larger than the number of different ends. Null
+    bounds and null scopes never match; a null end of an inner interval is its start.
     """
-    a, b = inner.alias("a"), outer.alias("b")
-    inside = (F.col("a.start") >= F.col("b.start")) & (F.coalesce(F.col("a.end"), F.col("a.start")) <= F.col("b.end"))
-    on = inside
-    for s in scope:
-        on = (F.col(f"a.{s}") == F.col(f"b.{s}")) & on
-    joined = a.join(b, on, "left").groupBy(*[F.col(f"a.{s}").alias(s) for s in scope], F.col(f"a.{inner_id}").alias(inner_id))
-    return joined.agg(F.count(F.col(f"b.{outer_id}")).alias("n_candidates"), F.min(f"b.{outer_id}").alias("first_candidate")).select(
-        *scope, inner_id, "n_candidates", F.when(F.col("n_candidates") == 1, F.col("first_candidate")).alias("linked_id"), (F.col("n_candidates") > 1).alias("ambiguous")
-    )
+    named = {"lo": F.col("start").cast("bigint"), "hi": F.coalesce("end", "start").cast("bigint")}
+    known = F.lit(True)
+    for c in scope:
+        known = known & F.col(c).isNotNull()
+    asked = inner.select(*scope, F.col(inner_id).alias("__id"), *[c.alias(n) for n, c in named.items()])
+    held = outer.filter(known & F.col("start").isNotNull() & F.col("end").isNotNull()).select(*scope, F.col(outer_id).alias("__id"), F.col("start").cast("bigint").alias("lo"), F.col("end").cast("bigint").alias("hi"))
+    low, high = held.agg(F.min("lo"), F.max("lo")).first()
+    keys = [*scope, "level", "block"]
+    if low is None:
+        counted = asked.select(*scope, "lo", "hi", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(outer.schema[outer_id].dataType).alias("first")).limit(0)
+    else:
+        levels = (high - low + 1).bit_length()
+        level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+        bit = F.expr("shiftright(at, level)")
+        each = held.groupBy(*scope, "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
+        points = each.select(*scope, "hi", "n", "first", (F.col("lo") - low).alias("at"), level).select(*scope, "level", bit.alias("block"), "hi", "n", "first")
+        points = points.groupBy(*keys, "hi").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("lo", F.lit(None).cast("bigint"))
+        # starts in [low, lo], as blocks: the left one of a pair wherever the end of that range has a bit
+        wanted = asked.filter(known & (F.col("lo") >= low)).select(*scope, "lo", "hi").distinct()
+        wanted = wanted.select("*", (F.least(F.col("lo"), F.lit(high)) - low + 1).alias("at"), level).filter(bit.bitwiseAND(F.lit(1)) == 1)
+        wanted = wanted.select(*keys[:-2], "level", (bit - 1).alias("block"), "hi", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(outer.schema[outer_id].dataType).alias("first"), "lo")
+        falling = Window.partitionBy(*keys).orderBy(F.col("hi").desc(), F.col("lo").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = points.unionByName(wanted).select(*keys, "lo", "hi", F.sum("n").over(falling).alias("n"), F.min("first").over(falling).alias("first")).filter("lo is not null")
+        counted = running.groupBy(*scope, "lo", "hi").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    found = asked.join(counted, [*scope, "lo", "hi"], "left")
+    n = F.coalesce(F.col("n"), F.lit(0))
+    return found.select(*scope, F.col("__id").alias(inner_id), n.alias("n_candidates"), F.when(n == 1, F.col("first")).alias("linked_id"), (n > 1).alias("ambiguous"))
 
 
 def zip_merge(base: Column, other: Column) -> Column:

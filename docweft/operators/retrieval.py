@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from ..functions import vocabulary as V
 from . import relational as R
 
 
-#: So many items go to every task; scores so near to each other may be equal when rounded; a task holds so many rows before it sorts.
-ITEMS, NEAR, HELD = 10_000, 2e-6, 100_000
+#: So many items go to every task; scores so near to each other may be equal when rounded; so many blocks of a batch give first bounds; about so many candidates are counted at a time.
+ITEMS, NEAR, FIRST, PAIRS = 10_000, 2e-6, 512, 1 << 18
+_TOKEN, _CJK = re.compile("[a-z0-9一-鿿]+"), re.compile("[一-鿿]")
+ROW = np.dtype([("item", np.int64), ("doc", np.int64), ("place", np.int64), ("common", np.int64), ("bonus", np.float64), ("score", np.float64)])
 
 
 def headings(spark: SparkSession) -> DataFrame:
@@ -81,38 +84,84 @@ def overlap(blocks: DataFrame, items: DataFrame, keys: list[str], text: str = "l
 
 
 class _Best:
-    """The k best blocks of each item among those that a task has seen: by score, then by place."""
-
-    def __init__(self, sizes: np.ndarray, k: int):
-        self.sizes, self.k, self.least = sizes, k, np.full(len(sizes), -np.inf)
-        self.last = np.full(len(sizes), np.iinfo(np.int64).max)  # the document of an item's k-th best
-        self.held: list[pd.DataFrame] = []
-        self.rows = 0
-
-    def add(self, doc: int, place: int, counts: np.ndarray, bonus: float) -> None:
-        items = np.flatnonzero(counts)
-        score = counts[items] / self.sizes[items] + bonus
-        near = score >= self.least[items] - NEAR
-        fits = near & ((np.abs(score - self.least[items]) > NEAR) | (score != self.least[items]) | (doc <= self.last[items]))
-        if len(items := items[fits]):
-            self.held.append(pd.DataFrame({"item": items, "doc": doc, "place": place, "common": counts[items], "bonus": bonus, "score": score[fits]}))
-            self.rows += len(items)
-            if self.rows > HELD:
-                self.shrink()
-
-    def shrink(self) -> pd.DataFrame:
-        if not self.held:
-            return pd.DataFrame({c: [] for c in ("item", "doc", "place", "common", "bonus", "score")})
-        rows = pd.concat(self.held).sort_values(["item", "score", "doc", "place"], ascending=[True, False, True, True])
-        rows["rank"] = rows.groupby("item").cumcount()
-        edge = rows[rows["rank"] == self.k - 1].set_index("item")
-        self.least[edge.index] = edge["score"]
-        self.last[edge.index] = edge["doc"]
+    """The k best blocks of each item among those that a task has seen: by score, then by place.
+
+    Items are postings: the items of each token. An item whose k-th best score so far is T can only gain
+    from blocks that share at least (T - the largest bonus) * n of its n tokens, and such a block holds one at
+    least of all but that many minus one of them. So only the postings of the tokens that are rarest in a batch are
+    walked, and fewer of them the better the best are; the frequent ones just count where a block is a candidate anyway.
+    """
+
+    def __init__(self, items: list[list[str]], k: int):
+        self.k, self.n = k, len(items)
+        self.ids: dict[str, int] = {}
+        own = [[self.ids.setdefault(t, len(self.ids)) for t in ts] for ts in items]
+        self.sizes = np.array([len(ts) for ts in own], np.int64)
+        self.tokens, self.owner = np.concatenate([np.array(ts, np.int64) for ts in own]), np.repeat(np.arange(self.n), self.sizes)
+        self.width = len(self.ids)
+        self.members = np.sort(self.owner * self.width + self.tokens)
+        self.least = np.full(self.n, -np.inf)
+        self.rows = np.zeros(0, ROW)
+
+    def _known(self, text: str | None) -> set[int]:
+        """The distinct tokens of a text that some item has: ``distinct_tokens`` without those that no item can match."""
+        words = _TOKEN.findall((text or "").lower())
+        if text and _CJK.search(text):
+            words = [w for x in words for w in ([x[i : i + 2] for i in range(max(1, len(x) - 1))] if _CJK.search(x) else [x])]
+        own = set(map(self.ids.get, words))
+        own.discard(None)
+        return own
+
+    def add(self, docs: np.ndarray, places: np.ndarray, bonuses: np.ndarray, texts: list[str | None]) -> None:
+        """Blocks of a batch."""
+        own = [self._known(t) for t in texts]
+        counts = np.array([len(x) for x in own], np.int64)
+        ids = np.fromiter(chain.from_iterable(own), np.int64, counts.sum())
+        if not len(ids):
+            return
+        line, starts = np.repeat(np.arange(len(docs)), counts), np.concatenate([[0], np.cumsum(counts)])
+        seen = np.bincount(ids, minlength=self.width)
+        # tokens of an item, rarest first, and how many of them have to be walked
+        order = np.lexsort((seen[self.tokens], self.owner))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        need = np.where(np.isfinite(self.least), np.ceil((self.least - bonuses.max() - NEAR) * self.sizes - 1e-9), 1)
+        walk = self.sizes - np.maximum(need, 1) + 1
+        chosen = order[(rank < np.repeat(walk, self.sizes)) & (seen[self.tokens[order]] > 0)]
+        posted, holders = self.tokens[chosen], self.owner[chosen]
+        by = np.argsort(posted, kind="stable")
+        posted, holders = posted[by], holders[by]
+        first, last = np.searchsorted(posted, ids), np.searchsorted(posted, ids, "right")
+        step = last - first
+        total = np.cumsum(step)
+        # whole blocks at a time, whose postings are about as many as candidates may be
+        cuts = np.unique(np.concatenate([[0], starts[line[np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS))]], [len(ids)]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            n = step[a:b]
+            if n.any():
+                at = np.repeat(first[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                self._score(np.unique(np.repeat(line[a:b], n) * self.n + holders[at]), docs, places, bonuses, starts, ids)
+
+    def _score(self, pairs: np.ndarray, docs: np.ndarray, places: np.ndarray, bonuses: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
+        """Whole counts of candidates (line * items + item), and the best of them."""
+        line, item = pairs // self.n, pairs % self.n
+        step = starts[line + 1] - starts[line]
+        at = np.repeat(starts[line] - np.cumsum(step) + step, step) + np.arange(step.sum())
+        key = np.repeat(item, step) * self.width + ids[at]
+        place = np.minimum(np.searchsorted(self.members, key), len(self.members) - 1)
+        common = np.add.reduceat((self.members[place] == key).astype(np.int64), np.cumsum(step) - step)
+        score = common / self.sizes[item] + bonuses[line]
+        good = (common > 0) & (score >= self.least[item] - NEAR)
+        out = np.zeros(int(good.sum()), ROW)
+        out["item"], out["doc"], out["place"], out["common"], out["bonus"], out["score"] = item[good], docs[line[good]], places[line[good]], common[good], bonuses[line[good]], score[good]
+        rows = np.concatenate([self.rows, out])
+        rows = rows[np.lexsort((rows["place"], rows["doc"], -rows["score"], rows["item"]))]
+        firsts = np.searchsorted(rows["item"], np.arange(self.n))
+        rank = np.arange(len(rows)) - firsts[rows["item"]]
+        edge = rows[rank == self.k - 1]
+        self.least[edge["item"]] = edge["score"]
         # scores that rounding could make equal to the k-th one stay too
-        kept = (rows["rank"] < self.k) | ((np.abs(rows["score"] - self.least[rows["item"]]) <= NEAR) & (rows["score"] != self.least[rows["item"]]))
-        rows = rows[kept].drop(columns="rank")
-        self.held, self.rows = [rows], 0
-        return rows
+        limit = self.least[rows["item"]]
+        self.rows = rows[(rank < self.k) | ((np.abs(rows["score"] - limit) <= NEAR) & (rows["score"] != limit))]
 
 
 def best_overlaps(blocks: DataFrame, items: DataFrame, keys: list[str], k: int, text: str = "line", bonus: Column | None = None, most: int = ITEMS) -> DataFrame:
@@ -126,30 +175,26 @@ def best_overlaps(blocks: DataFrame, items: DataFrame, keys: list[str], k: int,
     if len(asked) > most:
         scored = overlap(blocks, items, keys, text).join(blocks.select(*keys, bonus.alias("bonus")), keys).withColumn("score", F.col("score") + F.col("bonus"))
         return scored.select("item_id", *keys, "score")
-    holders: dict[str, list[int]] = {}
-    for i, r in enumerate(asked):
-        for t in r["qs"]:
-            holders.setdefault(t, []).append(i)
-    index = {t: np.array(own, np.int32) for t, own in holders.items()}
-    sizes = np.array([len(r["qs"]) for r in asked], np.float64)
+    questions = [list(r["qs"]) for r in asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, n = _Best(sizes, k), len(sizes)
+        best = _Best(questions, k) if questions else None
         for b in batches:
-            docs, places, bonuses = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            lists = b.column(3)
-            bounds, words = lists.offsets.to_pylist(), lists.values.to_pylist()
-            for row in range(b.num_rows):
-                found = [own for t in words[bounds[row] : bounds[row + 1]] if (own := index.get(t)) is not None]
-                if found:
-                    best.add(int(docs[row]), int(places[row]), np.bincount(np.concatenate(found), minlength=n), float(bonuses[row]))
-        rows = best.shrink()
-        yield pa.RecordBatch.from_pydict({c: pa.array(rows[c].to_numpy(), t) for c, t in zip(("item", "doc", "place", "common", "bonus"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
+            if best is None:
+                continue
+            # the first blocks give a first bound to the rest
+            for at, n in ((0, FIRST), (FIRST, b.num_rows)):
+                part = b.slice(at, n)
+                if part.num_rows:
+                    docs, places, bonuses = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+                    best.add(docs, places, bonuses, part.column(3).to_pylist())
+        rows = best.rows if best is not None else np.zeros(0, ROW)
+        yield pa.RecordBatch.from_pydict({c: pa.array(rows[c], t) for c, t in zip(("item", "doc", "place", "common", "bonus"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     # a null in a key sorts before all numbers, here and there
     low = -(1 << 63)
-    sent = blocks.select(*[F.coalesce(F.col(c).cast("bigint"), F.lit(low)).alias(f"k{i}") for i, c in enumerate(keys)], bonus.alias("bonus"), T.distinct_tokens(F.col(text)).alias("ts"))
-    local = sent.filter(F.size("ts") > 0).mapInArrow(run, "item bigint, doc bigint, place bigint, common bigint, bonus double")
+    sent = blocks.select(*[F.coalesce(F.col(c).cast("bigint"), F.lit(low)).alias(f"k{i}") for i, c in enumerate(keys)], bonus.alias("bonus"), F.col(text).alias("text"))
+    local = sent.mapInArrow(run, "item bigint, doc bigint, place bigint, common bigint, bonus double")
     named = items.sparkSession.createDataFrame([(i, r["item_id"], float(len(r["qs"]))) for i, r in enumerate(asked)], f"item bigint, item_id {items.schema['item_id'].dataType.simpleString()}, n double")
     back = lambda c, key: F.when(F.col(c) != low, F.col(c)).cast(blocks.schema[key].dataType).alias(key)
     joined = local.join(F.broadcast(named), "item")  # at most ``most`` rows
@@ -174,9 +219,10 @@ def select_blocks(blocks: DataFrame, query_tokens: Column, preferred: Column, ki
     share = F.size(F.array_intersect(T.distinct_tokens(F.col("text")), query_tokens)) / F.greatest(F.size(query_tokens), F.lit(1))
     score = share + F.when(preferred, V.PREFERRED_BONUS).otherwise(0.0) + F.when(F.col("order") == 0, V.LEAD_BONUS).otherwise(0.0)
     limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.LIMITS.items() for x in kv]), kind), F.lit(V.OTHER_LIMIT))
-    ranked = blocks.select("*", F.when(lead, 1.0).otherwise(F.round(score, 4)).alias("score"), limit.alias("__limit"), lead.alias("__lead"))
-    w = R.Window.partitionBy("doc_id").orderBy(F.col("__lead").desc(), F.col("score").desc(), "order")
-    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("__limit")).drop("__limit", "__lead")
+    most, first = R.fresh(blocks, "most", "first")
+    ranked = blocks.select("*", F.when(lead, 1.0).otherwise(F.round(score, 4)).alias("score"), limit.alias(most), lead.alias(first))
+    w = R.Window.partitionBy("doc_id").orderBy(F.col(first).desc(), F.col("score").desc(), "order")
+    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col(most)).drop(most, first)
 
 
 def language_vote(df: DataFrame, scope: str, text: str) -> DataFrame:

@@ -70,7 +70,9 @@ def file_roles(files: DataFrame, scope: list[str]) -> DataFrame:
     """files: scope, name, extension -> with jd_score and cv_score; a folder's counts come from a window over it."""
     w = R.Window.partitionBy(*scope)
     n, docx = F.count(F.lit(1)).over(w), F.sum((F.col("extension") == ".docx").cast("int")).over(w)
-    return files.withColumn("n", n).withColumn("docx", docx).select("*", jd_score(F.col("name"), F.col("extension"), F.col("n"), F.col("docx")).alias("jd_score"), cv_score(F.col("name"), F.col("extension")).alias("cv_score")).drop("n", "docx")
+    every, word = R.fresh(files, "every", "word")
+    counted = files.withColumn(every, n).withColumn(word, docx)
+    return counted.select("*", jd_score(F.col("name"), F.col("extension"), F.col(every), F.col(word)).alias("jd_score"), cv_score(F.col("name"), F.col("extension")).alias("cv_score")).drop(every, word)
 
 
 def other_files(files: DataFrame, selected: DataFrame, scope: list[str]) -> DataFrame:
@@ -169,7 +171,8 @@ def legacy_education(rows: Column, profile: Column) -> Column:
 def in_order(df: DataFrame, scope: list[str], sequence: Column) -> DataFrame:
     """Events that are not older than one already seen: of answers that overtake each other the later request's stays."""
     before = F.max(sequence).over(R.Window.partitionBy(*scope).orderBy("seen_at", sequence).rowsBetween(R.Window.unboundedPreceding, -1))
-    return df.withColumn("before", before).filter(F.col("before").isNull() | (sequence >= F.col("before"))).drop("before")
+    (last,) = R.fresh(df, "last")
+    return df.withColumn(last, before).filter(F.col(last).isNull() | (sequence >= F.col(last))).drop(last)
 
 
 def cache_key(*parts: Column) -> Column:

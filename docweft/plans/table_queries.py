@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as X
 from ..operators import briefing as B
-from ..operators import checks, identity, normalised, report, requests, review, scanners, selection
+from ..operators import checks, identity, normalised, report, requests, review, scanners, sections, selection
 from ..operators import records as C
 from .record_queries import ISSUE, _issues
 from .registry import query, table
@@ -268,3 +268,112 @@ def q_evidence_lines(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("x"))
     matches = F.transform("x", lambda r: F.struct(r["evidence"].alias("evidence"), r["score"].alias("score")))
     return o.select("l_orderkey", joined(normalised.evidence_lines(matches, 0.2)).alias("lines"))
+
+
+@query("""WITH l AS (SELECT o_custkey AS k, list(o_orderpriority ORDER BY o_orderkey) AS wanted, list(lower(CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority || '!' WHEN 1 THEN o_orderpriority || ' plus' ELSE 'other' END) ORDER BY o_orderkey DESC) AS base FROM orders GROUP BY 1),
+    n AS (SELECT k, wanted, CASE WHEN k % 2 = 0 THEN base ELSE list_append(base, 'one more') END AS offered FROM l),
+    c AS (SELECT *, list_transform(wanted, lambda w: trim(regexp_replace(lower(w), '[^a-z0-9]+', ' ', 'g'))) AS ws, list_transform(offered, lambda w: trim(regexp_replace(lower(w), '[^a-z0-9]+', ' ', 'g'))) AS os FROM n),
+    f AS (SELECT k, wanted, list_reduce(list_transform(range(1, len(ws) + 1), lambda i: {'used': [CAST(0 AS BIGINT)], 'out': [CAST(NULL AS BIGINT)], 'i': i, 'w': ws[i], 'os': os, 'same': len(ws) = len(os)}),
+        lambda st, x: (list_transform([coalesce(list_filter(range(1, len(x.os) + 1), lambda j: NOT list_contains(st.used, j) AND x.os[j] = x.w)[1], list_filter(range(1, len(x.os) + 1), lambda j: NOT list_contains(st.used, j) AND x.os[j] <> '' AND x.w <> '' AND (contains(x.os[j], x.w) OR contains(x.w, x.os[j])))[1], CASE WHEN x.same THEN x.i END)],
+            lambda hit: {'used': CASE WHEN hit IS NULL THEN st.used ELSE list_append(st.used, hit) END, 'out': list_append(st.out, hit), 'i': x.i, 'w': x.w, 'os': x.os, 'same': x.same}))[1],
+        {'used': [CAST(0 AS BIGINT)], 'out': CAST([] AS BIGINT[]), 'i': CAST(0 AS BIGINT), 'w': '', 'os': CAST([] AS VARCHAR[]), 'same': false}).out AS hits FROM c)
+    SELECT k AS o_custkey, CAST(i - 1 AS BIGINT) AS place, wanted[i] AS requirement, hits[i] - 1 AS offered_place FROM (SELECT *, unnest(range(1, len(wanted) + 1)) AS i FROM f)""")
+def q_requirement_match(spark, sf_dir):
+    """The priorities of a customer's orders against a list that spells, lengthens or lacks them."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    other = F.lower(by(k, row(p, "!"), row(p, " plus"), "other"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct(k, p))), lambda r: r["o_orderpriority"]).alias("wanted"), F.transform(F.sort_array(F.collect_list(F.struct((-k).alias("n"), other.alias("o")))), lambda r: r["o"]).alias("base"))
+    offered = F.when(F.col("o_custkey") % 2 == 0, F.col("base")).otherwise(F.array_append("base", F.lit("one more")))
+    return C.matched(o.select(F.col("o_custkey").alias("doc_id"), "wanted", offered.alias("offered"))).withColumnRenamed("doc_id", "o_custkey")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 2 THEN '{"a":' || chr(10) || props || '}' ELSE props END AS payload FROM events""")
+def q_reply_json(spark, sf_dir):
+    """The JSON in replies made of the properties of events."""
+    p = F.col("props")
+    return table(spark, sf_dir, "events").select("event_id", requests.reply_json(by(F.col("event_id"), row("Here: ", p, " done"), p, row('{"a":\n', p, "}"), row("none of ", F.col("event_type")))).alias("payload"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, list(o_orderpriority ORDER BY o_orderkey) AS p, list(o_orderstatus ORDER BY o_orderkey) AS s FROM orders GROUP BY 1)
+    SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name WHEN c_custkey % 2 = 0 THEN 'Anonymous Candidate' ELSE 'the candidate' END AS name, CASE WHEN c_custkey % 4 = 0 THEN 'the role' ELSE c_mktsegment END AS role, CASE WHEN c_custkey % 5 = 0 THEN '(not specified)' ELSE 'C ' || c_nationkey END AS company,
+        coalesce(array_to_string(p[1:4], '|'), '') AS points, coalesce(array_to_string(s[1:3], '|'), '') AS concerns FROM customer LEFT JOIN o ON k = c_custkey""")
+def q_email_facts(spark, sf_dir):
+    """The facts that an e-mail about each customer may use."""
+    k = F.col("c_custkey")
+    of = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", c))), lambda r: r[c])
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(of("o_orderpriority"), lambda x: F.concat(F.lit("- "), x)).alias("p"), of("o_orderstatus").alias("s"))
+    c = table(spark, sf_dir, "customer").join(o, k == F.col("o_custkey"), "left")
+    draft = F.struct(
+        F.struct(F.when(k % 3 > 0, F.col("c_name")).alias("name")).alias("candidate"), F.struct(F.when(k % 4 > 0, F.col("c_mktsegment")).otherwise(" ").alias("title"), F.when(k % 5 > 0, row("C ", F.col("c_nationkey"))).alias("company")).alias("role"), F.col("p").alias("relevant_experience"), F.col("s").alias("potential_concerns")
+    )
+    f = c.select("c_custkey", requests.email_facts(draft, F.when(k % 2 == 0, "anonymous").otherwise("named")).alias("f"))
+    return f.select("c_custkey", "f.name", "f.role", "f.company", F.coalesce(joined(F.col("f.points")), F.lit("")).alias("points"), F.coalesce(joined(F.col("f.concerns")), F.lit("")).alias("concerns"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name ELSE '' END AS candidate, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS target_role, CASE WHEN c_custkey % 3 < 2 THEN 'Fits ' || c_mktsegment || '.' ELSE '' END AS fit_summary, CASE WHEN c_custkey % 3 = 0 THEN 'Go on' ELSE '' END AS next_step FROM customer""")
+def q_summary_sections(spark, sf_dir):
+    """The sections of a summary of each customer."""
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    text = by(F.col("c_custkey"), row("Candidate: ", name, "\nTarget Role: ", segment, "\n## Fit Summary\nFits ", segment, ".\n---\n### Recommended Next Step\nGo on"), row("Candidate: ", name, "\r\n\r\nFit Summary:\r\nFits ", segment, "."), row("About ", name))
+    d = B.parsed_summaries(table(spark, sf_dir, "customer").select("c_custkey", text.alias("summary")))
+    return d.select("c_custkey", *[F.coalesce(F.element_at("sections", k), F.lit("")).alias(n) for k, n in (("candidate", "candidate"), ("target_role", "target_role"), ("fit_summary", "fit_summary"), ("recommended_next_step", "next_step"))])
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Candidate CV' WHEN 1 THEN '' ELSE c_name END AS a, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' B' ELSE '' END AS b, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS p, CASE WHEN c_custkey % 4 = 0 THEN 'Job Description' ELSE c_mktsegment END AS r FROM customer)
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN a ELSE b END AS name, CASE WHEN c_custkey % 3 = 2 THEN 'section' WHEN b <> '' THEN 'fallback' ELSE 'none' END AS name_from, CASE WHEN p <> '' THEN p ELSE 'Oslo' END AS place, CASE WHEN p <> '' THEN 'section' ELSE 'fallback' END AS place_from,
+        CASE WHEN c_custkey % 4 = 0 THEN '' ELSE r END AS role, CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE 'section' END AS role_from FROM c""")
+def q_identity_choice(spark, sf_dir):
+    """Names, places and roles of customers: what blocks say, unless that is nothing or a label."""
+    k, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    found = identity.identity((by(k, "Candidate CV", None, name), F.when(k % 2 == 0, row(name, " B"))), (F.when(k % 5 > 0, row(" ", segment, " ")), F.lit("Oslo")), (F.when(k % 4 == 0, "Job Description").otherwise(segment), F.lit("")))
+    c = table(spark, sf_dir, "customer").select("c_custkey", found.alias("i"))
+    return c.select("c_custkey", *[F.col(f"i.{a}.{v}").alias(n) for a, x in (("name", "name"), ("location", "place"), ("role", "role")) for v, n in (("value", x), ("source", f"{x}_from"))])
+
+
+_GONE = ", ".join(f"CASE WHEN c_custkey % {n} = 0 THEN '{told}' END" for n, (_, told) in zip((2, 3, 5, 7), checks.REQUIRED, strict=True))
+
+
+@query(f"SELECT c_custkey, array_to_string(list_filter([{_GONE}], lambda x: x IS NOT NULL), '|') AS errors FROM customer")
+def q_briefing_errors(spark, sf_dir):
+    """What is missing from briefings that lack fields by the customer's number."""
+    held = [F.when(F.col("c_custkey") % n > 0, F.col("c_name")).otherwise(None if n % 2 else " ").alias(k) for n, (k, _) in zip((2, 3, 5, 7), checks.REQUIRED, strict=True)]
+    return table(spark, sf_dir, "customer").select("c_custkey", joined(checks.briefing_errors(F.struct(*held))).alias("errors"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS n FROM part)
+    SELECT k AS p_partkey, CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN 'degree_names_school|school_names_degree|degree_from_job' WHEN 2 THEN 'school_blank' WHEN 3 THEN 'degree_equals_school|school_names_degree' WHEN 4 THEN 'degree_from_job' ELSE 'no_education_word' END AS faults, k % 6 IN (1, 3) AS noise,
+        CASE k % 6 WHEN 0 THEN 'BSc' WHEN 1 THEN n || ' University' WHEN 2 THEN 'MBA ' || n WHEN 3 THEN 'Master of ' || n WHEN 4 THEN n || ' Engineer' ELSE n END AS parsed_degree, CASE WHEN k % 6 = 0 THEN n ELSE '' END AS field FROM p""")
+def q_education_validity(spark, sf_dir):
+    """Faults of education rows made of parts."""
+    k, n = F.col("p_partkey"), F.col("p_name")
+    degree = by(k, row("BSc in ", n), row(n, " University"), row("MBA ", n), row("Master of ", n), row(n, " Engineer"), n)
+    school = by(k, row(n, " College"), "BSc", "", row("Master of ", n), row(n, " College"), row(n, " x"))
+    d = table(spark, sf_dir, "part")
+    return d.select("p_partkey", joined(C.education_faults(degree, school)).alias("faults"), C.education_noise(degree, school, F.lit(""), F.lit("")).alias("noise"), C.degree_and_field(degree)["degree"].alias("parsed_degree"), C.degree_and_field(degree)["field"].alias("field"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'candidate_name_missing_or_generic' WHEN 2 THEN 'candidate_name_embedded_metadata' WHEN 3 THEN 'candidate_name_missing_or_generic' WHEN 4 THEN 'candidate_name_heading_or_table_header|candidate_name_embedded_role_or_banner' ELSE 'candidate_name_missing_or_generic' END AS flags FROM part""")
+def q_name_flags(spark, sf_dir):
+    """Flags of names made of parts."""
+    name = F.initcap("p_name")
+    given = by(F.col("p_partkey"), name, F.col("p_name"), row("Email: ", name), row(name, " 2"), row(name, " Engineer"), None)
+    return table(spark, sf_dir, "part").select("p_partkey", joined(C.name_flags(given)).alias("flags"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand || ' made it' WHEN 1 THEN p_name || ' Works' || chr(10) || p_brand || ' made it' WHEN 2 THEN p_brand || ' made it' ELSE '' END AS taken FROM part""")
+def q_extraction_text(spark, sf_dir):
+    """What of a block is read: its label too, unless it is a general one or the text begins with it."""
+    label = by(F.col("p_partkey"), "Experience", row(F.col("p_name"), " Works"), row(F.col("p_brand"), " made it"), None)
+    text = F.when(F.col("p_partkey") % 4 < 3, row(F.col("p_brand"), " made it"))
+    return table(spark, sf_dir, "part").select("p_partkey", sections.extraction_text(label, text).alias("taken"))
+
+
+@query("""SELECT c_custkey, CAST(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 4 = 0 THEN 4 ELSE 0 END AS INTEGER) AS n FROM customer""")
+def q_draft_warnings(spark, sf_dir):
+    """How many warnings the draft of each customer has, by what it lacks."""
+    k = F.col("c_custkey")
+    whole = F.create_map(*[F.lit(x) for key, _ in B.MISSING for x in (key, "said")])
+    none = F.create_map(F.lit("other"), F.lit("x"))
+    sure, plain = F.lit("the ideal candidate"), F.lit("a good fit")
+    warnings = B.draft_warnings(F.when(k % 4 == 0, none).otherwise(whole), F.when(k % 2 == 0, 0).otherwise(1), F.when(k % 3 == 0, 0).otherwise(2), F.lit(1), F.lit("Jane"), F.lit("Lead"), F.when(k % 5 == 0, sure).otherwise(plain), F.lit(False), F.when(k % 7 == 0, 0).otherwise(1))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.size(warnings).alias("n"))

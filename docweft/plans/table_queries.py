@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import nested
 from ..functions import text as T
 from ..functions import values as X
 from ..operators import briefing as B
-from ..operators import checks, identity, normalised, report, requests, review, scanners, sections, selection
+from ..operators import checks, identity, normalised, report, requests, retrieval, review, scanners, sections, selection
 from ..operators import records as C
 from .record_queries import ISSUE, _issues
 from .registry import query, table
+from .text_queries import LINES, TOKENS, doc_lines
 
 joined = lambda c: F.array_join(c, "|")
 
@@ -377,3 +379,96 @@ def q_draft_warnings(spark, sf_dir):
     sure, plain = F.lit("the ideal candidate"), F.lit("a good fit")
     warnings = B.draft_warnings(F.when(k % 4 == 0, none).otherwise(whole), F.when(k % 2 == 0, 0).otherwise(1), F.when(k % 3 == 0, 0).otherwise(2), F.lit(1), F.lit("Jane"), F.lit("Lead"), F.when(k % 5 == 0, sure).otherwise(plain), F.lit(False), F.when(k % 7 == 0, 0).otherwise(1))
     return table(spark, sf_dir, "customer").select("c_custkey", F.size(warnings).alias("n"))
+
+
+_NORMAL = "regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_NORMAL}) AS text_sha256, CAST(length({_NORMAL}) AS INTEGER) AS n FROM documents")
+def q_text_blocks(spark, sf_dir):
+    """The normal form of every whole text."""
+    t = T.normalise_whitespace(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("text_sha256"), F.char_length(t).alias("n"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS images, CAST(doc_id % 8 AS INTEGER) AS pages, length({_NORMAL}) AS n, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(trim(x), '(?i)^[-–—]*\\s*\\d+\\s+of\\s+\\d+\\s*[-–—]*$'))) AS markers FROM documents),
+    c AS (SELECT *, CASE WHEN pages > 0 THEN pages ELSE images END AS k FROM d),
+    h AS (SELECT *, CASE WHEN k > 0 THEN images >= greatest(1, k - 1) ELSE images > 0 END AND CASE WHEN k > 0 THEN n / k ELSE n END < 700 AS thin FROM c)
+    SELECT doc_id, CASE WHEN n = 0 THEN images > 0 WHEN k > 6 THEN false ELSE thin AND (markers >= greatest(1, k - 1) OR n < 1600) END AS wanted FROM h""")
+def q_ocr_wanted(spark, sf_dir):
+    """Whether the texts of documents are thin for so many pages and images."""
+    return table(spark, sf_dir, "documents").select("doc_id", retrieval.wants_ocr(F.col("text"), (F.col("doc_id") % 4).cast("int"), (F.col("doc_id") % 8).cast("int")).alias("wanted"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 6 < 4 THEN 'zh' ELSE 'en' END AS language FROM customer""")
+def q_language_codes(spark, sf_dir):
+    """Codes and names of languages, others being English."""
+    return table(spark, sf_dir, "customer").select("c_custkey", X.output_language(by(F.col("c_custkey"), " ZH ", "zh-CN", "Chinese", "cn", F.col("c_name"), None)).alias("language"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS k, o_orderkey AS ord, CASE o_orderkey % 6 WHEN 0 THEN 'Build ' || o_orderpriority WHEN 1 THEN o_orderpriority WHEN 2 THEN 'Role: x' WHEN 3 THEN '熟悉分布式系统' WHEN 4 THEN 'Lead ' || o_custkey ELSE 'build ' || o_orderpriority END AS t FROM orders),
+    d AS (SELECT *, row_number() OVER (PARTITION BY k, lower(t) ORDER BY ord) AS n FROM r)
+    SELECT k, ord, t AS requirement FROM d WHERE n = 1 AND t NOT LIKE 'Role:%' AND t NOT LIKE 'Lead %' AND (contains(t, ' ') OR t = '熟悉分布式系统')""")
+def q_requirement_filter(spark, sf_dir):
+    """Requirements that say something, each once, in any case."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    text = by(k, row("- Build  ", p), row("•", p), "Role: x", "熟悉分布式系统", row("lead ", F.col("o_custkey")), row("* build ", p))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), k.alias("ord"), text.alias("requirement"), row("Lead ", F.col("o_custkey")).alias("role_title"))
+    return B.requirements(o, ["k"]).select("k", "ord", "requirement")
+
+
+@query("""WITH e AS (SELECT o_custkey AS k, o_orderkey AS ord, o_orderpriority AS t, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'C' || o_orderstatus END AS c, CAST(year(o_orderdate) AS VARCHAR) AS a, CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(year(o_orderdate) + 1 AS VARCHAR) END AS b FROM orders),
+    g AS (SELECT k, count(*) AS n, string_agg(t || CASE WHEN c = '' THEN '' ELSE ', ' || c END || ' | ' || a || CASE WHEN b = '' THEN '' ELSE CASE WHEN k % 2 = 0 THEN ' 至 ' ELSE ' - ' END || b END, chr(10) ORDER BY ord) AS lines, arg_min(t, ord) AS title, arg_min(c, ord) AS company FROM e GROUP BY k)
+    SELECT c_custkey, c_name AS candidate_name, c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ', C ' || c_nationkey END AS role_line, coalesce(title, '') AS current_title, coalesce(company, '') AS current_company, coalesce(lines, '') AS employment_lines, c_mktsegment || ', ' || c_nationkey AS skills_line, CAST(coalesce(n, 0) AS INTEGER) AS n_employment FROM customer LEFT JOIN g ON k = c_custkey""")
+def q_view_model(spark, sf_dir):
+    """The flat keys of a report on each customer."""
+    job = F.struct("o_orderkey", F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(row("C", F.col("o_orderstatus"))).alias("company"), F.year("o_orderdate").cast("string").alias("start"), F.when(F.col("o_orderstatus") != "P", (F.year("o_orderdate") + 1).cast("string")).alias("end"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(job)).alias("jobs"))
+    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    jobs = F.coalesce("jobs", F.array().cast(o.schema["jobs"].dataType))
+    none = F.array().cast("array<struct<degree:string,school:string,start:string,end:string>>")
+    draft = F.struct(
+        F.struct(row(" ", F.col("c_name")).alias("name"), F.lit("Oslo").alias("location")).alias("candidate"), F.struct(F.col("c_mktsegment").alias("title"), F.when(F.col("c_custkey") % 3 > 0, row("C ", F.col("c_nationkey"))).alias("company")).alias("role"), F.lit("fits").alias("fit_summary"),
+        none.alias("education"), F.transform(jobs, lambda j: F.struct(*[j[x].alias(x) for x in ("title", "company", "start", "end")])).alias("employment"), F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("skills"),
+    )
+    v = c.select("c_custkey", B.view_model(draft, F.when(F.col("c_custkey") % 2 == 0, "zh").otherwise("en")).alias("v"))
+    return v.select("c_custkey", *[f"v.{x}" for x in ("candidate_name", "role_line", "current_title", "current_company", "employment_lines", "skills_line", "n_employment")])
+
+
+_SHAPE = '{"fit": ""}'
+
+
+@query(f"""SELECT c_custkey, 'About ' || c_name || chr(10) || chr(10) || 'Return only valid JSON of this shape:' || chr(10) || '{_SHAPE}' AS asked,
+    'The reply below is no valid JSON of the wanted shape (' || c_mktsegment || ').' || chr(10) || 'Return only the corrected JSON.' || chr(10) || chr(10) || 'Shape:' || chr(10) || '{_SHAPE}' || chr(10) || chr(10) || 'Reply:' || chr(10) || c_name AS repair,
+    'Candidate: ' || c_name || chr(10) || chr(10) || 'Target Role: ' || c_mktsegment || chr(10) || chr(10) || '## Match Against Key Requirements' || chr(10) || '- ' || c_mktsegment || ' -> ' || c_name AS mock FROM customer""")
+def q_briefing_requests(spark, sf_dir):
+    """What is asked for a briefing, what for its repair, and what a run without a model answers."""
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    matches = F.array(F.struct(segment.alias("requirement"), name.alias("evidence")))
+    return table(spark, sf_dir, "customer").select("c_custkey", requests.briefing_prompt(row("About ", name), _SHAPE).alias("asked"), requests.repair_prompt(name, segment, _SHAPE).alias("repair"), requests.mock_reply(name, segment, matches).alias("mock"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, list(o_orderpriority ORDER BY o_orderkey) AS p FROM orders GROUP BY 1)
+    SELECT c_custkey, upper(c_name) || '@name' AS name, coalesce(array_to_string(list_transform(p, lambda x: upper(x) || '@orders[].said'), '|'), '') AS said, c_name || coalesce('|' || array_to_string(p, '|'), '') || '|' || c_mktsegment AS every FROM customer LEFT JOIN o ON k = c_custkey""")
+def q_nested_strings(spark, sf_dir):
+    """Every string leaf of nested customers mapped with its path, and all of them as one list."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda r: F.struct(r["o_orderkey"].alias("n"), r["o_orderpriority"].alias("said"))).alias("orders"))
+    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.struct(F.col("c_name").alias("name"), "orders", F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("more")).alias("v"))
+    kind = c.schema["v"].dataType
+    mapped = nested.map_strings(F.col("v"), kind, lambda x, path: F.concat(F.upper(x), F.lit("@" + path)))
+    told = c.select("c_custkey", mapped.alias("m"), joined(nested.all_strings(F.col("v"), kind)).alias("every"))
+    return told.select("c_custkey", F.col("m.name").alias("name"), F.coalesce(joined(F.transform("m.orders", lambda r: r["said"])), F.lit("")).alias("said"), "every")
+
+
+@query(f"""WITH {LINES}, q AS (SELECT doc_id, list_distinct({TOKENS}) AS qs FROM lines WHERE line_no = 0),
+    s AS (SELECT l.doc_id, line_no, qs, list_distinct({TOKENS}) AS ts FROM lines l JOIN q USING (doc_id)),
+    p AS (SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN 1.0 ELSE CAST(round(len(list_intersect(ts, qs)) / greatest(len(qs), 1) + CASE WHEN line_no % 2 = 0 THEN 0.25 ELSE 0 END, 4) AS DOUBLE) END AS score FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no = 0 DESC, score DESC, line_no) AS rank FROM p)
+    SELECT doc_id, line_no, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""")
+def q_block_ranks(spark, sf_dir):
+    """The eight lines of each document that go into a request about its first line; even ones are preferred."""
+    lines = doc_lines(spark, sf_dir)
+    first = lines.filter("line_no = 0").select("doc_id", T.distinct_tokens(F.col("line")).alias("qs"))
+    blocks = lines.join(first, "doc_id").select("doc_id", F.col("line_no").alias("order"), F.col("line").alias("text"), "qs")
+    got = retrieval.select_blocks(blocks, F.col("qs"), F.col("order") % 2 == 0, F.lit("cv"))
+    return got.select("doc_id", F.col("order").alias("line_no"), "score", "rank")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .functions import text as T
-from .operators import briefing, checks, identity, report, requests, review, selection
+from .operators import briefing, checks, generation, identity, report, requests, review, selection
 from .sources import scan, settings, store
 
 
@@ -53,10 +53,22 @@ def load_settings(spark: SparkSession, path: str, schema: StructType, defaults:
 def save_settings(df: DataFrame, path: str) -> DataFrame:
     """Write settings that have no errors; the errors of all of them."""
     checked = df.withColumn("errors", checks.settings_errors(F.struct(*df.columns)))
-    settings.save(checked.filter(F.size("errors") == 0).drop("errors"), path)
+    valid = checked.filter(F.size("errors") == 0).drop("errors")
+    if not valid.isEmpty():  # what is stored stays where nothing valid takes its place
+        settings.save(valid, path)
     return checked.select("provider", "errors")
 
 
+def summary_requests(pairs: DataFrame, guidance: str = "") -> DataFrame:
+    """What a model is asked about pairs of a CV and a job description, with the facts that need no model."""
+    return generation.requested(pairs, guidance)
+
+
+def generate_summary(wanted: DataFrame, replies: DataFrame) -> DataFrame:
+    """Drafts from a model's replies; pairs without a usable reply get one of facts."""
+    return generation.drafted(wanted, replies)
+
+
 def render_review(drafts: DataFrame, issues: DataFrame, decisions: DataFrame) -> DataFrame:
     """doc_id, state and posture before and after decisions, and whether the draft may go out.
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import nested
 from ..functions import text as T
 from ..functions import values as X
 from ..operators import briefing as B
-from ..operators import checks, identity, normalised, report, requests, retrieval, review, scanners, sections, selection
+from ..operators import checks, identity, normalised, report, requests, retrieval, review, rich_text, scanners, sections, selection
 from ..operators import records as C
 from .record_queries import ISSUE, _issues
 from .registry import query, table
@@ -472,3 +473,111 @@ def q_block_ranks(spark, sf_dir):
     blocks = lines.join(first, "doc_id").select("doc_id", F.col("line_no").alias("order"), F.col("line").alias("text"), "qs")
     got = retrieval.select_blocks(blocks, F.col("qs"), F.col("order") % 2 == 0, F.lit("cv"))
     return got.select("doc_id", F.col("order").alias("line_no"), "score", "rank")
+
+
+@query(f"""WITH w AS (SELECT p_partkey, p_name, {_NAME} AS t, list_filter(string_split({_NAME}, ' '), lambda w: length(w) >= 4) AS ends, list_filter(CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ') ELSE [] END, lambda w: length(w) >= 4) AS words FROM part),
+    v AS (SELECT *, list_concat([t], CASE WHEN len(words) > 1 THEN [array_to_string(words, ' ')] ELSE [] END, ends, words) AS every FROM w)
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'The candidate''s ' || p_name || '. I met the candidate.' WHEN 1 THEN 'Candidate: Anonymous Candidate' || chr(10) || p_name ELSE '' END AS told, CASE WHEN p_partkey % 3 = 2 THEN '' ELSE array_to_string(every, '|') END AS variants FROM v""")
+def q_anonymous_prose(spark, sf_dir):
+    """Prose about a part as a candidate, and the names that redaction looks for."""
+    name = F.initcap("p_name")
+    text = by(F.col("p_partkey"), row("Anonymous Candidate's ", F.col("p_name"), ". I met Anonymous Candidate (Sam)."), row("Candidate: Anonymous Candidate (x)\n", F.col("p_name")), None)
+    file = by(F.col("p_partkey"), row(F.replace("p_name", F.lit(" "), F.lit("_")), "_cv.pdf"), "x.pdf", None)
+    own = F.when(F.col("p_partkey") % 3 < 2, row(name, " (Sam)"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.narrative(text).alias("told"), joined(T.name_variants(own, file)).alias("variants"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'responsible for ' || p_name WHEN 1 THEN p_name || ', ' || p_type || '(x)' WHEN 2 THEN '' WHEN 3 THEN p_name || chr(10) || p_brand ELSE CAST(p_size AS VARCHAR) END AS working, CASE p_partkey % 5 WHEN 0 THEN 'mixed' WHEN 2 THEN 'zh' WHEN 4 THEN 'unknown' ELSE 'en' END AS hint FROM part""")
+def q_working_text(spark, sf_dir):
+    """Working texts of parts: terms and punctuation replaced, lines cleaned; guidance has none."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    text = by(k, row("负责 ", name), row(name, "，", F.col("p_type"), "（x）"), "负责", row(name, "\n\n ", F.col("p_brand"), " "), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.working_text(text, by(k, "cv", "jd", "guidance", "jd", "cv")).alias("working"), T.language_hint(text).alias("hint"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS k, o_orderkey AS f, o_orderkey % 4 AS v, count(*) OVER (PARTITION BY o_custkey) AS n, count(*) FILTER (o_orderkey % 4 IN (1, 2)) OVER (PARTITION BY o_custkey) AS d FROM orders)
+    SELECT k, f, CASE v WHEN 0 THEN 'Some CV ' || f || '.pdf' WHEN 1 THEN 'job description ' || f || '.docx' WHEN 2 THEN 'x ' || f || '.docx' ELSE 'notes ' || f || '.txt' END AS name,
+        CAST(CASE v WHEN 1 THEN 13 WHEN 2 THEN 2 ELSE 0 END + CASE WHEN v IN (1, 2) AND d = 1 AND n > 1 THEN 2 ELSE 0 END AS INTEGER) AS jd_score, CAST(CASE WHEN v = 0 THEN 10 ELSE 0 END AS INTEGER) AS cv_score FROM f""")
+def q_file_roles(spark, sf_dir):
+    """How much each file in a customer's folder looks like a CV or a job description."""
+    k = F.col("o_orderkey")
+    files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), k.alias("f"), by(k, row("Some CV ", k, ".pdf"), row("job description ", k, ".docx"), row("x ", k, ".docx"), row("notes ", k, ".txt")).alias("name"), by(k, ".pdf", ".docx", ".docx", ".txt").alias("extension"))
+    return selection.file_roles(files, ["k"]).select("k", "f", "name", "jd_score", "cv_score")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'A generated recruiter summary is required.' WHEN 2 THEN 'Candidate CV file metadata must include a name or absolute path.' WHEN 3 THEN 'Candidate CV file path must be an absolute path.' ELSE 'Job description file path must be an absolute path.' END AS error,
+    CASE WHEN c_custkey % 7 = 0 THEN 'anonymous' ELSE 'named' END AS mode, c_custkey % 2 = 0 AS is_workspace FROM customer""")
+def q_payload_errors(spark, sf_dir):
+    """The first thing that is wrong with the payload of each customer."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    payload = F.struct(by(k, name, " ", name, name, name).alias("summary"), by(k, name, name, "", name, name).alias("cv_name"), by(k, row("/", name), "", "", row("x/", name), "").alias("cv_path"), name.alias("jd_name"), by(k, "", "", "", "", row("b/", name)).alias("jd_path"))
+    hexed = F.when(k % 2 == 0, F.substring(F.sha1(name), 1, 16)).otherwise(name)
+    return table(spark, sf_dir, "customer").select("c_custkey", checks.draft_errors(payload, True).alias("error"), checks.output_mode(F.when(k % 7 == 0, " anonymous ").otherwise(name)).alias("mode"), checks.workspace_id(hexed).alias("is_workspace"))
+
+
+@query("""SELECT s_suppkey, s_suppkey % 5 < 2 AS company, s_suppkey % 5 = 2 AS place FROM supplier""")
+def q_place_lines(spark, sf_dir):
+    """Lines of suppliers that name a company or a place."""
+    name = F.replace("s_name", F.lit("#"), F.lit(" "))
+    line = by(F.col("s_suppkey"), row(name, " Ltd"), row("S", F.col("s_suppkey").cast("string"), "X"), "Oslo, Norway", row("Oslo ", F.col("s_suppkey")), row("Manager, ", name))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", selection.company_line(line).alias("company"), selection.location_line(line).alias("place"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_name AS n, {_NAME} AS t, p_brand AS b FROM part)
+    SELECT p_partkey, 'heading:' || t || '|list:' || n || '/' || b || ' <c>|paragraph:about ' || n || ' and two. x|label:' || t || '|list:z' AS blocks,
+        '<h3>' || t || '</h3>' || chr(10) || '<ul><li>' || n || '</li><li>' || b || ' &lt;c&gt;</li></ul>' || chr(10) || '<p>about ' || n || ' and two. x</p>' || chr(10) || '<p><strong>Name:</strong> ' || t || '</p>' || chr(10) || '<ul><li>z</li></ul>' AS html FROM p""")
+def q_rich_text(spark, sf_dir):
+    """Texts about parts as blocks and as HTML."""
+    name, title = F.col("p_name"), F.initcap("p_name")
+    text = row("# ", title, "\n- ", name, "\n* ", F.col("p_brand"), " <c>\n\nabout ", name, "\nand two. x\nName: ", title, "\n-- 1 of 2 --\n- z")
+    told = F.transform(rich_text.blocks(text), lambda b: F.concat(b["kind"], F.lit(":"), F.replace(b["text"], F.lit("\n"), F.lit("/"))))
+    return table(spark, sf_dir, "part").select("p_partkey", joined(told).alias("blocks"), rich_text.html(text).alias("html"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '- did ' || c_mktsegment || ', 2.|- did more, 3.' WHEN 1 THEN '- made ' || c_mktsegment || ', 1.' ELSE c_mktsegment || ';|English;' END AS lines FROM customer""")
+def q_section_lines(spark, sf_dir):
+    """Lines of the preferred sections of a CV of each customer, else of the next best, else of all."""
+    s = F.col("c_mktsegment")
+    text = by(F.col("c_custkey"), row("Projects\n\n- made p, 1.\n\nExperience\n\n- did ", s, ", 2.\n- did more, 3."), row("Projects\n\n- made ", s, ", 1.\n\nSkills\n\nSQL;"), row("Skills\n\n", s, ";\n\nLanguages\n\nEnglish;"))
+    b = sections.blocks(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("cv").alias("kind"), text.alias("text")))
+    return sections.preferred_lines(b, ["experience"], ["projects"]).select(F.col("doc_id").alias("c_custkey"), joined(F.col("lines")).alias("lines"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, count(*) FILTER (o_orderstatus = 'F') AS red, count(*) FILTER (o_orderstatus = 'P') AS amber, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 = 1) AS left_amber FROM orders GROUP BY 1)
+    SELECT c_custkey, CASE WHEN red > 0 THEN 'red' WHEN amber > 0 THEN 'amber' ELSE 'green' END AS raw_state, CASE WHEN red > 0 THEN 'red' WHEN amber > 0 THEN 'amber' ELSE 'green' END AS state, CASE WHEN red > 0 THEN 'blocked' WHEN left_amber > 0 THEN 'review-required' ELSE 'allowed' END AS posture, NOT (coalesce(red, 0) > 0 OR coalesce(left_amber, 0) > 0) AS exportable FROM customer LEFT JOIN o ON k = c_custkey""")
+def q_render_review(spark, sf_dir):
+    """Drafts of customers with the issues of their orders, of which every second amber one is decided."""
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'")
+    red = F.col("o_orderstatus") == "F"
+    issues = o.select(F.col("o_custkey").alias("doc_id"), F.when(red, "role_title_missing_or_generic").otherwise("project_role_ambiguous").alias("code"), F.when(red, "red").otherwise("amber").alias("severity"), F.when(red, "role").otherwise("projects").alias("section"), F.col("o_orderkey").cast("int").alias("entry_index"))
+    keyed = issues.withColumn("issue_key", review.issue_key(issues))
+    said = keyed.filter("entry_index % 2 = 0").select("doc_id", "issue_key", F.lit("keep-project-unlinked").alias("decision_type"), F.col("entry_index").alias("at"))
+    out = api.render_review(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")), issues, said)
+    return out.select(F.col("doc_id").alias("c_custkey"), "raw_state", "state", "posture", "exportable")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'tag: name;missing: ' || c_name || ' or John;forbidden: X;separator: ||' ELSE 'missing: ' || c_mktsegment END AS faults FROM customer""")
+def q_report_faults(spark, sf_dir):
+    """What is wrong with the rendered text of each customer's report."""
+    k, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    said = by(k, row(name, ",  ", segment), "x {{name}} | | y", None)
+    required = F.when(k % 3 == 0, F.array(F.array(F.lower(name)), F.array(F.lit("nothing"), segment))).when(k % 3 == 1, F.array(F.array(name, F.lit("John")))).otherwise(F.array(F.array(segment)))
+    forbidden = F.when(k % 3 == 1, F.array(F.lit("X"))).otherwise(F.array(F.lit("")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(report.report_faults(said, required, forbidden), ";").alias("faults"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '张' || chr(19968 + CAST(c_custkey % 500 AS INTEGER)) WHEN 1 THEN '李四' ELSE '' END AS found FROM customer""")
+def q_name_fragments(spark, sf_dir):
+    """The piece of CJK text about each customer that is most like a name."""
+    k = F.col("c_custkey")
+    drawn = F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + k % 500), 4, "0")), "UTF-16BE")
+    text = by(k, row(F.col("c_name"), " 张", drawn, " 高级工程师"), row("工作经验 李四 ", F.col("c_name")), row("资深软件工程师 ", F.col("c_name")), F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", identity.best_fragment(text).alias("found"))
+
+
+@query("""SELECT c_custkey, c_custkey % 5 = 0 AS contact, c_custkey % 5 = 1 AS duty, c_custkey % 5 = 2 AS heading FROM customer""")
+def q_line_predicates(spark, sf_dir):
+    """Contacts, duties and subheadings among lines about customers."""
+    k, segment = F.col("c_custkey"), F.initcap(F.col("c_mktsegment"))
+    line = by(k, row(F.col("c_custkey"), "@x.org"), row("- did ", segment), row(segment, " Results:"), row(segment, " Manager"), row("wrote about ", segment, "."))
+    return table(spark, sf_dir, "customer").select("c_custkey", selection.contact_line(line).alias("contact"), selection.duty_line(line).alias("duty"), selection.subheading(line).alias("heading"))

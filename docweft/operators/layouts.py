@@ -226,11 +226,12 @@ class Way:
     before: Way | None = None
 
 
-def _record(lines: list[Line], at: int, layout: tuple[str, ...]) -> float | None:
-    """Points of a record that begins here in a layout."""
-    if at + len(layout) > len(lines):
+def _record(lines: list[Line], at: int, k: int) -> float | None:
+    """Points of a record that begins here in the k-th layout."""
+    layout = LAYOUTS[k]
+    if at + len(layout) > len(lines) or layout[0] not in lines[at].readings:
         return None
-    points = NEW + LATER * LAYOUTS.index(layout) + (0.0 if any("c" in s for s in layout) else NO_COMPANY)
+    points = NEW + LATER * k + (0.0 if any("c" in s for s in layout) else NO_COMPANY)
     for line, shape in zip(lines[at : at + len(layout)], layout):
         r = line.readings.get(shape)
         if r is None:
@@ -239,7 +240,13 @@ def _record(lines: list[Line], at: int, layout: tuple[str, ...]) -> float | None
     return points
 
 
-def steps(lines: list[Line], at: int, state: int):
+def begun(lines: list[Line], at: int) -> list[tuple]:
+    """The records that can begin at a line."""
+    found = ((_record(lines, at, k), k) for k in range(len(LAYOUTS))) if lines[at].readings else ()
+    return [(points, len(LAYOUTS[k]), RECORD, ("record", at, k)) for points, k in found if points is not None]
+
+
+def steps(lines: list[Line], at: int, state: int, known: list[tuple] | None = None):
     """(points, lines taken, state after, step) of all that can come at a line."""
     line = lines[at]
     # a line that is no heading: a duty where a record is open, else nothing
@@ -247,10 +254,8 @@ def steps(lines: list[Line], at: int, state: int):
         # a date belongs to a degree below it
         apart = line.noise or line.closes or ("d" in line.readings and at + 1 < len(lines) and lines[at + 1].closes)
         yield (FREE + 4.0 if apart else line.duty if state == RECORD else FREE if not line.bullet else 3.5), 1, NONE if line.closes else state, ("line", at, None)
-    for k, layout in enumerate(LAYOUTS):
-        points = _record(lines, at, layout)
-        if points is not None:
-            yield points, len(layout), RECORD, ("record", at, k)
+    # (records don't depend on the state, so the caller may know them already)
+    yield from begun(lines, at) if known is None else known
     if state == GROUP:
         if (r := line.readings.get("dr")) is not None:
             points = IN_GROUP + r.points
@@ -265,8 +270,9 @@ def best(lines: list[Line]) -> Way:
     table: list[dict[int, Way]] = [{} for _ in range(len(lines) + 1)]
     table[0][NONE] = Way(0.0)
     for at in range(len(lines)):
+        known = begun(lines, at)
         for state, way in table[at].items():
-            for points, taken, after, step in steps(lines, at, state):
+            for points, taken, after, step in steps(lines, at, state, known):
                 new = way.points + points
                 old = table[at + taken].get(after)
                 if old is None or new > old.points + 1e-9:

@@ -581,3 +581,15 @@ def q_line_predicates(spark, sf_dir):
     k, segment = F.col("c_custkey"), F.initcap(F.col("c_mktsegment"))
     line = by(k, row(F.col("c_custkey"), "@x.org"), row("- did ", segment), row(segment, " Results:"), row(segment, " Manager"), row("wrote about ", segment, "."))
     return table(spark, sf_dir, "customer").select("c_custkey", selection.contact_line(line).alias("contact"), selection.duty_line(line).alias("duty"), selection.subheading(line).alias("heading"))
+
+
+@query("""WITH t AS (SELECT doc_id, 'Summary' || chr(10) || source || chr(10) || 'Work Experience:' || chr(10) || coalesce(text, '') || chr(10) || 'Lead, ' || (2000 + doc_id % 20) || ' - ' || (2001 + doc_id % 20) || chr(10) || 'Skills' || chr(10) || lang || chr(10) || '2010 to now' AS text FROM documents),
+    l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM t),
+    w AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '(?i)(?:19|20)\\d{2}(?:[./-]\\d{1,2})?\\s*(?:–|-|—|to|至)\\s*(?:present|current|now|(?:19|20)\\d{2})(?:[./-]\\d{1,2})?')) AS hits FROM l)
+    SELECT doc_id, CAST(len(ls) AS INTEGER) AS n_lines, CAST(len(ls) - 6 AS INTEGER) AS n_experience, sha256(array_to_string(ls[4:27][1:least(24, len(ls) - 6)], '|')) AS experience, sha256(array_to_string(list_transform(hits[1:8], lambda i: array_to_string(ls[greatest(i - 2, 1):i + 3], ' || ')), '|')) AS windows FROM w""")
+def q_employment_diagnostics(spark, sf_dir):
+    """What of a CV made of each document stands in its experience section, and what around its dates."""
+    year = lambda n: (F.lit(n) + F.col("doc_id") % 20).cast("string")
+    text = row("Summary\n", F.col("source"), "\nWork Experience:\n", F.col("text"), "\nLead, ", year(2000), " - ", year(2001), "\nSkills\n", F.col("lang"), "\n2010 to now")
+    d = sections.diagnostics(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    return d.select("doc_id", "found.n_lines", "found.n_experience", F.sha2(joined(F.col("found.experience")), 256).alias("experience"), F.sha2(joined(F.col("found.windows")), 256).alias("windows"))

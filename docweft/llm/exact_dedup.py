@@ -20,7 +20,8 @@ which drops the records that the stream hasn't taken. Without ``state`` all of i
 Normalised: without the characters ``[\x20\x09-\x0D]``. Of equal texts the row with
 the most code points in its original text, then the smallest doc_id, stays. A null
 text counts as empty, so null and blank texts are equal. A null doc_id ranks last;
-of rows that tie in both, exactly one stays. An empty table gives an empty result.
+of rows that tie in both, exactly one stays. An empty table gives an empty result. A very long text is
+hashed whole where it is read, and only texts of digests that were hit more than once move.
 Other columns are not read by deduplicate(); keep_first() gives them back as they are,
 whatever their names.
 """

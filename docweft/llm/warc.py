@@ -10,7 +10,8 @@ A payload of at least ``least`` bytes that several pages share is stored once, w
 the largest page_id; the others are revisit records. A null payload counts as empty,
 a null url leaves out the target URI, a null page_id ranks below all others and is
 given back as null. Rows that repeat the largest page_id are responses all of them.
-An empty table gives no records. Only the three named columns are read.
+An empty table gives no records. Only the three named columns are read. A payload of any size is one record, so
+writer and reader hold one whole at a time.
 """
 
 from __future__ import annotations

@@ -593,3 +593,64 @@ def q_employment_diagnostics(spark, sf_dir):
     text = row("Summary\n", F.col("source"), "\nWork Experience:\n", F.col("text"), "\nLead, ", year(2000), " - ", year(2001), "\nSkills\n", F.col("lang"), "\n2010 to now")
     d = sections.diagnostics(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
     return d.select("doc_id", "found.n_lines", "found.n_experience", F.sha2(joined(F.col("found.experience")), 256).alias("experience"), F.sha2(joined(F.col("found.windows")), 256).alias("windows"))
+
+
+@query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 11 = 0 THEN 'Provider is required.' END, CASE WHEN c_custkey % 2 = 0 THEN 'Base URL must start with http:// or https://.' END, CASE WHEN c_custkey % 13 = 0 THEN 'Model is required.' END, CASE WHEN c_custkey % 3 = 0 THEN 'API key is required.' END,
+    CASE WHEN c_custkey % 5 = 0 THEN 'Temperature must be between 0 and 2.' END, CASE WHEN c_custkey % 7 = 0 THEN 'Max tokens must be between 128 and 8192.' END, CASE WHEN c_custkey % 4 = 1 THEN 'The reference template must be a Markdown (.md) document.' END], lambda x: x IS NOT NULL), '|') AS errors FROM customer""")
+def q_settings_errors(spark, sf_dir):
+    """What is wrong with settings that each customer could have."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    s = F.struct(
+        F.when(k % 11 > 0, "openai").alias("provider"), row(F.when(k % 2 == 0, "ftp://").otherwise("HTTPS://"), name).alias("base_url"), F.when(k % 13 > 0, F.col("c_mktsegment")).otherwise(" ").alias("model"), F.when(k % 3 > 0, name).alias("api_key"), F.lit("").alias("key_status"),
+        F.when(k % 5 == 0, 2.5).otherwise(2.0).alias("temperature"), F.when(k % 7 == 0, 127).otherwise(128).cast("bigint").alias("max_tokens"), name.alias("system_prompt"), F.lit(None).cast("string").alias("template_mode"),
+        F.when(k % 4 < 2, row("/", name)).alias("template_path"), F.when(k % 4 == 0, ".MD").otherwise(".txt").alias("template_extension"), F.lit("").alias("output_path"), F.lit("").alias("output_extension"),
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", joined(checks.settings_errors(s)).alias("errors"))
+
+
+_KEPT = {m: "~".join([*requests.CONSTRAINTS[m], *requests.CONSTRAINTS[""]]).replace("'", "''") for m in ("named", "anonymous")}
+
+
+@query(f"""SELECT c_custkey, replace('Candidate:~' || c_name || '~~Target role:~' || c_mktsegment || '~~Candidate CV source blocks:~[cv-1] Skills~' || c_mktsegment || '~~[cv-2] Name~' || c_name || '~~Job description source blocks:~jd~~Template:~g~~Requirement-to-evidence hints:~' ||
+    CASE WHEN c_custkey % 3 = 0 THEN '{requests.NO_HINTS}' ELSE '- Requirement: ' || c_mktsegment || '~  Evidence hint: ' || c_name END || '~~Constraints:~' || CASE WHEN c_custkey % 2 = 0 THEN '{_KEPT["anonymous"]}' ELSE '{_KEPT["named"]}' END, '~', chr(10)) AS asked FROM customer""")
+def q_summary_request(spark, sf_dir):
+    """What is asked about each customer."""
+    k, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    block = lambda i, label, text: F.struct(F.lit(i).alias("block_id"), F.lit(label).alias("section_label"), text.alias("text"))
+    matches = F.array(F.struct(segment.alias("requirement"), F.when(k % 3 > 0, name).alias("evidence")))
+    asked = requests.summary_prompt(name, segment, requests.source_context(F.array(block("cv-1", "Skills", segment), block("cv-2", "Name", name))), F.lit("jd"), F.lit("g"), matches, F.when(k % 2 == 0, "anonymous").otherwise("named"))
+    return table(spark, sf_dir, "customer").select("c_custkey", asked.alias("asked"))
+
+
+@query("""SELECT p_partkey, p_partkey % 6 IN (1, 2, 3, 4) AS odd, p_partkey % 6 IN (1, 2, 3) AS odd_in_report FROM part""")
+def q_project_suspicion(spark, sf_dir):
+    """Names of projects made of parts, and what is more likely a fragment, a label or a role."""
+    name = F.initcap("p_name")
+    given = by(F.col("p_partkey"), row(name, " Platform"), row("and ", name), row("Languages: ", name), F.col("p_name"), row(name, " Engineer"), name)
+    return table(spark, sf_dir, "part").select("p_partkey", B.suspicious_project(given).alias("odd"), B.suspicious_report_project(given).alias("odd_in_report"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'blank' WHEN 2 THEN 'section_label' ELSE '' END AS title_faults, CASE p_partkey % 5 WHEN 2 THEN 'blank' WHEN 3 THEN 'date' WHEN 4 THEN 'sentence' ELSE '' END AS company_faults,
+    CASE p_partkey % 5 WHEN 1 THEN 'no_title' WHEN 2 THEN 'title_is_label' WHEN 3 THEN 'certificate' WHEN 4 THEN 'company_sentence' ELSE '' END AS noise, CAST(CASE p_partkey % 5 WHEN 0 THEN 44 WHEN 1 THEN 6 WHEN 2 THEN 6 ELSE 12 END AS INTEGER) AS score FROM part""")
+def q_employment_validity(spark, sf_dir):
+    """Faults, noise and scores of jobs made of parts."""
+    k, name = F.col("p_partkey"), F.initcap("p_name")
+    title = by(k, row(name, " Engineer"), "", "Skills", "PMP", row(name, " Engineer"))
+    company = by(k, row(name, " Ltd"), row(name, " Ltd"), "", (F.lit(2000) + k % 20).cast("string"), row("Led the ", F.col("p_name"), "."))
+    duties = F.when(k % 5 == 0, F.array(F.col("p_name"), F.col("p_brand"))).otherwise(F.array().cast("array<string>"))
+    found = table(spark, sf_dir, "part").select("p_partkey", title.alias("t"), company.alias("c"), duties.alias("d"))
+    t, c, d = (F.col(x) for x in "tcd")
+    return found.select("p_partkey", joined(C.title_faults(t)).alias("title_faults"), joined(C.company_faults(C.company_name(c))).alias("company_faults"), joined(normalised.employment_noise(t, c, d)).alias("noise"), C.employment_score(t, c, F.lit(""), F.lit(""), d).alias("score"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS k, o_orderkey AS ord, o_orderpriority AS f, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'U ' || o_orderstatus || ' University' END AS school, CAST(year(o_orderdate) AS VARCHAR) AS a, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(year(o_orderdate) + 2 AS VARCHAR) END AS b FROM orders),
+    d AS (SELECT *, row_number() OVER (PARTITION BY k, lower(f), lower(school), a, b ORDER BY ord) AS n FROM e)
+    SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY CASE WHEN b = '' THEN 0 ELSE CAST(b AS INTEGER) END DESC, ord) AS INTEGER) AS place, 'MSc' AS degree, f AS field, school, a AS since, b AS until, CASE WHEN school = '' THEN 'education_entry_malformed' ELSE '' END AS flags FROM d WHERE n = 1""")
+def q_normalised_education(spark, sf_dir):
+    """Degrees of each customer, each once, in order, with what is wrong with them."""
+    k, year = F.col("o_orderkey"), F.year("o_orderdate")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("k"), k.alias("ord"), row("MSc in ", F.col("o_orderpriority")).alias("degree"), F.when(k % 7 > 0, row("U ", F.col("o_orderstatus"), " University")).alias("school"), year.cast("string").alias("start"), F.when(k % 5 > 0, (year + 2).cast("string")).alias("end")
+    )
+    out = normalised.education(rows, ["k"])
+    return out.select("k", "place", "degree", "field", "school", F.col("start").alias("since"), F.col("end").alias("until"), joined(F.col("flags")).alias("flags"))

@@ -18,6 +18,8 @@ r"""Near-duplicate detection by a signature-coordinate inverted join.
    copies, are never made.
 5. Components come from min-label propagation with pointer jumping over the links.
 
+All joins shuffle, so that no table goes through the driver.
+
 Words: ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. A text with fewer words than a
 shingle has one shingle, the whole sequence; a null text or one without words has an
 empty set and is linked with nothing. Rows of equal or null doc_id are told apart by a hash of
@@ -250,7 +252,7 @@ def _beyond_leaders(work: Workspace, around: DataFrame, comp: DataFrame, percent
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 48) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (the row has that doc_id)."""
-    spark, work, t = docs.sparkSession, Workspace(docs.sparkSession, "minhash"), least_matches(k, percent / 100)
+    spark, work, t = docs.sparkSession, Workspace(docs.sparkSession, "minhash", broadcast=-1), least_matches(k, percent / 100)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = work.keep(_sets(docs, width, k), "rows")
     # copies meet after each task has made one row of its own
@@ -276,23 +278,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     merged = work.keep(merged.join(able, "nid"), "postings")
     work.drop("merged")
 
+    work.release()
+
     sets = sets.join(able.select("nid", "n"), "nid")
     around = _around_leaders(work, merged, sets, percent)
     # on full differences the similarity to a leader is exact
     alike = (F.col("hits") >= t) & (F.col("d") * (100 + percent) <= (F.col("n") + F.col("nr")) * (100 - percent))
     links = work.keep(around.filter((F.col("r") >= 0) & (F.col("r") != F.col("nid")) & alike).select(F.col("r").alias("a"), F.col("nid").alias("b")), "links")
+    work.release()
     comp = work.keep(_labels(work, "first", links, able), "comp")
     rest = work.keep(_beyond_leaders(work, around, comp, percent), "rest")
     more = _verified(work, "rest", nodes, sets, rest, t, percent)
     if more.limit(1).count():
         comp = _labels(work, "last", links.union(more), able)
     work.drop("postings", "sets", "rest", "ranked", *[f"around{i}" for i in range(ROUNDS)])
+    work.release()
 
     # names of components are doc_ids again
     named = nodes.join(comp, "nid", "left").select("node", "doc_id", F.coalesce("comp", "nid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     ids = work.keep(named.join(least, "comp").select("node", "component_id"), "ids")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.encode(F.concat(F.lit("empty "), F.monotonically_increasing_id().cast("string")), "UTF-8")).alias("node")).join(ids, "node", "left")
+    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.encode(F.concat(F.lit("empty "), F.monotonically_increasing_id().cast("string")), "UTF-8")).alias("node")).join(ids.hint("merge"), "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -305,4 +311,4 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     gone_id, gone_text = fresh(docs, "gone", "gone_text")
     named = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("doc_id"), F.col(text).alias("text"))
     gone = near_duplicates(named, "doc_id", "text", width, percent, k).filter("not kept").select(F.col("doc_id.doc_id").alias(gone_id), F.col("doc_id.text").alias(gone_text)).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col(gone_text)), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col(gone_text)), "left_anti")

@@ -350,6 +350,21 @@ def test_large_ids_beside_nulls(spark):
     assert got[BIG + 2] == BIG and got[BIG + 4] == BIG + 4
 
 
+def test_near_dedup_sends_no_table_through_the_driver(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def told(self, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", told)
+    out = minhash_dedup.keep_first(docs(spark, [(i, f"one two three four five six {i % 3}") for i in range(30)]))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_near_dedup_of_many_null_and_repeated_ids(spark):
     words = [f"w{i}" for i in range(300)]
     own = lambda i: " ".join([*words[:60], *[f"x{i}y{j}" for j in range(i % 5)]])

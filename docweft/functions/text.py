@@ -164,12 +164,11 @@ def redact(c: Column, names: Column | None = None) -> Column:
     others at ASCII word edges and in any case. A pattern is tried only on texts that hold
     what all its matches hold.
     """
-    low = lambda t, word: F.lower(t).contains(word)
     steps: list[tuple[Callable[[Column], Column], Callable[[Column], Column]]] = [
         (lambda t: t.contains("@"), lambda t: F.regexp_replace(t, V.EMAIL, "[email redacted]")),
-        (lambda t: low(t, "linkedin.com/"), lambda t: F.regexp_replace(t, V.LINKEDIN, "[LinkedIn redacted]")),
-        (lambda t: low(t, "address"), lambda t: F.regexp_replace(t, V.LABELED_ADDRESS, "$1: [address redacted]")),
-        (lambda t: t.rlike(r"[0-9]\s"), lambda t: F.regexp_replace(t, V.STREET_ADDRESS, "[address redacted]")),
+        (lambda t: t.rlike(r"(?i)edin\.com/"), lambda t: F.regexp_replace(t, V.LINKEDIN, "[LinkedIn redacted]")),
+        (lambda t: t.rlike("(?i)addre"), lambda t: F.regexp_replace(t, V.LABELED_ADDRESS, "$1: [address redacted]")),
+        (lambda t: t.rlike(f"[0-9][{V.BLANK}]"), lambda t: F.regexp_replace(t, V.STREET, "[address redacted]")),
     ]
     if names is not None:
 
@@ -179,7 +178,7 @@ def redact(c: Column, names: Column | None = None) -> Column:
             return F.when(F.trim(name) == "", text).otherwise(F.regexp_replace(text, edged, F.lit(V.ANONYMOUS)))
 
         steps.append((lambda t: names.isNotNull(), lambda t: F.aggregate(names, t, replaced)))
-    for p, hint in zip(V.PHONES, (r"\+[0-9]", r"[0-9]{3}[-.\s]?[0-9]{3}", r"[0-9]{2}[-.\s][0-9]{3}"), strict=True):
+    for p, hint in zip(V.PHONE_FORMS, (r"\+[0-9]", r"[0-9]{3}[-.\s]?[0-9]{3}", r"[0-9]{2}[-.\s][0-9]{3}"), strict=True):
         steps.append((lambda t, h=hint: t.rlike(h), lambda t, p=p: _phones(t, p)))
     return reduce(lambda x, step: _bound(x, lambda t: F.when(step[0](t), step[1](t)).otherwise(t)), steps, some(c))
 
@@ -215,8 +214,8 @@ def residual(c: Column) -> dict[str, Column]:
     return {
         "has_email": x.rlike(V.EMAIL),
         "has_linkedin": x.rlike(V.LINKEDIN),
-        "has_phone": reduce(lambda a, b: a | b, [x.rlike(p) for p in V.PHONES]),
-        "has_address": x.rlike(V.LABELED_ADDRESS) | x.rlike(V.STREET_ADDRESS),
+        "has_phone": reduce(lambda a, b: a | b, [x.rlike(p) for p in V.PHONE_FORMS]),
+        "has_address": x.rlike(V.LABELED_ADDRESS) | x.rlike(V.STREET),
     }
 
 

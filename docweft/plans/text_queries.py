@@ -176,7 +176,7 @@ PLAIN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{EMAIL
 def q_redact_labelled(spark, sf_dir):
     """E-mail, LinkedIn and addresses only; q_redact_pii takes phones and names too."""
     t = T.some(F.col("text"))
-    for p, r in ((V.EMAIL, "[email redacted]"), (V.LINKEDIN, "[LinkedIn redacted]"), (V.LABELED_ADDRESS, "$1: [address redacted]"), (V.STREET_ADDRESS, "[address redacted]")):
+    for p, r in ((V.EMAIL, "[email redacted]"), (V.LINKEDIN, "[LinkedIn redacted]"), (V.LABELED_ADDRESS, "$1: [address redacted]"), (V.STREET, "[address redacted]")):
         t = F.regexp_replace(t, p, r)
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("redacted"))
 

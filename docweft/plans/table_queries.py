@@ -630,14 +630,21 @@ def q_project_suspicion(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", B.suspicious_project(given).alias("odd"), B.suspicious_report_project(given).alias("odd_in_report"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'blank' WHEN 2 THEN 'section_label' ELSE '' END AS title_faults, CASE p_partkey % 5 WHEN 2 THEN 'blank' WHEN 3 THEN 'date' WHEN 4 THEN 'sentence' ELSE '' END AS company_faults,
-    CASE p_partkey % 5 WHEN 1 THEN 'no_title' WHEN 2 THEN 'title_is_label' WHEN 3 THEN 'certificate' WHEN 4 THEN 'company_sentence' ELSE '' END AS noise, CAST(CASE p_partkey % 5 WHEN 0 THEN 44 WHEN 1 THEN 6 WHEN 2 THEN 6 ELSE 12 END AS INTEGER) AS score FROM part""")
+_PART = "p_partkey % 13"
+
+
+@query(f"""SELECT p_partkey, CASE {_PART} WHEN 2 THEN 'blank' WHEN 3 THEN 'section_label' WHEN 4 THEN 'company' WHEN 11 THEN 'company|institution' WHEN 12 THEN 'blank' ELSE '' END AS title_faults,
+    CASE WHEN {_PART} IN (3, 4, 5, 6, 12) THEN 'blank' WHEN {_PART} = 8 THEN 'date' WHEN {_PART} = 9 THEN 'sentence' WHEN {_PART} = 10 THEN 'role' ELSE '' END AS company_faults,
+    CASE {_PART} WHEN 2 THEN 'no_title' WHEN 3 THEN 'title_is_label' WHEN 4 THEN 'title_is_company' WHEN 5 THEN 'duties_of_project' WHEN 6 THEN 'duties_name_company' WHEN 8 THEN 'certificate' WHEN 9 THEN 'company_sentence' WHEN 10 THEN 'company_project' WHEN 12 THEN 'no_title' ELSE '' END AS noise,
+    CAST(CASE WHEN {_PART} = 0 THEN 44 WHEN {_PART} IN (1, 7) THEN 42 WHEN {_PART} IN (2, 3, 4) THEN 6 WHEN {_PART} IN (5, 6) THEN 7 WHEN {_PART} < 12 THEN 12 END AS INTEGER) AS score FROM part""")
 def q_employment_validity(spark, sf_dir):
-    """Faults, noise and scores of jobs made of parts."""
+    """Faults, noise and scores of jobs made of parts, of which some are null."""
     k, name = F.col("p_partkey"), F.initcap("p_name")
-    title = by(k, row(name, " Engineer"), "", "Skills", "PMP", row(name, " Engineer"))
-    company = by(k, row(name, " Ltd"), row(name, " Ltd"), "", (F.lit(2000) + k % 20).cast("string"), row("Led the ", F.col("p_name"), "."))
-    duties = F.when(k % 5 == 0, F.array(F.col("p_name"), F.col("p_brand"))).otherwise(F.array().cast("array<string>"))
+    firm, job = row(name, " Ltd"), row(name, " Engineer")
+    title = by(k, job, row("Title: ", job), "", "Skills", row(name, " Bank"), job, job, "PMP", "PMP", job, job, "Example University", None)
+    company = by(k, firm, row("Company Name: ", name, " Ltd."), firm, "", "", "", "", firm, (F.lit(2000) + k % 20).cast("string"), row("Led the ", F.col("p_name"), "."), row("Project ", name, " Engineer"), firm, None)
+    one = lambda c: F.array(c)
+    duties = F.when(k % 13 == 0, F.array(F.col("p_name"), F.col("p_brand"))).when(k % 13 == 5, one(row("Project: ", F.col("p_name")))).when(k % 13 == 6, one(firm)).when(k % 13 < 12, F.array().cast("array<string>"))
     found = table(spark, sf_dir, "part").select("p_partkey", title.alias("t"), company.alias("c"), duties.alias("d"))
     t, c, d = (F.col(x) for x in "tcd")
     return found.select("p_partkey", joined(C.title_faults(t)).alias("title_faults"), joined(C.company_faults(C.company_name(c))).alias("company_faults"), joined(normalised.employment_noise(t, c, d)).alias("noise"), C.employment_score(t, c, F.lit(""), F.lit(""), d).alias("score"))

@@ -575,12 +575,16 @@ def q_name_fragments(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", identity.best_fragment(text).alias("found"))
 
 
-@query("""SELECT c_custkey, c_custkey % 5 = 0 AS contact, c_custkey % 5 = 1 AS duty, c_custkey % 5 = 2 AS heading FROM customer""")
+@query("""SELECT c_custkey, c_custkey % 12 < 2 AS contact, c_custkey % 12 IN (2, 3) AS duty, c_custkey % 12 IN (4, 6) AS heading, c_custkey % 12 IN (0, 1, 2, 3, 4, 5, 7, 9) AS extractable FROM customer""")
 def q_line_predicates(spark, sf_dir):
-    """Contacts, duties and subheadings among lines about customers."""
-    k, segment = F.col("c_custkey"), F.initcap(F.col("c_mktsegment"))
-    line = by(k, row(F.col("c_custkey"), "@x.org"), row("- did ", segment), row(segment, " Results:"), row(segment, " Manager"), row("wrote about ", segment, "."))
-    return table(spark, sf_dir, "customer").select("c_custkey", selection.contact_line(line).alias("contact"), selection.duty_line(line).alias("duty"), selection.subheading(line).alias("heading"))
+    """Contacts, duties, subheadings and extractable texts among those about customers."""
+    k, name, segment, year = F.col("c_custkey"), F.replace("c_name", F.lit("#"), F.lit(" ")), F.initcap(F.col("c_mktsegment")), F.lit(2000) + F.col("c_custkey") % 20
+    text = by(
+        k, row(k, "@x.org"), row("+49 170 ", F.lit(1000) + k % 9000), row("- did ", segment), row("l did ", segment), row(segment, " Results:"), row("Senior ", segment, " Engineer"), "Led the team", row("Led the team\n", year, " - ", year + 2),
+        row("Name: ", name, "\nBSc, Example University\ndegree"), row("Name: ", name, " Engineer\nExample University"), "", None,
+    )
+    found = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return found.select("c_custkey", *[rule(F.col("text")).alias(n) for n, rule in (("contact", selection.contact_line), ("duty", selection.duty_line), ("heading", selection.subheading), ("extractable", selection.extractable))])
 
 
 @query("""WITH t AS (SELECT doc_id, 'Summary' || chr(10) || source || chr(10) || 'Work Experience:' || chr(10) || coalesce(text, '') || chr(10) || 'Lead, ' || (2000 + doc_id % 20) || ' - ' || (2001 + doc_id % 20) || chr(10) || 'Skills' || chr(10) || lang || chr(10) || '2010 to now' AS text FROM documents),

@@ -515,12 +515,15 @@ def q_payload_errors(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", checks.draft_errors(payload, True).alias("error"), checks.output_mode(F.when(k % 7 == 0, " anonymous ").otherwise(name)).alias("mode"), checks.workspace_id(hexed).alias("is_workspace"))
 
 
-@query("""SELECT s_suppkey, s_suppkey % 5 < 2 AS company, s_suppkey % 5 = 2 AS place FROM supplier""")
+@query("""WITH n AS (SELECT 'customer' AS kind, c_custkey AS id FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier)
+    SELECT kind, id, id % 11 < 2 AS company, id % 11 BETWEEN 2 AND 4 AS place FROM n""")
 def q_place_lines(spark, sf_dir):
-    """Lines of suppliers that name a company or a place."""
-    name = F.replace("s_name", F.lit("#"), F.lit(" "))
-    line = by(F.col("s_suppkey"), row(name, " Ltd"), row("S", F.col("s_suppkey").cast("string"), "X"), "Oslo, Norway", row("Oslo ", F.col("s_suppkey")), row("Manager, ", name))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", selection.company_line(line).alias("company"), selection.location_line(line).alias("place"))
+    """Lines of customers and suppliers that name a company or a place, or neither."""
+    side = lambda t, k, n: table(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(k).cast("bigint").alias("id"), F.replace(n, F.lit("#"), F.lit(" ")).alias("name"))
+    names = side("customer", "c_custkey", "c_name").unionByName(side("supplier", "s_suppkey", "s_name"))
+    k, name = F.col("id"), F.col("name")
+    line = by(k, row(name, " Ltd"), row("S", k, "X"), "Oslo, Norway", "London", "南京市", row("Oslo ", k), row("Manager, ", name), "CTO Manager", row("Manager, Oslo ", name), "", None)
+    return names.select("kind", "id", selection.company_line(line).alias("company"), selection.location_line(line).alias("place"))
 
 
 @query(f"""WITH p AS (SELECT p_partkey, p_name AS n, {_NAME} AS t, p_brand AS b FROM part)

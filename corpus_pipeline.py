@@ -33,8 +33,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose score reaches the threshold of their language."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Drop the documents whose score reaches the threshold of their language; network and thresholds are learned from all labelled documents."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True)
     (score,) = fresh(docs, "score")
     scored = docs.withColumn(score, toxicity.score(F.col("text"), model))
     return scored.filter(F.col(score) < toxicity.threshold(F.col("lang"), model)).drop(score)

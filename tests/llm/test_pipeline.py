@@ -52,3 +52,17 @@ def test_stages_keep_clean_documents_and_columns(spark, sf):
     clean = labels.filter("toxic = 0").select("doc_id")
     lost = docs.join(clean, "doc_id").join(calm.select("doc_id"), "doc_id", "left_anti").count()
     assert calm.columns == docs.columns and lost <= 0.05 * clean.count()
+
+
+def test_toxicity_learns_from_all_labelled_documents(spark, sf, monkeypatch):
+    """Beyond what one task learns from, rows are dealt to shards: none is left out, and both classes are told apart."""
+    rows = [(i, f"w{i % 97} x{i % 89} {'awful' if i % 4 == 0 else 'fine'} y{i % 7}", "en" if i % 2 else None, int(i % 4 == 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), most=150, whole=True)
+    assert model["rows"] == 900 and toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), most=150)["rows"] < 450
+    out = df.select("toxic", toxicity.score(F.col("text"), model).alias("s")).collect()
+    assert sum((r.s >= toxicity.CUT) == (r.toxic == 1) for r in out) >= 890
+    asked, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: asked.append(k) or fit(*a, **k))
+    dict(corpus_pipeline.STAGES)["toxicity"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert asked == [{"whole": True}]

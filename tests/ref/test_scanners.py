@@ -59,3 +59,12 @@ def test_scan_rows(spark):
     df = spark.createDataFrame([(1, LAYOUTS[0]), (2, []), (3, None)], "doc_id bigint, lines array<string>")
     assert [(r.doc_id, r.ord, r.title) for r in S.scan(df, "employment").collect()] == [(1, 0, "Director of Product")]
     assert S.scan(df, "education").count() == 0 and S.scan(df, "projects").count() == 0
+
+
+def test_results_of_a_batch_are_handed_on_bit_by_bit():
+    from docweft.sources.shared import handed_on
+
+    drawn = []
+    frames = handed_on(({"a": drawn.append(i) or i, "b": None} for i in range(2500)), ["a", "b"])
+    assert len(next(frames)) == 1000 and len(drawn) == 1000
+    assert [len(f) for f in frames] == [1000, 500] and drawn == list(range(2500)) and list(handed_on([], ["a"])) == []

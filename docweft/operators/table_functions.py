@@ -7,14 +7,16 @@
 
 The kind (employment, education, projects) is a constant, and decides the columns. The second takes a row a
 line: a document is a partition, its lines come in order, and the columns of the key (all but ``line``, and
-``place``, which only orders) are passed on in front of the record's.
+``place``, which only orders) are passed on in front of the record's. It hands every line to Python by itself;
+``gathered`` makes arrays of a large table's lines first, for ``records``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
@@ -77,6 +79,12 @@ class RecordsOfLines:
                 yield (*self.key, *r)
 
 
+def gathered(lines: DataFrame) -> DataFrame:
+    """lines: a key in any columns, place, line -> the key and lines, an array in order of place; a null line stays as one."""
+    key = [c for c in lines.columns if c not in ("line", "place")]
+    return lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "line")))["line"].alias("lines"))
+
+
 def register(spark: SparkSession) -> None:
     spark.udtf.register("records", Records)
     spark.udtf.register("records_of_lines", RecordsOfLines)

@@ -63,8 +63,8 @@ def q_lateral_records(spark, sf_dir):
 
 @query(_JOBS + " SELECT doc_id, count(*) AS n, max(title) AS last_title, min(start_year) AS first_year FROM r GROUP BY doc_id")
 def q_records_of_lines(spark, sf_dir):
-    """The same over a table of lines, partitioned by document."""
+    """The same over a table of lines, gathered by document."""
     table_functions.register(spark)
     lines = cv_lines(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("place", "line"))
-    found = spark.sql("SELECT * FROM records_of_lines(TABLE(SELECT doc_id, place, line FROM {lines}) PARTITION BY (doc_id) ORDER BY (place), 'employment')", lines=lines)
+    found = spark.sql("SELECT d.doc_id, r.* FROM {docs} d, LATERAL records(d.lines, 'employment') r", docs=table_functions.gathered(lines))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("title").alias("last_title"), F.min("start").alias("first_year"))

@@ -1,6 +1,7 @@
 """Parts of the operators, without Spark where that will do."""
 
 import pickle
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -242,3 +243,21 @@ def test_packed_shards_teach_as_their_texts():
         want = toxicity.train([texts[i] for i in own], b["y"].to_numpy(float)[own], epochs=1, net=toxicity.start())
         assert all(np.array_equal(got[k], want[k]) for k in want)
     assert toxicity._own([], shard["features"])[0] == []
+
+
+def test_shards_are_packed_from_batches():
+    texts = ["a bad word", "", "good word, good day", None, "a day"]
+    rows = pd.DataFrame({"shard": [0, 0, 1, 1, 1], "text": texts, "y": [1, 0, 0, 0, 1], "fold": [False, True, False, False, True]})
+    got = [pickle.loads(zlib.decompress(b["packed"][0])) for b in toxicity._compressed(iter([rows[:1], rows[1:4], rows[4:]]))]
+    assert [list(s["lengths"]) for s in got] == [[3, 0], [4, 0, 2]]  # a row for each shard, wherever batches end
+    known = toxicity.Vocabulary()
+    assert list(got[1]["words"]) == [n for t in texts[2:] for n in known.rows(t)] and (got[1]["features"] == known.features()).all()
+    assert [list(s["y"]) for s in got] == [[1, 0], [0, 0, 1]] and [list(s["fold"]) for s in got] == [[False, True], [False, False, True]]
+    # the words of some texts alone get the numbers and features that these texts by themselves have
+    tokens = np.split(got[1]["words"], np.cumsum(got[1]["lengths"])[:-1])
+    own, features = toxicity._own([tokens[2]], got[1]["features"])
+    alone = toxicity.Vocabulary()
+    assert list(own[0]) == list(alone.rows("a day")) and (features == alone.features()).all()
+    # as large as it is, a shard reaches the executor in fewer bytes than its numbers have
+    many = pd.DataFrame({"shard": 0, "text": ["good word " * 5000] * 20, "y": 0, "fold": False})
+    assert sum(len(b["packed"][0]) for b in toxicity._compressed(iter([many]))) < 20 * 10_000 * 4 / 4

@@ -18,7 +18,7 @@ def some(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def _bound(x: Column, of: Callable[[Column], Column]) -> Column:
+def bound(x: Column, of: Callable[[Column], Column]) -> Column:
     """of(x) with x computed once, however often of() names it."""
     return F.get(F.transform(F.array(x), of), F.lit(0))
 
@@ -74,7 +74,7 @@ def all_tokens(c: Column) -> Column:
     """Tokens of a-z, 0-9 and CJK pairs; single characters and stop words included."""
     plain = F.trim(F.regexp_replace(F.lower(some(c)), r"[^a-z0-9一-鿿]+", " "))
     pairs = lambda x: F.filter(F.flatten(F.transform(F.split(x, " "), _grams)), lambda t: t != "")
-    return _bound(plain, lambda x: F.when(x == "", F.array().cast("array<string>")).when(x.rlike(r"[一-鿿]"), pairs(x)).otherwise(F.split(x, " ")))
+    return bound(plain, lambda x: F.when(x == "", F.array().cast("array<string>")).when(x.rlike(r"[一-鿿]"), pairs(x)).otherwise(F.split(x, " ")))
 
 
 def tokens(c: Column) -> Column:
@@ -180,7 +180,7 @@ def redact(c: Column, names: Column | None = None) -> Column:
         steps.append((lambda t: names.isNotNull(), lambda t: F.aggregate(names, t, replaced)))
     for p, hint in zip(V.PHONE_FORMS, (r"\+[0-9]", r"[0-9]{3}[-.\s]?[0-9]{3}", r"[0-9]{2}[-.\s][0-9]{3}"), strict=True):
         steps.append((lambda t, h=hint: t.rlike(h), lambda t, p=p: _phones(t, p)))
-    return reduce(lambda x, step: _bound(x, lambda t: F.when(step[0](t), step[1](t)).otherwise(t)), steps, some(c))
+    return reduce(lambda x, step: bound(x, lambda t: F.when(step[0](t), step[1](t)).otherwise(t)), steps, some(c))
 
 
 def name_variants(name: Column, file_name: Column) -> Column:

@@ -85,3 +85,13 @@ def test_columns_of_helpers_stay(spark):
     assert [tuple(r) for r in R.upsert_recent(one, one.withColumn("new", F.lit("y")), "key", "at", 5).collect()] == [("a", 1, "y")]
     files = spark.createDataFrame([(1, "jd.docx", ".docx", 5, "w")], "folder int, name string, extension string, n int, docx string")
     assert selection.file_roles(files, ["folder"]).first().asDict() | {"jd_score": 0, "cv_score": 0} == {"folder": 1, "name": "jd.docx", "extension": ".docx", "n": 5, "docx": "w", "jd_score": 0, "cv_score": 0}
+
+
+def test_keys_of_requirements_are_made_once(spark):
+    from docweft.operators import records
+
+    df = spark.createDataFrame([(1, ["SQL", "Go, Rust", "x"], ["go rust", "sql!", "y"])], "doc_id int, wanted array<string>, offered array<string>")
+    got = records.matched(df)
+    assert [r.offered_place for r in got.orderBy("place").collect()] == [1, 0, 2]
+    # one place for the keys of either list, not one in every comparison of the fold
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 4

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
 from .registry import ORACLES, QUERIES, Query, table
 
 #: The queries of cases with what has to come out, for tests also where a query of a table has taken the name.
@@ -30,7 +31,7 @@ def _literal(v: object, kind: str) -> str:
 def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, fields: str, inputs: list[tuple]) -> DataFrame:
     """id and the fields of a case, for every row of a table; cases go round by the row's key."""
     cases = spark.createDataFrame([(i, *row) for i, row in enumerate(inputs)], f"case int, {fields}")
-    rows = table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("id"))
+    rows = spread(table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("id")))
     # the cases are a written list of a few rows
     return rows.join(F.broadcast(cases), F.pmod("id", F.lit(len(inputs))).cast("int") == F.col("case")).drop("case")
 

@@ -53,8 +53,12 @@ def blocks(c: Column) -> Column:
 
 
 def html(c: Column) -> Column:
+    """A text as HTML."""
+    return html_of(blocks(c))
+
+
+def html_of(found: Column) -> Column:
     """The blocks as HTML, all text escaped."""
     text, items = (lambda b: escape_html(b["text"])), (lambda b: F.array_join(F.transform(F.split(b["text"], "\n"), lambda x: F.concat(F.lit("<li>"), escape_html(x), F.lit("</li>"))), ""))
     made = lambda b: F.when(b["kind"] == "heading", F.concat(F.lit("<h3>"), text(b), F.lit("</h3>"))).when(b["kind"] == "list", F.concat(F.lit("<ul>"), items(b), F.lit("</ul>"))).when(b["kind"] == "label", F.concat(F.lit("<p><strong>"), escape_html(b["label"]), F.lit(":</strong> "), text(b), F.lit("</p>"))).otherwise(F.concat(F.lit("<p>"), text(b), F.lit("</p>")))
-    body = F.array_join(F.transform(blocks(c), made), "\n")
-    return F.when(body == "", f"<p>{EMPTY}</p>").otherwise(body)
+    return T.bound(F.array_join(F.transform(found, made), "\n"), lambda body: F.when(body == "", f"<p>{EMPTY}</p>").otherwise(body))

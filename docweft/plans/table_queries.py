@@ -17,6 +17,7 @@ from ..functions import values as X
 from ..operators import briefing as B
 from ..operators import checks, identity, normalised, report, requests, retrieval, review, rich_text, scanners, sections, selection
 from ..operators import records as C
+from ..sources.shared import spread
 from .record_queries import ISSUE, _issues
 from .registry import query, table
 from .text_queries import LINES, TOKENS, doc_lines
@@ -36,6 +37,11 @@ def by(key: Column, *ways: Column | str | None) -> Column:
     return out
 
 
+def _parts(spark, sf_dir):
+    """Keys, names and brands of all parts over all cores: a table of one small file is read by one task, which would do all the work on its texts."""
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"))
+
+
 _SPLIT = "regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')"
 
 
@@ -201,7 +207,7 @@ def q_candidate_names(spark, sf_dir):
     letters = F.trim(F.regexp_replace(F.replace(name, F.lit(" "), F.lit("")), "(.)", "$1 "))
     text = by(F.col("p_partkey"), row("Curriculum Vitae\nName: ", name, "\nx@y.org"), row("Resume\n", name, "\nEmail: x@y.org"), row(F.replace(name, F.lit(" "), F.lit("\n")), "\nx@y.org"), row(letters, "\nx"), row("Page | 1 Name: Dr. ", name, " Age: 30\nx"), "Senior Engineer\nWork Experience\n2010 - 2012", row("Profile\nSenior Engineer\n", name), "Senior Engineer\n2010 - 2012")
     file = F.when(F.col("p_partkey") % 8 == 5, row(F.replace("p_name", F.lit(" "), F.lit("_")), "_CV_2020.pdf")).otherwise("resume.pdf")
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("cv").alias("kind"), text.alias("text"), file.alias("file_name"))
+    docs = _parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), F.lit("cv").alias("kind"), text.alias("text"), file.alias("file_name"))
     return identity.identified(docs).select(F.col("doc_id").alias("p_partkey"), "found")
 
 
@@ -211,7 +217,7 @@ def q_role_titles(spark, sf_dir):
     title = row(F.initcap("p_name"), " Engineer")
     text = by(F.col("p_partkey"), row("About us\nJob Title: ", title, "\nx"), row("Overview\n- a bullet\nCompany: Widget\n", title, "\nmore"), row("Overview\n", title), "Role\nx\n", "")
     file = by(F.col("p_partkey"), "jd.pdf", "jd.pdf", "jd.pdf", row(F.replace("p_name", F.lit(" "), F.lit("_")), "_engineer-2.pdf"), "job_description.pdf")
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("jd").alias("kind"), text.alias("text"), file.alias("file_name"))
+    docs = _parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), F.lit("jd").alias("kind"), text.alias("text"), file.alias("file_name"))
     return identity.identified(docs).select(F.col("doc_id").alias("p_partkey"), "found")
 
 
@@ -533,8 +539,8 @@ def q_rich_text(spark, sf_dir):
     """Texts about parts as blocks and as HTML."""
     name, title = F.col("p_name"), F.initcap("p_name")
     text = row("# ", title, "\n- ", name, "\n* ", F.col("p_brand"), " <c>\n\nabout ", name, "\nand two. x\nName: ", title, "\n-- 1 of 2 --\n- z")
-    told = F.transform(rich_text.blocks(text), lambda b: F.concat(b["kind"], F.lit(":"), F.replace(b["text"], F.lit("\n"), F.lit("/"))))
-    return table(spark, sf_dir, "part").select("p_partkey", joined(told).alias("blocks"), rich_text.html(text).alias("html"))
+    told = F.transform("b", lambda b: F.concat(b["kind"], F.lit(":"), F.replace(b["text"], F.lit("\n"), F.lit("/"))))
+    return _parts(spark, sf_dir).select("p_partkey", rich_text.blocks(text).alias("b")).select("p_partkey", joined(told).alias("blocks"), rich_text.html_of(F.col("b")).alias("html"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '- did ' || c_mktsegment || ', 2.|- did more, 3.' WHEN 1 THEN '- made ' || c_mktsegment || ', 1.' ELSE c_mktsegment || ';|English;' END AS lines FROM customer""")

@@ -68,3 +68,25 @@ def test_results_of_a_batch_are_handed_on_bit_by_bit():
     frames = handed_on(({"a": drawn.append(i) or i, "b": None} for i in range(2500)), ["a", "b"])
     assert len(next(frames)) == 1000 and len(drawn) == 1000
     assert [len(f) for f in frames] == [1000, 500] and drawn == list(range(2500)) and list(handed_on([], ["a"])) == []
+
+
+def test_lines_without_a_year_are_not_searched_for_dates(monkeypatch):
+    from docweft.operators import scanners
+
+    want = scanners.education(["BSc in Maths | Example University", "2001 - 2004"])
+    assert [(r["degree"], r["start"]) for r in want] == [("BSc in Maths", "2001")]
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern, self.seen = pattern, []
+
+        def search(self, text):
+            self.seen.append(text)
+            return self.pattern.search(text)
+
+    for name in ("RANGE", "OPEN"):
+        monkeypatch.setattr(scanners, name, Watched(getattr(scanners, name)))
+    assert scanners.education(["BSc in Maths | Example University", "2001 - 2004"]) == want
+    assert scanners.RANGE.seen == ["2001 - 2004"] and scanners.OPEN.seen == []
+    # a separator that leaves one part counts for nothing
+    assert scanners.read("x |").parts == ["x |"] and scanners.read("a | b, c").parts == ["a", "b, c"] and scanners.read("a, b").parts == ["a", "b"]

@@ -87,7 +87,7 @@ def q_import_warnings(spark, sf_dir):
     SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE length(t) + 120 * len(regexp_extract_all(t, '\\b(?:19|20)\\d{{2}}\\b'))
         + 260 * len(regexp_extract_all(t, '(?i)\\b(?:professional|employment|work|project)\\s+experience\\b')) + 45 * len(regexp_extract_all(t, '(?m)^\\s*[•*-]\\s+')) - 220 * pages END AS BIGINT) AS score FROM n""")
 def q_pdf_quality_score(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", retrieval.extraction_score(F.col("text")).cast("bigint").alias("score"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", retrieval.extraction_score(F.col("text")).cast("bigint").alias("score"))
 
 
 HEADINGS = ", ".join(f"('{k}', '{v}')" for k, v in V.SECTION_HEADINGS.items())

@@ -95,3 +95,18 @@ def test_keys_of_requirements_are_made_once(spark):
     assert [r.offered_place for r in got.orderBy("place").collect()] == [1, 0, 2]
     # one place for the keys of either list, not one in every comparison of the fold
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 4
+
+
+@pytest.mark.parametrize("name", ["q_candidate_names", "q_role_titles", "q_rich_text", "q_pdf_quality_score"])
+def test_a_small_file_is_worked_on_by_all_cores(spark, sf, name):
+    from docweft import plans
+
+    assert plans.QUERIES[name](spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_projects_are_dealt_before_they_are_read(spark, sf):
+    from docweft import plans
+
+    plan = plans.QUERIES["q_normalised_projects"](spark, sf)._jdf.queryExecution().toString()
+    # the table's rows over the cores, then works by their customer; what is told of bullets is told before the last join
+    assert "RoundRobinPartitioning" in plan and "REPARTITION_BY_NUM" in plan

@@ -261,3 +261,26 @@ def test_shards_are_packed_from_batches():
     # as large as it is, a shard reaches the executor in fewer bytes than its numbers have
     many = pd.DataFrame({"shard": 0, "text": ["good word " * 5000] * 20, "y": 0, "fold": False})
     assert sum(len(b["packed"][0]) for b in toxicity._compressed(iter([many]))) < 20 * 10_000 * 4 / 4
+
+
+def test_passes_have_no_workers_of_their_own(spark, monkeypatch):
+    """A pass and its sums run in the Arrow workers that are there already; they are the averages of what each shard teaches."""
+    import pyspark.sql.classic.dataframe as classic
+
+    monkeypatch.setattr(classic.DataFrame, "rdd", property(lambda self: pytest.fail("functions of an RDD have workers of their own")))
+    text = lambda i: f"plain word{i % 7} and {'vile' if i % 3 == 0 else 'kind'} w{i}"
+    rows = pd.DataFrame({"shard": np.repeat(np.arange(11), 6), "text": [text(i) for i in range(66)], "y": [int(i % 3 == 0) for i in range(66)], "fold": [i % 5 == 0 for i in range(66)]})
+    packed = [bytes(x) for b in toxicity._compressed(iter([rows])) for x in b["packed"]]
+    nets = {"cut": toxicity.start(1), "all": toxicity.start(1)}
+    work = toxicity.Workspace(spark, "passes")
+    shards = work.keep(spark.createDataFrame([(bytearray(p),) for p in packed], "packed binary").repartition(11), "packed")
+    got = toxicity._pass(work, shards, 11, nets, 5)
+    assert str(got) == str(toxicity._pass(work, shards, 11, nets, 5))
+    want = []
+    for s in range(11):
+        own = rows[rows["shard"] == s]
+        want.append((toxicity.train(list(own["text"]), own["y"].to_numpy(float), epochs=1, seed=5, net=nets["all"]), len(own)))
+    for k in ("out", "f2", "b1"):
+        mean = sum((net[k] - nets["all"][k]) * n for net, n in want) / 66
+        assert np.allclose(got["all"][k], nets["all"][k] + mean, atol=1e-5), k
+    assert not np.allclose(got["cut"]["out"], got["all"]["out"])

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have in any case, one for each of ``names``."""
@@ -75,7 +77,7 @@ def interval_candidates(inner: DataFrame, outer: DataFrame, scope: list[str], in
         known = known & F.col(c).isNotNull()
     asked = inner.select(*scope, F.col(inner_id).alias("__id"), *[c.alias(n) for n, c in named.items()])
     held = outer.filter(known & F.col("start").isNotNull() & F.col("end").isNotNull()).select(*scope, F.col(outer_id).alias("__id"), F.col("start").cast("bigint").alias("lo"), F.col("end").cast("bigint").alias("hi"))
-    low, high = held.agg(F.min("lo"), F.max("lo")).first()
+    low, high, rows = held.agg(F.min("lo"), F.max("lo"), F.count(F.lit(1))).first()
     keys = [*scope, "level", "block"]
     if low is None:
         counted = asked.select(*scope, "lo", "hi", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(outer.schema[outer_id].dataType).alias("first")).limit(0)
@@ -85,13 +87,15 @@ def interval_candidates(inner: DataFrame, outer: DataFrame, scope: list[str], in
         bit = F.expr("shiftright(at, level)")
         each = held.groupBy(*scope, "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
         points = each.select(*scope, "hi", "n", "first", (F.col("lo") - low).alias("at"), level).select(*scope, "level", bit.alias("block"), "hi", "n", "first")
-        points = points.groupBy(*keys, "hi").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("lo", F.lit(None).cast("bigint"))
+        # rows of all levels, in tasks whose size doesn't grow with the tables
+        made = rows * (levels + 1)
+        points = dealt(points, made, *keys, "hi").groupBy(*keys, "hi").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("lo", F.lit(None).cast("bigint"))
         # starts in [low, lo], as blocks: the left one of a pair wherever the end of that range has a bit
         wanted = asked.filter(known & (F.col("lo") >= low)).select(*scope, "lo", "hi").distinct()
         wanted = wanted.select("*", (F.least(F.col("lo"), F.lit(high)) - low + 1).alias("at"), level).filter(bit.bitwiseAND(F.lit(1)) == 1)
         wanted = wanted.select(*keys[:-2], "level", (bit - 1).alias("block"), "hi", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(outer.schema[outer_id].dataType).alias("first"), "lo")
         falling = Window.partitionBy(*keys).orderBy(F.col("hi").desc(), F.col("lo").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        running = points.unionByName(wanted).select(*keys, "lo", "hi", F.sum("n").over(falling).alias("n"), F.min("first").over(falling).alias("first")).filter("lo is not null")
+        running = dealt(points.unionByName(wanted), made + asked.count() * (levels + 1) // 2, *keys).select(*keys, "lo", "hi", F.sum("n").over(falling).alias("n"), F.min("first").over(falling).alias("first")).filter("lo is not null")
         counted = running.groupBy(*scope, "lo", "hi").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     found = asked.join(counted, [*scope, "lo", "hi"], "left")
     n = F.coalesce(F.col("n"), F.lit(0))
